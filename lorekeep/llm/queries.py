@@ -1,0 +1,83 @@
+"""The registered queries of the training-data operators, and their SQL."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .bpe import bpe_encode
+from .common import remainder
+from .jaccard import ngram_jaccard
+from .lines import line_dedup
+from .mixing import mix_sources
+from .quality import quality_scores
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False, digests=True)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_scores(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate")
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op3_line_dedup, op5_quality_classifier, op7_source_mix, op8_ngram_jaccard, pipeline)}
+
+#: A-Z only, as the contracts have it.
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+BLANKS = "(chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+ORACLE_SQL = {
+    "op3_line_dedup": f"""
+with lines as (
+  select doc_id, l.i as i, l.line as line, {LOWER.format(f"trim(l.line, {BLANKS})")} as key
+  from (select doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {{'i': i, 'line': x}})) as l from documents)),
+firsts as (select key, min(doc_id) as first_doc from lines where length(key) >= 10 group by key having count(distinct doc_id) > 1),
+marked as (select l.*, (f.key is not null and l.doc_id <> f.first_doc) as gone from lines l left join firsts f on f.key = l.key)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id
+""",
+    "op8_ngram_jaccard": rf"""
+with recursive words as (
+  select doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') as w from documents),
+grams as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g from words),
+items as (select doc_id, len(g) as n, unnest(g) as t from grams),
+pairs as (
+  select a.doc_id as u, b.doc_id as v, any_value(a.n) as an, any_value(b.n) as bn, count(*) as m
+  from items a join items b on a.t = b.t and a.doc_id < b.doc_id group by 1, 2),
+links as (select u, v from pairs where 100 * m >= 90 * (an + bn - m)),
+both_ways as (select u, v from links union all select v, u from links),
+reach(u, v) as (select u, v from both_ways union select r.u, b.v from reach r join both_ways b on b.u = r.v)
+select g.doc_id, cast(len(g.g) as bigint) as n_shingles, least(g.doc_id, coalesce(min(r.v), g.doc_id)) as component_id
+from grams g left join reach r on r.u = g.doc_id group by g.doc_id, len(g.g)
+""",
+}

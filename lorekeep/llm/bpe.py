@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 #: The byte-level pre-tokenizer's pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A place where no match of PATTERN reaches across, in a text that is cut for length.
@@ -257,6 +259,7 @@ def bpe_encode(docs: DataFrame, path: str, *, ids: bool = True, digests: bool =
     UTF-8). A null or empty text has no tokens; repeated rows stay repeated; other columns go.
     path is a byte-level BPE file of the tokenizers library, readable on every executor.
     """
+    bounded(docs.sparkSession)
     fields = {f.name: f for f in docs.schema.fields}
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -43,6 +44,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """Keep Arrow batches small, so that a task's buffers stay bounded however long the texts are.
+
+    A batch ends at 1,024 rows or 8 MB; a session with smaller values keeps them.
+    """
+    for name, most, start in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1024, "10000"), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20, str(64 << 20))):
+        now = spark.conf.get(name, start)
+        value = int(re.sub(r"\D", "", now) or 0) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now.rstrip("bB")[-1:].lower(), 1)
+        if value <= 0 or value > most:
+            spark.conf.set(name, str(most))
+    return spark
+
+
 def remainder(doc_id: Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo folds; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds

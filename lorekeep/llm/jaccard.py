@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, connected_components, cut, mix64
+from .common import LAST_ID, bounded, connected_components, cut, mix64
 from .lines import probe, twice_filter
 
 #: Members and shingles of a block at most (but for a single larger document), tokens in a product.
@@ -193,7 +193,7 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
     others and is returned as null. Rows that repeat a doc_id with another text get rows of their
     own; the larger set stands for that doc_id where others link to it. Other columns are ignored.
     """
-    sc = docs.sparkSession.sparkContext
+    sc = bounded(docs.sparkSession).sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = F.coalesce("doc_id", F.lit(LAST_ID))
     levels = sc.broadcast(sketch(docs, k).tobytes())

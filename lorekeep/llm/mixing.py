@@ -7,8 +7,9 @@ source, by Newton steps kept inside a bracket. Rates depend only on (source, siz
 run over counts by (source, size), all sources at once, and not over documents.
 
 Rates become whole copies: the integer part always, one more for the documents with the lowest
-keys (a hash of the id less the fractional part) until the target is met. Where that cut lies is
-read off two levels of histograms by source, so no source is ever sorted or gathered.
+keys (a hash of the id less the fractional part) as far as the target goes; two more passes fill
+what is left with documents that still fit. Where a cut lies is read off two levels of histograms
+by source, so no source is ever sorted or gathered.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from .common import WORD_PATTERN, cut
 
 #: Source weights by rank in code-point order, repeating, and the mix's size against the input's.
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
-STEPS, STEPS_A_CUT, TOLERANCE, BINS = 60, 6, 1e-9, 2048
+STEPS, STEPS_A_CUT, TOLERANCE, BINS, PASSES = 60, 6, 1e-9, 2048, 3
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -52,33 +53,31 @@ def multipliers(histogram: DataFrame, goals: DataFrame, most: float = MOST) -> D
     A target of most * total, which only rates of most reach, has lam null.
     """
     counts = histogram.groupBy(F.col("source").alias("s2")).agg(F.sum("c").alias("docs"))
-    state = goals.join(counts, F.expr("source <=> s2"), "left").drop("s2")
-    state = state.where("total > 0").withColumn("mean", F.expr("total / docs"))
+    state = goals.where("total > 0").join(counts, F.expr("source <=> s2")).withColumn("mean", F.expr("total / docs"))
     free = F.col("target") < F.col("total") * F.lit(most * (1 - 1e-12))
-    state = state.select("source", "total", "target", "mean", F.when(free, F.log(F.col("target") / F.col("total"))).alias("lam"), F.lit(-1e4).alias("lo"), F.lit(1e4).alias("hi"), F.lit(1.0).alias("off"))
-    state = cut(state)
+    start = F.when(free, F.log(F.col("target") / F.col("total")))
+    state = cut(state.select("s2", "target", "mean", start.alias("lam"), F.lit(-1e4).alias("lo"), F.lit(1e4).alias("hi"), F.lit(1.0).alias("off")))
     rate = F.least(F.lit(float(most)), F.exp(F.least(F.lit(50.0), F.col("lam") * F.col("size") / F.col("mean"))))
+    full, state = state.where("lam is null"), state.where("lam is not null")
     for step in range(1, STEPS + 1):
-        h = histogram.select(F.col("source").alias("s2"), "size", "c")
-        g = h.join(state.where("lam is not null").select("source", "lam", "mean"), F.expr("s2 <=> source"))
-        g = g.withColumn("r", rate).groupBy("s2").agg(
-            F.sum(F.col("c") * F.col("r") * F.col("size")).alias("got"),
-            F.sum(F.when(F.col("r") < most, F.col("c") * F.col("r") * F.col("size") * F.col("size") / F.col("mean"))).alias("slope"),
-        )
-        s = state.join(g, F.expr("source <=> s2"), "left").withColumn("miss", F.col("got") - F.col("target"))
+        weight = F.col("c") * F.col("r") * F.col("size")
+        s = histogram.join(state, F.expr("source <=> s2")).withColumn("r", rate).groupBy("source").agg(
+            (F.sum(weight) - F.first("target")).alias("miss"),
+            F.sum(F.when(F.col("r") < most, weight * F.col("size") / F.col("mean"))).alias("slope"),
+            *[F.first(c).alias(c) for c in ("target", "mean", "lam", "lo", "hi")],
+        )
         s = s.withColumn("lo", F.when(F.col("miss") < 0, F.col("lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("miss") > 0, F.col("lam")).otherwise(F.col("hi")))
         newton = F.col("lam") - F.col("miss") / F.col("slope")
         inside = newton.isNotNull() & (newton > F.col("lo")) & (newton < F.col("hi"))
         # outside the bracket: halve it, or double away from 0 while it is open
         half = F.when((F.col("lo") > -1e4) & (F.col("hi") < 1e4), (F.col("lo") + F.col("hi")) / 2).when(F.col("miss") > 0, -F.abs(F.col("lam")) * 2 - 0.1).otherwise(F.abs(F.col("lam")) * 2 + 0.1)
-        done = (F.col("miss") == 0) | F.col("lam").isNull() | F.col("miss").isNull()
-        lam = F.when(done, F.col("lam")).when(inside, newton).otherwise(half)
-        state = s.select("source", "total", "target", "mean", lam.alias("lam"), "lo", "hi", F.coalesce(F.abs(F.col("miss")) / F.col("target"), F.lit(0.0)).alias("off"))
+        lam = F.when(F.col("miss") == 0, F.col("lam")).when(inside, newton).otherwise(half)
+        state = s.select(F.col("source").alias("s2"), "target", "mean", lam.alias("lam"), "lo", "hi", (F.abs("miss") / F.col("target")).alias("off"))
         if step % STEPS_A_CUT == 0:
             state = cut(state)
             if (state.agg(F.max("off")).first()[0] or 0.0) < TOLERANCE:
                 break
-    return state.select("source", "lam", "mean")
+    return state.union(full).select(F.col("s2").alias("source"), "lam", "mean")
 
 
 def threshold(rows: DataFrame, goals: DataFrame) -> DataFrame:
@@ -96,8 +95,7 @@ def threshold(rows: DataFrame, goals: DataFrame) -> DataFrame:
     two = binned.withColumnRenamed("source", "s2").join(at.select("source", F.col("b1").alias("c1"), "below", "gap"), F.expr("s2 <=> source and b1 = c1"))
     two = two.groupBy("source", "b1", "b2").agg(F.sum("size").alias("words"), F.first("below").alias("below"), F.first("gap").alias("gap"))
     run = F.col("below") + F.sum("words").over(W.partitionBy("source").orderBy("b2").rowsBetween(W.unboundedPreceding, 0))
-    # a bin whose middle the gap passes belongs to the copies
-    return two.withColumn("run", run).groupBy("source").agg(F.first("b1").alias("t1"), F.max(F.when(F.expr("run - words / 2.0 <= gap"), F.col("b2"))).alias("t2"))
+    return two.withColumn("run", run).groupBy("source").agg(F.first("b1").alias("t1"), F.max(F.when(F.expr("run <= gap"), F.col("b2"))).alias("t2"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -122,11 +120,16 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     rated = rated.withColumn("base", F.floor("rate").cast("long")).withColumn("frac", F.col("rate") - F.col("base"))
     u = F.pmod(F.xxhash64(F.lit("copies"), "__row"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rated = rated.withColumn("key", (u - F.col("frac") + 1.0) / 2.0)
-    gaps = rated.groupBy("source").agg((F.first("target") - F.sum(F.col("base") * F.col("size"))).alias("gap")).withColumnRenamed("source", "s2")
-    cuts = threshold(rated.where("frac > 0 and size > 0").select("source", "size", "base", "key"), gaps).withColumnRenamed("source", "s2")
     b1 = F.floor(F.col("key") * BINS).cast("int")
     b2 = F.floor((F.col("key") * BINS - b1) * BINS).cast("int")
     below = (b1 < F.col("t1")) | ((b1 == F.col("t1")) & (b2 <= F.coalesce(F.col("t2"), F.lit(-1))))
-    more = F.when((F.col("frac") > 0) & (F.col("size") > 0) & F.coalesce(below, F.lit(True)), 1).otherwise(0)
-    out = rated.join(cuts, F.expr("source <=> s2"), "left").withColumn("copies", F.col("base") + more)
+    out = rated.withColumn("copies", F.col("base"))
+    for _ in range(PASSES):  # what the first cut leaves open is filled with documents that still fit
+        gaps = cut(out.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")).withColumnRenamed("source", "s2"))
+        out = out.join(gaps, F.expr("source <=> s2"), "left").drop("s2")
+        open_ = (F.col("copies") == F.col("base")) & (F.col("frac") > 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
+        cuts = cut(threshold(out.where(open_).select("source", "size", "base", "key"), gaps)).withColumnRenamed("source", "s2")
+        # a source without a cut takes all that is open
+        more = F.when(open_ & F.coalesce(below, F.lit(True)), 1).otherwise(0)
+        out = cut(out.join(cuts, F.expr("source <=> s2"), "left").withColumn("copies", F.col("copies") + more).drop("s2", "t1", "t2", "gap"))
     return out.select("doc_id", "size", "source", F.col("total").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), "__row")

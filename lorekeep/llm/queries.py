@@ -7,17 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
-from .common import remainder
+from .common import new_folder, remainder
+from .embeddings import embedding_neardup
 from .jaccard import ngram_jaccard
+from .language import identify_language
 from .lines import line_dedup
+from .matroska import media_digest
 from .mixing import mix_sources
 from .quality import quality_scores
+from .rollup import TokenRollup, corpus_counts
+from .warc import archive_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_neardup(table(spark, sf_dir, "embeddings"))
+
+
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False, digests=True)
 
@@ -27,12 +36,21 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality_scores(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rollup = TokenRollup(spark, new_folder(spark, "rollup"))
+    return corpus_counts(table(spark, sf_dir, "documents"), rollup, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate")
 
@@ -41,19 +59,43 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify_language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op3_line_dedup, op5_quality_classifier, op7_source_mix, op8_ngram_jaccard, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_bpe_roundtrip, op3_line_dedup, op4_media_columns, op5_quality_classifier, op6_token_counts, op7_source_mix, op8_ngram_jaccard, op9_language_id, op10_warc, pipeline)}
 
 #: A-Z only, as the contracts have it.
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BLANKS = "(chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 ORACLE_SQL = {
+    "op1_embedding_neardup": """
+with recursive good as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as u, b.vec_id as v from good a join good b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.93),
+reach(u, v) as (select u, v from links union select r.u, l.v from reach r join links l on l.u = r.v),
+roots as (select u, min(v) as m from reach group by u),
+degree as (select u, count(*) as n from links group by u)
+select e.vec_id, coalesce(d.n, 0) as n_links, least(e.vec_id, coalesce(r.m, e.vec_id)) as component_id,
+  e.vec_id = least(e.vec_id, coalesce(r.m, e.vec_id)) as kept
+from embeddings e left join degree d on d.u = e.vec_id left join roots r on r.u = e.vec_id
+""",
     "op3_line_dedup": f"""
 with lines as (
   select doc_id, l.i as i, l.line as line, {LOWER.format(f"trim(l.line, {BLANKS})")} as key
@@ -79,5 +121,17 @@ both_ways as (select u, v from links union all select v, u from links),
 reach(u, v) as (select u, v from both_ways union select r.u, b.v from reach r join both_ways b on b.u = r.v)
 select g.doc_id, cast(len(g.g) as bigint) as n_shingles, least(g.doc_id, coalesce(min(r.v), g.doc_id)) as component_id
 from grams g left join reach r on r.u = g.doc_id group by g.doc_id, len(g.g)
+""",
+    "op10_warc": """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html) as n, sha1(html) as h, min(page_id) over (partition by html) as first_page from p),
+bits as (select *, '0x' as pre from d),
+digest as (
+  select page_id, n, first_page, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((
+      (cast('0x' || substr(h, 1 + cast(floor(i / 8) as bigint) * 10, 10) as bigint) // cast(pow(2, 35 - 5 * (i % 8)) as bigint)) % 32) as bigint), 1)), '') as payload_digest from bits)
+select page_id, cast(n as bigint) as payload_bytes, payload_digest, case when page_id = first_page then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_page then first_page end as refers_to
+from digest
 """,
 }

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LAST_ID, SPACE, cut
+from .common import LAST_ID, SPACE, bounded, cut
 
 SEGMENT_BITS = 19
 LEAST_BITS, MOST_BITS, BITS_A_LINE = 20, 30, 16
@@ -78,8 +78,8 @@ def line_hashes(least: int):
     return hashes
 
 
-def twice_filter(rows: DataFrame, hashes, bits: int) -> np.ndarray:
-    """The merged filter of 64-bit hashes that two rows may hold, as packed bits.
+def twice_filter(rows: DataFrame, hashes, bits: int, *, once: bool = False) -> np.ndarray:
+    """The merged filter of 64-bit hashes that two rows (with once: one row) may hold, as packed bits.
 
     hashes gives those of a slice of the first column.
     """
@@ -101,13 +101,13 @@ def twice_filter(rows: DataFrame, hashes, bits: int) -> np.ndarray:
             for s, a, b in zip(pdf["seg"], pdf["once"], pdf["twice"]):
                 a, b = unpack(a), unpack(b)
                 if s in held:
-                    once, twice = held[s]
-                    twice |= b | (once & a)
-                    once |= a
+                    seen, twice = held[s]
+                    twice |= b | (seen & a)
+                    seen |= a
                 else:
                     held[s] = (a.copy(), b.copy())
-        for s, (_, twice) in held.items():
-            yield pd.DataFrame({"seg": [s], "twice": [twice.tobytes()]})
+        for s, (seen, twice) in held.items():
+            yield pd.DataFrame({"seg": [s], "twice": [(seen if once else twice).tobytes()]})
 
     parts = max(1, 1 << max(0, bits - SEGMENT_BITS))
     width = min(parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -138,7 +138,7 @@ def line_dedup(docs: DataFrame, *, least: int = 10, filter_bits: int | None = No
     after all others. filter_bits: log2 of the filters' size; from 2**20 to 2**30 bits, by the
     number of lines, if not given. A fuller filter costs shuffling, never correctness.
     """
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
     docs = docs.drop("n_lines", "n_dropped")
     texts = docs.select(F.col("text"))
     if filter_bits is None:
@@ -164,7 +164,8 @@ def line_dedup(docs: DataFrame, *, least: int = 10, filter_bits: int | None = No
     held = cut(docs.select(order.alias("d"), "text").mapInArrow(suspects, "d long, key binary"))
     repeated = held.groupBy("key").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("key", "first")
     lost = held.join(repeated, "key").where("d <> first").groupBy("d").agg(F.collect_set("key").alias("__lost"))
-    plan = docs.withColumn("__d", order).join(lost.withColumnRenamed("d", "__d"), "__d", "left").drop("__d")
+    # the texts are streamed past a hash table of what they lose, so they are shuffled once and never sorted
+    plan = docs.withColumn("__d", order).join(lost.withColumnRenamed("d", "__d").hint("shuffle_hash"), "__d", "left").drop("__d")
     names = docs.columns
     at_text, at_lost = names.index("text"), len(names)
 

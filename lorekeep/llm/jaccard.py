@@ -2,9 +2,9 @@
 
 Documents with equal shingle sets become one set. Sets that share a token of their prefixes (the
 rarest tokens, so many that two similar sets must have one in common) form groups: a set's group
-is its least such token. A group of any size is dealt into blocks of bounded size, and the matrix
+is the one of these tokens that most sets share. A group of any size is dealt into blocks of bounded size, and the matrix
 holds, for each block, the union of its members' prefix tokens with the least and largest set
-size. Two blocks are opened only if their unions meet and sizes allow a link; opened, each member
+size. Two blocks are opened only if their unions share enough tokens and sizes allow a link; opened, each member
 must first reach its overlap bound against the other block's whole token union; only what is left
 is intersected, as a product of bounded matrices. Blocks emit spanning links, never all pairs.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ from .lines import probe, twice_filter
 
 #: Members and shingles of a block at most (but for a single larger document), tokens in a product.
 MEMBERS, SHINGLES, WIDTH = 384, 600_000, 4096
+#: A prefix has one token more for so many tokens of the set, and similar sets share as many more.
+EXTRA = 40
 #: Cells of the table of common shingles (one byte each when broadcast).
 CELLS = 22
 #: Shingles whose counts a task holds at a time.
@@ -211,7 +214,7 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
                     m = mix64(s)
                     s1.append(int(m.sum(dtype=np.uint64).astype(np.int64)))
                     s2.append(int(mix64(m).sum(dtype=np.uint64).astype(np.int64)))
-                    p = len(s) - needed(len(s), percent) + 1 if len(s) else 0
+                    p = len(s) - needed(len(s), percent) + 1 + len(s) // EXTRA if len(s) else 0
                     order = (level[s >> shift].astype(np.uint64) << np.uint64(58)) | (m >> np.uint64(6))
                     prefixes.append(s[np.argpartition(order, p - 1)[:p]] if p < len(s) else s)
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
@@ -224,7 +227,7 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
 
     total = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, int(total * BITS_A_TOKEN).bit_length()))
-    own = reps.join(sets.select(F.col("d").alias("r"), "s1", "s2", "prefix"), ["r", "s1", "s2"]).dropDuplicates(["r"])
+    own = reps.join(sets.select(F.col("d").alias("r"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), "prefix"), "r").where("s1 = t1 and s2 = t2").dropDuplicates(["r"])
     own = cut(own.select("prefix", "r", "n", "s1", "s2"))
     scramble = lambda column: mix64(column.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
     twice = sc.broadcast(twice_filter(own, scramble, bits).tobytes())
@@ -241,9 +244,16 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), pa.array(b.column(1).to_numpy()[owner]), pa.array(b.column(2).to_numpy()[owner])], ["tok", "r", "n"])
 
     tokens = own.mapInArrow(shared_tokens, "tok long, r long, n long")
-    both = tokens.groupBy("tok").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo < hi").select("tok")
+    # two similar sets share 1 + n // EXTRA tokens of their prefixes, n the smaller size: fewer rule a set out
+    for _ in range(2):
+        both = tokens.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
+        tokens = cut(tokens.join(both, "tok"))
+        enough = tokens.groupBy("r").agg(F.count("*").alias("k"), F.first("n").alias("m")).where(f"k > ceil({percent} * m / 100) div {EXTRA}").select("r")
+        tokens = tokens.join(enough, "r", "left_semi").select("tok", "r", "n")
+    both = tokens.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
     tokens = cut(tokens.join(both, "tok"))
-    member = tokens.groupBy("r").agg(F.min("tok").alias("g"), F.first("n").alias("n"))
+    # the most shared token names the group: a family then falls into few groups, whose unions meet seldom
+    member = tokens.groupBy("r").agg(F.max(F.struct("c", "tok")).alias("x"), F.first("n").alias("n")).select("r", "n", F.col("x.tok").alias("g"))
     sizes = member.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("parts"))
     member = member.join(sizes, "g").select("r", "g", F.pmod(F.xxhash64("r"), "parts").cast("int").alias("part"))
     member = cut(member)
@@ -251,11 +261,20 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
     matrix = tokens.join(member, "r").groupBy("tok", "g", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     a, b = matrix.alias("a"), matrix.alias("b")
     pairs = a.join(b, F.expr(f"a.tok = b.tok and (a.g < b.g or a.g = b.g and a.part < b.part) and {percent} * a.lo <= 100 * b.hi and {percent} * b.lo <= 100 * a.hi"))
-    pairs = cut(pairs.select(F.expr("a.g ag"), F.expr("a.part ap"), F.expr("b.g bg"), F.expr("b.part bp")).distinct())
+    pairs = pairs.groupBy(F.expr("a.g ag"), F.expr("a.part ap"), F.expr("b.g bg"), F.expr("b.part bp")).agg(F.count("*").alias("k"), F.min(F.least("a.lo", "b.lo")).alias("m"))
+    pairs = cut(pairs.where(f"k > ceil({percent} * m / 100) div {EXTRA}").select("ag", "ap", "bg", "bp"))
     met = pairs.select(F.col("ag").alias("g"), F.col("ap").alias("part")).union(pairs.select("bg", "bp")).distinct().withColumn("met", F.lit(True))
 
     wanted = own.select("r", "s1", "s2").join(member, "r").withColumnRenamed("r", "doc_id")
-    opened = docs.select(known.alias("doc_id"), "text").join(wanted, "doc_id")
+    # documents without a partner in sight, mostly the bulk, are not even shuffled
+    id_bits = min(MOST_BITS, max(LEAST_BITS, int(member.count() * 16).bit_length()))
+    ids = sc.broadcast(twice_filter(member.select("r"), lambda column: mix64(column.to_numpy().view(np.uint64)), id_bits, once=True).tobytes())
+
+    @F.pandas_udf("boolean")
+    def grouped(column):
+        return pd.Series(probe(np.frombuffer(ids.value, np.uint8), mix64(column.to_numpy(np.int64).view(np.uint64)), id_bits))
+
+    opened = docs.select(known.alias("doc_id"), "text").where(grouped("doc_id")).join(wanted, "doc_id")
     opened = opened.groupBy("g", "part").agg(F.collect_list(F.struct("doc_id", "s1", "s2", "text")).alias("rows"), F.count("*").alias("c"))
     opened = opened.join(met, ["g", "part"], "left").where("c > 1 or met").select("g", "part", "met", "rows")
     edge = pa.schema([("g", pa.int64()), ("part", pa.int32()), ("u", pa.int64()), ("v", pa.int64()), ("blob", pa.binary())])
@@ -293,7 +312,8 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
 
     edges = opened.where("blob is null").select("u", "v").union(across.mapInArrow(between, "u long, v long"))
     component = connected_components(edges)
-    named = firsts.join(component.withColumnRenamed("node", "r"), "r", "left").select("s1", "s2", "n", F.coalesce("component", "r").alias("c"))
+    # written out, so that Spark can split a text with very many copies in the join
+    named = cut(firsts.join(component.withColumnRenamed("node", "r"), "r", "left").select("s1", "s2", "n", F.coalesce("component", "r").alias("c")))
     out = sets.select("d", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
     null_last = lambda c: F.when(c != LAST_ID, c)
     return out.select(null_last(F.col("d")).alias("doc_id"), F.col("n").alias("n_shingles"), null_last(F.coalesce("c", "d")).alias("component_id"))

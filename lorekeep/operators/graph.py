@@ -127,13 +127,11 @@ def rank(queries: DataFrame, candidates: DataFrame, nodes: DataFrame, edges: Dat
 def distances(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(start, node, distance) within depth hops, deduplicated at each hop."""
     hops = both_ways(edges.select("source", "target")).distinct()
-    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("distance"))
-    level = seen
+    level = seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("distance"))
     for k in range(1, depth + 1):
         level = level.join(hops, F.expr("node = source")).select("start", F.col("target").alias("node"), F.lit(k).alias("distance")).distinct()
-        seen = seen.union(level).groupBy("start", "node").agg(F.min("distance").alias("distance"))
-        level = seen.where(F.col("distance") == k)
-    return seen
+        seen = seen.union(level)
+    return seen.groupBy("start", "node").agg(F.min("distance").alias("distance"))
 
 
 def neighbours(starts: DataFrame, edges: DataFrame, depth: int, limit: int) -> DataFrame:
@@ -152,9 +150,9 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, longest: int = 6) -> Data
     seen = level
     for _ in range(longest):
         level = level.join(hops, F.expr("at = a")).where("not array_contains(path, b)").groupBy("source", "b").agg(F.min(F.concat("path", F.array("b"))).alias("path")).select("source", F.col("b").alias("at"), "path")
-        level = level.join(seen.select("source", "at"), ["source", "at"], "left_anti")
         seen = seen.unionByName(level)
-    return pairs.join(seen.withColumnRenamed("at", "target"), ["source", "target"]).select("source", "target", "path", (F.size("path") - 1).alias("hops"))
+    first = seen.groupBy("source", "at").agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("x"))
+    return pairs.join(first.select("source", F.col("at").alias("target"), "x.path"), ["source", "target"]).select("source", "target", "path", (F.size("path") - 1).alias("hops"))
 
 
 def merge_graphs(graphs: dict[str, tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:

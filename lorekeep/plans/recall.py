@@ -15,6 +15,7 @@ from ..operators.graph import allowed_edges, build_graph, neighbours, rank, shor
 from ..operators.lexical import LexicalIndex, best_per_group, bm25, build_index, normalised, top
 from ..operators.scope import Scope, mentioned
 from ..operators.vector import sparse_cosine
+from ..staging import settle
 
 # Column weights, requested and candidate limits, context size.
 WEIGHTS = {"title": 4.0, "heading": 2.0, "text": 1.0, "identifier_text": 7.0}
@@ -42,6 +43,11 @@ class Notes:
         nodes, edges, links = build_graph(docs)
         return cls(docs, chunks, lexical, vectors, nodes, edges, links)
 
+    def settled(self) -> Notes:
+        """The same, with every table written out once."""
+        tables = {k: settle(v) for k, v in self.tables().items()}
+        return Notes.load(tables.__getitem__)
+
     def tables(self) -> dict[str, DataFrame]:
         return {"docs": self.docs, "chunks": self.chunks, "postings": self.lexical.postings, "lengths": self.lexical.lengths, "terms": self.lexical.terms, "stats": self.lexical.stats, "vectors": self.vectors, "nodes": self.nodes, "edges": self.edges}
 
@@ -63,23 +69,25 @@ def search(notes: Notes, queries: DataFrame, scopes: dict[str, Scope] | None = N
     default = queries.where(~F.col("query_id").isin(*scopes)) if scopes else queries
     parts = [default.select("query_id").join(notes.docs.where(Scope().predicate()).select("memory_id", "path"), how="cross")]
     parts += [queries.where(F.col("query_id") == k).select("query_id").join(notes.docs.where(s.predicate()).select("memory_id", "path"), how="cross") for k, s in scopes.items()]
-    allowed = reduce(DataFrame.unionByName, parts)
+    allowed = settle(reduce(DataFrame.unionByName, parts))
     own = notes.chunks.select(F.col("chunk_id").alias("id"), "memory_id", "ordinal")
     chunk_allowed = allowed.join(own.select("id", "memory_id"), "memory_id").select("query_id", "id")
 
     lex = bm25(notes.lexical, queries, allowed=chunk_allowed).join(own, "id").withColumn("score", normalised(F.col("bm25")))
     lex = best_per_group(lex, "memory_id", [F.desc("score"), F.asc("ordinal"), F.asc("id")])
-    lex = top(lex, [F.desc("score"), F.asc("memory_id")], many)
+    lex = settle(top(lex, [F.desc("score"), F.asc("memory_id")], many).select("query_id", "memory_id", "id", "score", "rank"))
 
     q = queries.select("query_id", embed(F.col("query")).alias("v"))
     sem = sparse_cosine(q, notes.vectors).withColumnRenamed("cosine", "score").where("score > 0").join(chunk_allowed, ["query_id", "id"], "left_semi").join(own, "id")
     sem = best_per_group(sem, "memory_id", [F.desc("score"), F.asc("ordinal"), F.asc("id")])
-    sem = top(sem, [F.desc("score"), F.asc("memory_id")], many)
+    sem = settle(top(sem, [F.desc("score"), F.asc("memory_id")], many).select("query_id", "memory_id", "id", "score", "rank"))
 
     paths = notes.docs.select("memory_id", "path")
     seeds = lex.where(F.col("rank") <= SEEDS).select("query_id", "memory_id", "rank").union(sem.where(F.col("rank") <= SEEDS).select("query_id", "memory_id", "rank"))
     seeds = top(seeds.groupBy("query_id", "memory_id").agg(F.sum(1.0 / (60 + F.col("rank"))).alias("s")), [F.desc("s"), F.asc("memory_id")], SEEDS, "place")
     seeds = seeds.withColumn("n", F.max("place").over(W.partitionBy("query_id"))).join(paths, "memory_id").select("query_id", "path", "place", "n")
+    seeds = settle(seeds)
+    # lists of at most `many` rows a query are settled, so that each producer is planned and run once
     nodes, edges = allowed_edges(notes.nodes, notes.edges, None if scopes else allowed.select("path"))
     walk = rank(queries, seeds, nodes, edges, many).join(allowed, ["query_id", "path"]).select("query_id", "memory_id", "rank", "score")
 
@@ -89,7 +97,7 @@ def search(notes: Notes, queries: DataFrame, scopes: dict[str, Scope] | None = N
     whole = fused.join(queries, "query_id").join(notes.docs.select(F.col("memory_id").alias("id"), "memory_id", "path", "title", "updated", "review_after"), "id").join(best, ["query_id", "memory_id"], "left")
     first = notes.chunks.where("ordinal = 0").select("memory_id", F.col("chunk_id").alias("c0"))
     whole = whole.join(first, "memory_id", "left").withColumn("chunk_id", F.coalesce("chunk_id", "c0")).join(notes.chunks.select("chunk_id", "heading", "text", "ordinal"), "chunk_id", "left")
-    ranked = rerank(whole, limit)
+    ranked = settle(rerank(whole, limit))
     return context(ranked, notes.chunks), answer_gate(ranked)
 
 

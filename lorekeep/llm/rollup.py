@@ -10,26 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import model
+from .bpe import bpe_encode
 from .common import WORD_PATTERN, bounded
 
 KEYS = ("source", "lang", "tokenizer")
+#: Files of a batch.
+FILES = 4
 
 
-def count_tokens(texts, path: str):
-    """Column of BPE token counts of whole texts; a null text has none."""
-
-    @F.pandas_udf("long")
-    def count(column):
-        import pandas as pd
-
-        bpe = model(path)
-        out = []
-        for i in range(0, len(column), 2048):
-            out += [len(x) for x in bpe.encode_many(column.iloc[i : i + 2048].tolist())]
-        return pd.Series(out, dtype="int64")
-
-    return count(F.coalesce(texts, F.lit("")))
+def count_tokens(docs: DataFrame, path: str, keep: tuple[str, ...]) -> DataFrame:
+    """The columns in keep and `tokens`, the BPE tokens of each whole text; a null text has none."""
+    return bpe_encode(docs, path, ids=False, keep=keep).withColumnRenamed("n_tokens", "tokens")
 
 
 def count_words(texts):
@@ -78,7 +69,7 @@ class TokenRollup:
             return False
         aside = f"{self.folder}/pending/{batch_id}"
         summed = deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        summed.write.mode("overwrite").parquet(aside)
+        summed.coalesce(FILES).write.mode("overwrite").parquet(aside)  # a row a group, so few files do
         self._fs.mkdirs(self._path(f"{self.folder}/batches"))
         return bool(self._fs.rename(self._path(aside), self._path(place)))
 
@@ -100,7 +91,8 @@ def corpus_counts(docs: DataFrame, rollup: TokenRollup, path: str) -> DataFrame:
     base = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text")
     both = F.explode(F.array(*[F.struct(F.lit(t).alias("tokenizer"), n.alias("tokens")) for t, n in (("words-1", count_words(F.col("text"))), ("byte_bpe_50k-1", estimate))]))
     load = base.withColumn("x", both).select(F.lit("insert").alias("op"), "source", "lang", "x.tokenizer", "x.tokens", F.lit(None).cast("long").alias("old_tokens"))
-    revise = base.select(F.lit("revise").alias("op"), "source", "lang", F.lit("byte_bpe_50k-1").alias("tokenizer"), count_tokens(F.col("text"), path).alias("tokens"), estimate.alias("old_tokens"))
+    exact = count_tokens(base.withColumn("old_tokens", estimate), path, ("source", "lang", "old_tokens"))
+    revise = exact.select(F.lit("revise").alias("op"), "source", "lang", F.lit("byte_bpe_50k-1").alias("tokenizer"), "tokens", "old_tokens")
     rollup.commit("load", signed(load))
     rollup.commit("revise", signed(revise))
     return rollup.totals()

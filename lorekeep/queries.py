@@ -10,6 +10,7 @@ from .functions import text as T
 from .functions.identity import artifact_id, artifact_uri
 from .functions.secrets import PATTERNS, plain_secret
 from .functions.vectors import signs
+from .operators import distill as D
 from .operators import events as E
 from .operators import graph as G
 from .operators import hierarchy as H
@@ -141,7 +142,7 @@ def quoted_phrase(spark, sf):
 
 @query(f"""with d as (select doc_id, unnest(list_distinct({QUERY_TOKENS.format("string_split(text, chr(10))[1]")})) as w from documents),
 b as (select item_id, unnest(list_distinct({QUERY_TOKENS.format('text')})) as w from benchmark)
-select item_id, doc_id, count(*) as overlap, round(least(0.06, count(*) * 0.015), 6) as bonus from b join d using (w) group by item_id, doc_id having count(*) >= 2""")
+select item_id, doc_id, count(*) as overlap, cast(round(least(0.06, count(*) * 0.015), 6) as double) as bonus from b join d using (w) group by item_id, doc_id having count(*) >= 2""")
 def title_overlap(spark, sf):
     words = lambda df, key, c: df.select(key, F.explode(F.array_distinct(T.query_tokens(c))).alias("w"))
     d = words(t(spark, sf, "documents"), "doc_id", F.split_part("text", F.lit("\n"), F.lit(1)))
@@ -451,6 +452,36 @@ def disposition_receipt(spark, sf):
     return E.receipts(log).select("batch_id", "accepted", "unchanged", "stale", "conflict")
 
 
+@query("""select c_custkey, count(o_orderkey) filter (where o_orderstatus <> 'F') as live, count(o_orderkey) filter (where o_orderstatus = 'F') as tombstones, c_acctbal < -900 as hidden
+from customer left join orders on o_custkey = c_custkey group by c_custkey, c_acctbal""")
+def event_apply(spark, sf):
+    """The exact fold: customers as conversations, orders as messages, an instance a nation.
+
+    A second batch deletes finished orders and, by cascade, all orders of deeply indebted customers.
+    """
+    c = t(spark, sf, "customer").select("c_custkey", F.concat(F.lit("n"), "c_nationkey").alias("source_instance"), (F.col("c_acctbal") < -900).alias("gone"))
+    o = t(spark, sf, "orders").join(c.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
+    null, text = F.lit(None), lambda x: F.col(x).cast("string")
+
+    def rows(df, batch, operation, entity, key, parent, payload):
+        return df.select(
+            F.lit(batch).cast("long").alias("batch_seq"), F.concat(F.lit(f"b{batch}/"), "source_instance").alias("batch_id"), F.lit("tpch").alias("source"), "source_instance", F.expr(f"timestamp'2024-01-01' + interval {batch} day").alias("observed_at"),
+            F.when(F.lit(entity) == "conversation", F.col(key)).otherwise(F.col(key) + 2**30).cast("int").alias("ordinal"), F.lit("event").alias("record"), F.lit(operation).alias("operation"), F.lit(entity).alias("entity"), text(key).alias("external_id"),
+            F.lit("conversation" if parent else None).cast("string").alias("parent_entity"), (text(parent) if parent else null.cast("string")).alias("parent_external_id"), F.lit(batch).cast("long").alias("source_sequence"), null.cast("timestamp").alias("source_updated_at"),
+            null.cast("string").alias("source_version"), payload.alias("payload"), null.cast("timestamp").alias("covered_from"), null.cast("timestamp").alias("covered_to"),
+        )
+
+    finished = F.to_json(F.struct(F.col("o_orderstatus").alias("text")))
+    events = rows(c, 1, "upsert", "conversation", "c_custkey", None, F.lit("{}")).union(rows(o, 1, "upsert", "message", "o_orderkey", "o_custkey", finished))
+    events = events.union(rows(o.where("o_orderstatus = 'F'"), 2, "delete", "message", "o_orderkey", "o_custkey", null.cast("string"))).union(rows(c.where("gone"), 3, "delete", "conversation", "c_custkey", None, null.cast("string")))
+    state, _ = E.apply_events(events)
+    m = state.where("entity = 'message'").select("parent_artifact_id", (F.get_json_object("payload", "$.text") == "F").alias("f"))
+    by = m.groupBy("parent_artifact_id").agg(F.count_if(~F.col("f")).alias("live"), F.count_if("f").alias("tombstones"))
+    k = state.where("entity = 'conversation'").select("artifact_id", F.col("external_id").cast("long").alias("c_custkey"), F.col("deleted_at").isNotNull().alias("hidden"))
+    out = k.join(by, F.expr("artifact_id = parent_artifact_id"), "left")
+    return out.select("c_custkey", F.coalesce("live", F.lit(0)).alias("live"), F.coalesce("tombstones", F.lit(0)).alias("tombstones"), "hidden")
+
+
 @query("""select o_orderkey from orders join customer on c_custkey = o_custkey where c_mktsegment = 'BUILDING' and o_orderdate >= timestamp '1995-01-01' and o_orderdate <= timestamp '1997-01-01' and o_orderstatus <> 'F'""")
 def coverage_tombstone(spark, sf):
     o, c = t(spark, sf, "orders"), t(spark, sf, "customer")
@@ -609,6 +640,19 @@ def secret_detect(spark, sf):
     return t(spark, sf, "documents").where(plain_secret(F.col("text"))).select("doc_id")
 
 
+LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
+MATCHING = "list_filter({0}, lambda x: regexp_matches(x, '{1}'))"
+SPOKEN = D.SPOKEN.replace("'", "''")
+
+
+@query(f"""with l as (select conv_id, turn, {LINES} as ls from (select conv_id, turn, replace(text, '. ', chr(10)) as text from conversations)),
+m as (select *, len({MATCHING.format('ls', D.TIMED)}) as timed, len({MATCHING.format('ls', SPOKEN)}) as spoken, {MATCHING.format('ls', D.QUOTED)} as quoted from l)
+select conv_id, turn, timed >= 12 or (spoken >= 4 and spoken >= 0.3 * len(ls)) or len(quoted) > 12 or length(array_to_string(quoted, '')) > 2400 as transcript from m""")
+def transcript_detect(spark, sf):
+    c = t(spark, sf, "conversations")
+    return c.select("conv_id", "turn", D.is_transcript(F.replace("text", F.lit(". "), F.lit("\n"))).alias("transcript"))
+
+
 @query("select sha256(text) as hash, min(doc_id) as first_doc, count(*) as copies from documents group by 1")
 def content_hash_dedupe(spark, sf):
     return t(spark, sf, "documents").groupBy(T.content_hash(F.col("text")).alias("hash")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))

@@ -23,6 +23,20 @@ from .common import WORD_PATTERN, cut
 #: Source weights by rank in code-point order, repeating, and the mix's size against the input's.
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 STEPS, STEPS_A_CUT, TOLERANCE, BINS, PASSES = 60, 6, 1e-9, 2048, 3
+#: Sources whose figures are broadcast.
+SOURCES = 50_000
+#: Counts by (source, size) in a partition.
+A_PARTITION = 200_000
+
+
+def beside(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+    """rows left-joined to a table with a row a source (key s2, null included).
+
+    Up to SOURCES sources, which is counted, that table is broadcast and no source's rows are
+    moved; beyond that the join shuffles, and Spark splits a source that is large.
+    """
+    small = per_source.limit(SOURCES + 1).count() <= SOURCES
+    return rows.join(F.broadcast(per_source) if small else per_source, F.expr("source <=> s2"), "left").drop("s2")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -110,13 +124,15 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("__row"))
     d = cut(d)
     histogram = cut(d.groupBy("source", "size").agg(F.count("*").alias("c")))
+    # as many partitions as its rows ask for: the steps over a small one then shuffle nothing
+    histogram = histogram.coalesce(max(1, -(-histogram.count() // A_PARTITION)))
     totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("c")).alias("total"))
     goals = cut(targets(totals, weights, share, most))
     positive = histogram.where("size > 0")
     lams = cut(multipliers(positive, goals, most))
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("lam").isNull(), float(most)).otherwise(F.least(F.lit(float(most)), F.exp(F.least(F.lit(50.0), F.col("lam") * F.col("size") / F.col("mean")))))
     per_source = goals.join(lams.withColumnRenamed("source", "s2"), F.expr("source <=> s2"), "left").drop("s2").withColumnRenamed("source", "s2")
-    rated = d.join(per_source, F.expr("source <=> s2"), "left").drop("s2").withColumn("rate", rate)
+    rated = beside(d, cut(per_source)).withColumn("rate", rate)
     rated = rated.withColumn("base", F.floor("rate").cast("long")).withColumn("frac", F.col("rate") - F.col("base"))
     u = F.pmod(F.xxhash64(F.lit("copies"), "__row"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rated = rated.withColumn("key", (u - F.col("frac") + 1.0) / 2.0)
@@ -126,10 +142,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     out = rated.withColumn("copies", F.col("base"))
     for _ in range(PASSES):  # what the first cut leaves open is filled with documents that still fit
         gaps = cut(out.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")).withColumnRenamed("source", "s2"))
-        out = out.join(gaps, F.expr("source <=> s2"), "left").drop("s2")
+        out = beside(out, gaps)
         open_ = (F.col("copies") == F.col("base")) & (F.col("frac") > 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
         cuts = cut(threshold(out.where(open_).select("source", "size", "base", "key"), gaps)).withColumnRenamed("source", "s2")
         # a source without a cut takes all that is open
         more = F.when(open_ & F.coalesce(below, F.lit(True)), 1).otherwise(0)
-        out = cut(out.join(cuts, F.expr("source <=> s2"), "left").withColumn("copies", F.col("copies") + more).drop("s2", "t1", "t2", "gap"))
+        out = cut(beside(out, cuts).withColumn("copies", F.col("copies") + more).drop("t1", "t2", "gap"))
     return out.select("doc_id", "size", "source", F.col("total").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), "__row")

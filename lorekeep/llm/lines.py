@@ -162,7 +162,8 @@ def line_dedup(docs: DataFrame, *, least: int = 10, filter_bits: int | None = No
 
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     held = cut(docs.select(order.alias("d"), "text").mapInArrow(suspects, "d long, key binary"))
-    repeated = held.groupBy("key").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("key", "first")
+    # written out, so that Spark can split a very common key in the join
+    repeated = cut(held.groupBy("key").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("key", "first"))
     lost = held.join(repeated, "key").where("d <> first").groupBy("d").agg(F.collect_set("key").alias("__lost"))
     # the texts are streamed past a hash table of what they lose, so they are shuffled once and never sorted
     plan = docs.withColumn("__d", order).join(lost.withColumnRenamed("d", "__d").hint("shuffle_hash"), "__d", "left").drop("__d")

@@ -151,7 +151,8 @@ def embedding_neardup(vectors: DataFrame, *, threshold: float = 0.93) -> DataFra
     links = found.where("n is not null").groupBy("i", "h1").agg(F.sum("n").alias("n"))
     component = connected_components(found.where("u is not null").select("u", "v"))
     stands = group.join(links.withColumnRenamed("i", "r"), ["r", "h1"], "left").join(component.withColumnRenamed("node", "r"), "r", "left")
-    stands = stands.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("c") - 1).alias("n"), F.coalesce("component", "r").alias("root"))
+    # written out, so that Spark can split a vector with very many copies in the join
+    stands = cut(stands.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("c") - 1).alias("n"), F.coalesce("component", "r").alias("root")))
     out = rows.select("vec_id", "i", F.when(F.col("x").isNotNull(), F.col("h1")).alias("h1"), F.when(F.col("x").isNotNull(), F.col("h2")).alias("h2")).join(stands, ["h1", "h2"], "left")
     root = F.coalesce("root", "i")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(root != last, root).alias("component_id"), (F.col("i") == root).alias("kept"))

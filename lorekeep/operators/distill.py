@@ -12,7 +12,8 @@ from ..functions.text import front_matter, slug
 
 # Bounds of a note that is a transcript in disguise, and the marks of a managed region.
 TURNS, SPEAKER_SHARE, QUOTED_LINES, QUOTED_CHARS = 12, 0.30, 12, 2400
-BEGIN, END = "<!-- ai-memory:begin -->", "<!-- ai-memory:end -->"
+BEGIN, END = "%% notes:distilled-begin %%", "%% notes:distilled-end %%"
+_BEGIN, _END = (re.compile(rf"%% [a-z-]+:distilled-{x} %%") for x in ("begin", "end"))
 TIMED = r"^\s*(?:[-*]\s*)?\[?\d{1,2}:\d{2}(?::\d{2})?\]?\s+\S"
 SPOKEN = r"^\s*(?:[-*]\s*)?(?:\*\*)?[\p{Lu}][\p{L} .'-]{0,60}(?:\*\*)?:\s+\S"
 QUOTED = r"^\s*>"
@@ -45,13 +46,20 @@ def replace_managed(text: str, content: str) -> str:
 
     A note without marks gets them at its end; any other number or order of marks is an error.
     """
-    begins, ends = text.count(BEGIN), text.count(END)
-    if begins == ends == 0:
+    region = managed(text)
+    if region is None:
         return f"{text.rstrip()}\n\n{BEGIN}\n{content.strip()}\n{END}\n"
-    if begins != 1 or ends != 1 or text.index(BEGIN) > text.index(END):
+    return f"{text[: region[0]]}\n{content.strip()}\n{text[region[1] :]}"
+
+
+def managed(text: str) -> tuple[int, int] | None:
+    """Where the managed region starts and ends, within its marks; None without marks."""
+    begins, ends = list(_BEGIN.finditer(text)), list(_END.finditer(text))
+    if not begins and not ends:
+        return None
+    if len(begins) != 1 or len(ends) != 1 or begins[0].start() > ends[0].start():
         raise ValueError("the note's managed region is broken")
-    head, rest = text.split(BEGIN)
-    return f"{head}{BEGIN}\n{content.strip()}\n{END}{rest.split(END)[1]}"
+    return begins[0].end(), ends[0].start()
 
 
 def safe_path(path: str, taken: set[str] = frozenset()) -> str:
@@ -78,7 +86,11 @@ def note_problems(text: str, *, memory_id: str, context: set[str], required: dic
             out.append(key)
     if meta.get("updated") is not None and not calendar_date(str(meta["updated"])):
         out.append("updated")
-    if body.count(BEGIN) != 1 or body.count(END) != 1 or body.find(BEGIN) > body.find(END):
+    try:
+        whole = managed(body) is not None
+    except ValueError:
+        whole = False
+    if not whole:
         out.append("managed region")
     evidence = re.search(r"^##\s+Evidence\s*$(.*?)(?=^##\s|\Z)", body, re.MULTILINE | re.DOTALL)
     links = set(LINK.findall(evidence.group(1))) if evidence else set()

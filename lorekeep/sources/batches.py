@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.secrets import has_secret
 
-# Record schemas, kinds and operations.
-MANIFEST, RECORD = "ai-memory/artifact-batch@1", "ai-memory/artifact-event@1"
+# Patterns of the record schemas (a producer, then the kind), entities and operations.
+MANIFEST, RECORD = r"[a-z-]+/artifact-batch@1", r"[a-z-]+/artifact-event@1"
 ENTITIES = ("conversation", "message", "meeting", "recording", "transcript", "transcript-cue", "attachment")
 OPERATIONS = ("upsert", "delete", "redact")
 REF = "struct<entity:string,external_id:string>"
@@ -33,11 +33,11 @@ def problems(rows: DataFrame) -> DataFrame:
     """(file, problem) of batches that must be refused; none for sound ones."""
     first = rows.where("at = 0").select("file", F.col("schema").alias("s"), F.col("record").alias("r"), "event_count", "batch_id", "source", "source_instance")
     label = lambda c: F.coalesce(F.rlike(c, F.lit("^[a-z][a-z0-9-]*$")), F.lit(False))
-    bad_head = first.where((F.coalesce("s", F.lit("")) != MANIFEST) | (F.coalesce("r", F.lit("")) != "batch") | F.col("batch_id").isNull() | ~label(F.col("source")) | ~label(F.col("source_instance"))).select("file", F.lit("manifest").alias("problem"))
+    bad_head = first.where(~F.rlike(F.coalesce("s", F.lit("")), F.lit(f"^{MANIFEST}$")) | (F.coalesce("r", F.lit("")) != "batch") | F.col("batch_id").isNull() | ~label(F.col("source")) | ~label(F.col("source_instance"))).select("file", F.lit("manifest").alias("problem"))
     events = rows.where("at > 0")
     counts = events.groupBy("file").agg(F.count("*").alias("n"))
     bad_count = first.join(counts, "file", "left").where("coalesce(n, 0) <> coalesce(event_count, -1)").select("file", F.lit("event count").alias("problem"))
-    sound = (F.col("schema") == RECORD) & (F.col("record") == "event") & F.col("entity").isin(*ENTITIES) & F.col("operation").isin(*OPERATIONS) & F.length("external_id").between(1, 2048) & (F.coalesce("source_sequence", F.lit(0)) >= 0)
+    sound = F.rlike(F.col("schema"), F.lit(f"^{RECORD}$")) & (F.col("record") == "event") & F.col("entity").isin(*ENTITIES) & F.col("operation").isin(*OPERATIONS) & F.length("external_id").between(1, 2048) & (F.coalesce("source_sequence", F.lit(0)) >= 0)
     payload = F.when(F.col("operation") == "delete", F.col("payload").isNull()).otherwise(F.col("payload").isNotNull())
     bad_event = events.where(~F.coalesce(sound & payload, F.lit(False))).select("file", F.lit("event").alias("problem"))
     secret = rows.where(has_secret("line")).select("file", F.lit("secret").alias("problem"))

@@ -16,10 +16,10 @@ from lorekeep.sources import legacy
 from lorekeep.sources.store import Store
 from lorekeep.streaming.apply import apply_stream, distinct_events, read_events, sessions
 
-HEAD = {"schema": B.MANIFEST, "record": "batch", "batch_id": "b1", "source": "teams", "source_instance": "default", "observed_at": "2024-01-02T00:00:00Z", "event_count": 2, "coverage": [{"parent": {"entity": "conversation", "external_id": "c"}, "entity": "message", "complete": True}]}
+HEAD = {"schema": "any/artifact-batch@1", "record": "batch", "batch_id": "b1", "source": "teams", "source_instance": "default", "observed_at": "2024-01-02T00:00:00Z", "event_count": 2, "coverage": [{"parent": {"entity": "conversation", "external_id": "c"}, "entity": "message", "complete": True}]}
 EVENTS = [
-    {"schema": B.RECORD, "record": "event", "entity": "conversation", "operation": "upsert", "external_id": "c", "source_sequence": 1, "payload": {"title": "T"}},
-    {"schema": B.RECORD, "record": "event", "entity": "message", "operation": "upsert", "external_id": "m", "parent": {"entity": "conversation", "external_id": "c"}, "source_sequence": 1, "payload": {"text": "hi", "occurred_at": "2024-01-01T10:00:00Z"}},
+    {"schema": "any/artifact-event@1", "record": "event", "entity": "conversation", "operation": "upsert", "external_id": "c", "source_sequence": 1, "payload": {"title": "T"}},
+    {"schema": "any/artifact-event@1", "record": "event", "entity": "message", "operation": "upsert", "external_id": "m", "parent": {"entity": "conversation", "external_id": "c"}, "source_sequence": 1, "payload": {"text": "hi", "occurred_at": "2024-01-01T10:00:00Z"}},
 ]
 
 

@@ -264,6 +264,12 @@ def bpe_encode(docs: DataFrame, path: str, *, ids: bool = True, digests: bool =
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
 
     def run(batches):
+        try:
+            yield from encode(batches)
+        finally:
+            model(path).forget()  # workers outlive tasks, and the words of a partition are mostly its own
+
+    def encode(batches):
         bpe = model(path)
         for batch in batches:
             column, n = batch.column(len(keep)), batch.num_rows

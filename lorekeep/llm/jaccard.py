@@ -245,12 +245,13 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
 
     tokens = own.mapInArrow(shared_tokens, "tok long, r long, n long")
     # two similar sets share 1 + n // EXTRA tokens of their prefixes, n the smaller size: fewer rule a set out
+    # counts are written out before the joins, so that Spark can split a token that very many sets hold
     for _ in range(2):
-        both = tokens.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
+        both = cut(tokens.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1"))
         tokens = cut(tokens.join(both, "tok"))
         enough = tokens.groupBy("r").agg(F.count("*").alias("k"), F.first("n").alias("m")).where(f"k > ceil({percent} * m / 100) div {EXTRA}").select("r")
         tokens = tokens.join(enough, "r", "left_semi").select("tok", "r", "n")
-    both = tokens.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
+    both = cut(tokens.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1"))
     tokens = cut(tokens.join(both, "tok"))
     # the most shared token names the group: a family then falls into few groups, whose unions meet seldom
     member = tokens.groupBy("r").agg(F.max(F.struct("c", "tok")).alias("x"), F.first("n").alias("n")).select("r", "n", F.col("x.tok").alias("g"))

@@ -287,6 +287,9 @@ def archive_pages(pages: DataFrame, *, smallest: int = 0) -> DataFrame:
 
     read = read_records(found)
     read = cut(read.select("page_id", "url", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("n"), digest("payload").alias("own"), F.col("payload_digest").alias("claimed")))
-    origin = read.where("record_type = 'response'").select(F.col("page_id").alias("o"), F.col("n").alias("on"), F.col("own").alias("oo")).dropDuplicates(["o"])
-    out = read.join(origin, F.expr("refers_to = o"), "left")
-    return out.select("page_id", F.coalesce("n", "on").alias("payload_bytes"), F.coalesce("own", "oo").alias("payload_digest"), "record_type", "refers_to", "url")
+    responses = read.where("record_type = 'response'")
+    # written out, so that Spark can split a payload that very many records revisit
+    origin = cut(responses.select(F.col("page_id").alias("o"), F.col("n").alias("on"), F.col("own").alias("oo")).dropDuplicates(["o"]))
+    revisits = read.where("record_type = 'revisit'").join(origin, F.expr("refers_to <=> o"), "left").withColumn("n", F.col("on")).withColumn("own", F.col("oo"))
+    columns = ["page_id", F.col("n").alias("payload_bytes"), F.col("own").alias("payload_digest"), "record_type", "refers_to", "url"]
+    return responses.select(*columns).union(revisits.select(*columns))

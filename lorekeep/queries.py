@@ -285,6 +285,15 @@ def ann_recall(spark, sf):
     return exact.join(near, ["query_id", "id"], "left").groupBy("query_id").agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
 
 
+@query(f"""with {VEC}, {COS}, {BUCKETS}, {MASKS}, vo as (select distinct query_id, k.id from (select query_id, b.band, xor(b.bucket, mask) as bucket from q join bk b on b.id = query_id, m) p join bk k on k.band = p.band and k.bucket = p.bucket),
+total as (select count(*) as n from e), few as (select q.query_id from q left join vo on vo.query_id = q.query_id group by q.query_id having count(vo.id) < (select least(n, 20) from total)),
+ca as (select c.* from c left join vo on vo.query_id = c.query_id and vo.id = c.id left join few on few.query_id = c.query_id where s > 0 and (vo.id is not null or few.query_id is not null or (select n from total) <= {V.EXACT_BELOW}))
+select query_id, id, round(s, 6) as cosine, row_number() over (partition by query_id order by s desc, id) as rank from ca qualify rank <= 10""")
+def ann_topk(spark, sf):
+    q, e = vectors(spark, sf)
+    return V.approximate_search(q, e, V.bucket_table(e, 64), 64, 10).select("query_id", "id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+
+
 # -- fusion ---------------------------------------------------------------------------------------
 
 LEXSEM = """lx as (select lang as query_id, doc_id as id, row_number() over (partition by lang order by n_chars desc, doc_id) as rank from documents),

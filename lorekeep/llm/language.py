@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded, remainder
 
-#: Bounds of the fit: documents a language, bytes a language, bytes over all languages, languages.
-DOCUMENTS, BYTES, ALL_BYTES, LANGUAGES = 60, 24_000, 192_000, 64
+#: Bounds of the fit: documents a language, bytes a language, bytes over all languages (but 500 a language at least).
+DOCUMENTS, BYTES, ALL_BYTES = 60, 24_000, 192_000
 #: Bytes of a lane (a phrase ends with its lane), bytes of text parsed together.
 LANE, TOGETHER, EXCERPT = 1_024, 6_000_000, 300
 LETTER = re.compile(r"[^\W\d_]")
@@ -184,12 +184,12 @@ def fit(docs: DataFrame, *, folds: int = 4, held: int = 2, documents: int = DOCU
     """Learn from at most `documents` labelled documents a language outside the held-out fold.
 
     Which documents, and which excerpts of their whole texts, follows a hash, so that reruns agree.
-    The most frequent `LANGUAGES` languages of that fold are learnt.
+    Every language of the other folds is learnt, however many and however rare.
     """
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(remainder(F.col("doc_id"), folds) != held)
     known = known.select("doc_id", "text", "lang", F.xxhash64("doc_id", F.lit("language")).alias("h"))
-    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    picked = known.join(F.broadcast(langs.select("lang")), "lang").select("doc_id", "lang", "h")
+    size = max(500, min(size, ALL_BYTES // max(1, known.select("lang").distinct().count())))
+    picked = known.select("doc_id", "lang", "h")
     picked = picked.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= documents)
 
     @F.pandas_udf("array<binary>")
@@ -205,8 +205,6 @@ def fit(docs: DataFrame, *, folds: int = 4, held: int = 2, documents: int = DOCU
     rows = known.join(F.broadcast(picked.select("doc_id", F.col("lang").alias("l"), "k")), "doc_id").where("lang = l")
     rows = rows.select("lang", "k", excerpts("text", "doc_id").alias("x")).dropDuplicates(["lang", "k"]).toPandas().sort_values(["lang", "k"])
     rows["x"], shared = split_shared(list(rows["x"]), list(rows["lang"]))
-    n = max(1, rows["lang"].nunique())
-    size = max(500, min(size, ALL_BYTES // n))
     texts: dict[str, bytes] = {}
     for lang, part in rows.groupby("lang"):
         pools = [list(x) for x in part["x"]]

@@ -120,6 +120,15 @@ def test_language_cases(spark):
     assert identify_language(docs.limit(0)).count() == 0
 
 
+def test_rare_languages_are_learnt(spark):
+    rng = random.Random(9)
+    words = {f"l{i:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for i in range(80)}
+    rows = [(1000 * i + j, " ".join(rng.choice(w) for _ in range(30)), lang) for i, (lang, w) in enumerate(words.items()) for j in range(24 if i < 70 else 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = identify_language(docs).toPandas()
+    assert got.lang_pred.nunique() == 80 and (got.lang_pred == got.lang).all() and (got.score > 0.5).all()
+
+
 # -- mixing ---------------------------------------------------------------------------------------
 
 

@@ -193,12 +193,13 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
     Returns a row for each row of docs: doc_id, n_shingles long, component_id long (the smallest
     doc_id reachable by links, itself included). Exact: no link is lost, none is added. Null and
     empty texts have no shingles and link with nothing. A null doc_id counts as larger than all
-    others and is returned as null. Rows that repeat a doc_id with another text get rows of their
-    own; the larger set stands for that doc_id where others link to it. Other columns are ignored.
+    others and is returned as null. Sets link, not ids: rows that repeat a doc_id (null too) with
+    another text are nodes of their own. A set goes by a 64-bit hash. Other columns are ignored.
     """
     sc = bounded(docs.sparkSession).sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = F.coalesce("doc_id", F.lit(LAST_ID))
+    row = F.xxhash64(known, "text")
     levels = sc.broadcast(sketch(docs, k).tobytes())
     shift = np.uint64(64 - CELLS)
 
@@ -219,15 +220,15 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
                     prefixes.append(s[np.argpartition(order, p - 1)[:p]] if p < len(s) else s)
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
                 flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["d", "n", "s1", "s2", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["d", "w", "n", "s1", "s2", "prefix"])
 
-    sets = cut(docs.select(known, "text").mapInArrow(describe, "d long, n long, s1 long, s2 long, prefix array<long>"))
-    firsts = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("d").alias("r"))
-    reps = firsts.groupBy("r").agg(F.max(F.struct("n", "s1", "s2")).alias("x")).select("r", "x.*")
+    sets = cut(docs.select(known, "text", row).mapInArrow(describe, "d long, w long, n long, s1 long, s2 long, prefix array<long>"))
+    # the row with the least hash stands for a set, and the hash names it: ids may repeat or be null
+    firsts = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("w").alias("r"), F.min("d").alias("least"))
 
     total = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, int(total * BITS_A_TOKEN).bit_length()))
-    own = reps.join(sets.select(F.col("d").alias("r"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), "prefix"), "r").where("s1 = t1 and s2 = t2").dropDuplicates(["r"])
+    own = firsts.drop("least").join(sets.select(F.col("w").alias("r"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), "prefix"), "r").where("s1 = t1 and s2 = t2").dropDuplicates(["r"])
     own = cut(own.select("prefix", "r", "n", "s1", "s2"))
     scramble = lambda column: mix64(column.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
     twice = sc.broadcast(twice_filter(own, scramble, bits).tobytes())
@@ -266,7 +267,7 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
     pairs = cut(pairs.where(f"k > ceil({percent} * m / 100) div {EXTRA}").select("ag", "ap", "bg", "bp"))
     met = pairs.select(F.col("ag").alias("g"), F.col("ap").alias("part")).union(pairs.select("bg", "bp")).distinct().withColumn("met", F.lit(True))
 
-    wanted = own.select("r", "s1", "s2").join(member, "r").withColumnRenamed("r", "doc_id")
+    wanted = own.select("r", "s1", "s2").join(member, "r")
     # documents without a partner in sight, mostly the bulk, are not even shuffled
     id_bits = min(MOST_BITS, max(LEAST_BITS, int(member.count() * 16).bit_length()))
     ids = sc.broadcast(twice_filter(member.select("r"), lambda column: mix64(column.to_numpy().view(np.uint64)), id_bits, once=True).tobytes())
@@ -275,8 +276,8 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
     def grouped(column):
         return pd.Series(probe(np.frombuffer(ids.value, np.uint8), mix64(column.to_numpy(np.int64).view(np.uint64)), id_bits))
 
-    opened = docs.select(known.alias("doc_id"), "text").where(grouped("doc_id")).join(wanted, "doc_id")
-    opened = opened.groupBy("g", "part").agg(F.collect_list(F.struct("doc_id", "s1", "s2", "text")).alias("rows"), F.count("*").alias("c"))
+    opened = docs.select(row.alias("r"), "text").where(grouped("r")).join(wanted, "r")
+    opened = opened.groupBy("g", "part").agg(F.collect_list(F.struct("r", "s1", "s2", "text")).alias("rows"), F.count("*").alias("c"))
     opened = opened.join(met, ["g", "part"], "left").where("c > 1 or met").select("g", "part", "met", "rows")
     edge = pa.schema([("g", pa.int64()), ("part", pa.int32()), ("u", pa.int64()), ("v", pa.int64()), ("blob", pa.binary())])
 
@@ -285,11 +286,11 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
             for i in range(batch.num_rows):
                 held: dict[int, np.ndarray] = {}
                 for row in batch.column(3)[i].as_py():
-                    if row["doc_id"] in held:
+                    if row["r"] in held:
                         continue
                     m = mix64(s := shingles(row["text"], k))
                     if int(m.sum(dtype=np.uint64).astype(np.int64)) == row["s1"] and int(mix64(m).sum(dtype=np.uint64).astype(np.int64)) == row["s2"]:
-                        held[row["doc_id"]] = s
+                        held[row["r"]] = s
                 block = Block.of(list(held), list(held.values()))
                 g, part = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 found = [{"g": g, "part": part, "u": u, "v": v} for u, v in links(block, block, percent)] if len(held) > 1 else []
@@ -312,9 +313,11 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     edges = opened.where("blob is null").select("u", "v").union(across.mapInArrow(between, "u long, v long"))
-    component = connected_components(edges)
+    # from the least hash of a component to its least id
+    linked = cut(connected_components(edges).join(firsts.select(F.col("r").alias("node"), "least"), "node"))
+    linked = linked.join(linked.groupBy("component").agg(F.min("least").alias("c")), "component").select(F.col("node").alias("r"), "c")
     # written out, so that Spark can split a text with very many copies in the join
-    named = cut(firsts.join(component.withColumnRenamed("node", "r"), "r", "left").select("s1", "s2", "n", F.coalesce("component", "r").alias("c")))
+    named = cut(firsts.join(linked, "r", "left").select("s1", "s2", "n", F.coalesce("c", "least").alias("c")))
     out = sets.select("d", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
     null_last = lambda c: F.when(c != LAST_ID, c)
     return out.select(null_last(F.col("d")).alias("doc_id"), F.col("n").alias("n_shingles"), null_last(F.coalesce("c", "d")).alias("component_id"))

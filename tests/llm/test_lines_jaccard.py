@@ -124,6 +124,18 @@ def test_jaccard(spark, monkeypatch, k, percent, seed):
     assert got == plain_jaccard(rows, k, percent)
 
 
+def test_jaccard_of_null_and_repeated_ids(spark):
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(400)}" for _ in range(60)] for _ in range(6)]
+    near = lambda t, i: " ".join(t[:i] + ["other"] + t[i + 1 :])
+    rows = [(10 + i, " ".join(t)) for i, t in enumerate(base)] + [(None, near(t, 0)) for t in base[:3]] + [(77, near(t, 59)) for t in base[2:5]]
+    chain = [f"c{i}" for i in range(60)]  # 20 and 21 are linked only through a row without an id
+    rows += [(20, " ".join(["x0", "x1"] + chain[2:])), (None, " ".join(chain)), (21, " ".join(chain[:58] + ["y0", "y1"])), (None, "q " * 3 + " ".join(chain[::-1]))]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard(frame(spark, rows), k=3, percent=90).collect()), key=repr)
+    assert got == plain_jaccard(rows, 3, 90)
+    assert {(21, 20), (77, 12), (77, 13), (77, 14), (None, 11)} <= {(d, c) for d, _, c in got}
+
+
 def test_jaccard_of_nothing_and_of_a_long_text(spark):
     assert ngram_jaccard(frame(spark, [])).count() == 0
     long = " ".join(f"a{i}" for i in range(60_000))

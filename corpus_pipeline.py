@@ -53,8 +53,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row."""
-    return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=("doc_id", "source", "lang"))
+    """Token ids of every row, each decoded again and compared with its text."""
+    return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"), check=True, keep=("doc_id", "source", "lang"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

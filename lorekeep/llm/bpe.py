@@ -251,12 +251,12 @@ def model(path: str) -> SpeculativeBPE:
     return _MODELS[path]
 
 
-def bpe_encode(docs: DataFrame, path: str, *, ids: bool = True, digests: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Encode every whole `text` and decode it again, without a shuffle.
+def bpe_encode(docs: DataFrame, path: str, *, ids: bool = True, digests: bool = False, check: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Encode every whole `text`, without a shuffle; with digests or check, decode it again.
 
     Returns the columns named in keep, then n_tokens long, with ids: ids array<int>, with digests:
     ids_sha256 (of little-endian unsigned 32-bit ids) and decoded_sha256 (of the decoded text in
-    UTF-8). A null or empty text has no tokens; repeated rows stay repeated; other columns go.
+    UTF-8). With check, a text that its ids don't give back is an error. A null or empty text has no tokens; repeated rows stay repeated; other columns go.
     path is a byte-level BPE file of the tokenizers library, readable on every executor.
     """
     bounded(docs.sparkSession)
@@ -276,7 +276,10 @@ def bpe_encode(docs: DataFrame, path: str, *, ids: bool = True, digests: bool =
             step = 2048
             for at in range(0, n, step):
                 out = {"n_tokens": [], "ids": [], "ids_sha256": [], "decoded_sha256": []}
-                for x in bpe.encode_many(column.slice(at, step).to_pylist()):
+                texts = column.slice(at, step).to_pylist()
+                for t, x in zip(texts, bpe.encode_many(texts)):
+                    if check and bpe.decode(x) != (t or ""):
+                        raise ValueError(f"a text of {len(t or '')} characters does not come back from its {len(x)} tokens")
                     out["n_tokens"].append(len(x))
                     if ids:
                         out["ids"].append(pa.array(x.astype(np.int32)))

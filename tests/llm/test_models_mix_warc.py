@@ -246,6 +246,22 @@ def test_pipeline(spark, sf):
     assert sorted((r.doc_id, r.n_tokens) for r in whole.collect()) == sorted((r.doc_id, r.n_tokens) for r in e.collect())
 
 
+def test_the_last_stage_decodes(spark, sf, tmp_path, monkeypatch):
+    """With a tokenizer that gives z's id to another string, a text doesn't come back."""
+    import json
+
+    spec = json.loads(open(corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    spec["added_tokens"].append({"content": "wrong", "id": spec["model"]["vocab"]["z"]})
+    path = tmp_path / "bpe.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    docs = spark.createDataFrame([(1, "z", "s", "en")], "doc_id long, text string, source string, lang string")
+    tokens = corpus_pipeline.STAGES[-1][1]
+    assert tokens(spark, docs, sf).count() == 1
+    monkeypatch.setattr(corpus_pipeline.public_tokenizers, "path", lambda name: str(path))
+    with pytest.raises(Exception, match="does not come back"):
+        tokens(spark, docs.withColumn("text", docs.text), sf).collect()
+
+
 @pytest.mark.parametrize("step", range(5))
 def test_stages_take_odd_tables(spark, sf, step):
     rows = [(None, None, None, None, None, "k"), (1, "", "en", "s", 0, None), (1, "", "en", "s", 0, None), (2, "one two three four five six", None, "s", 3, "x"), (3, "long " * 20_000, "en", None, 5, "x")]

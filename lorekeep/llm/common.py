@@ -16,16 +16,21 @@ SPACE = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Stands for a null id where ids are ordered: null comes last.
 LAST_ID = 2**63 - 1
+#: Edges of a graph that one task settles.
+A_TASK = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI or path.
 
-    It is spark.checkpoint.dir; only where that is unset (tests) a temporary folder is set.
+    It is spark.checkpoint.dir; only where that is unset and all runs in one process (tests) a
+    temporary folder is set. On a cluster without the setting this is an error.
     """
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[[\d*,]+\])?$", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="lorekeep-checkpoint-")
         sc.setCheckpointDir(where)
     elif not sc.getCheckpointDir():
@@ -44,6 +49,40 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables written below the shared folder: they cut lineage, survive lost executors and have sizes.
+
+    A table is read back in about one partition for each PACK bytes of its files, however many
+    tasks wrote it, so that what follows a small table needs neither many tasks nor a shuffle.
+    """
+
+    PACK = 4 << 20
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.folder = spark, new_folder(spark, what)
+        self._jvm = spark.sparkContext._jvm
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, name: str):
+        path = self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self._conf), path
+
+    def table(self, df: DataFrame, name: str, *, pack: int | None = PACK) -> DataFrame:
+        """df, written once; pack: bytes a partition at least, None leaves it to Spark."""
+        df.write.parquet(f"{self.folder}/{name}")
+        back = self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+        if pack is None:
+            return back
+        fs, path = self._at(name)
+        return back.coalesce(max(1, -(-fs.getContentSummary(path).getLength() // pack)))
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing will read again."""
+        for name in names:
+            fs, path = self._at(name)
+            fs.delete(path, True)
+
+
 def bounded(spark: SparkSession) -> SparkSession:
     """Keep Arrow batches small, so that a task's buffers stay bounded however long the texts are.
 
@@ -62,45 +101,75 @@ def remainder(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def star_edges(batches):
-    """Replace each batch of edges by stars that connect the same nodes: at most one edge a node."""
-    for pdf in batches:
-        parent: dict[int, int] = {}
+class Stars:
+    """Union-find over edges: each node's least node so far."""
 
-        def root(x: int) -> int:
-            while (p := parent.setdefault(x, x)) != x:
-                parent[x] = parent[p]
-                x = p
-            return x
+    def __init__(self):
+        self.parent: dict[int, int] = {}
 
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = parent[p]
+            x = p
+        return x
+
+    def add(self, pdf: pd.DataFrame) -> None:
         for a, b in zip(pdf["u"].tolist(), pdf["v"].tolist()):
-            a, b = root(a), root(b)
+            a, b = self.root(a), self.root(b)
             if a != b:
-                parent[max(a, b)] = min(a, b)
-        pairs = [(x, root(x)) for x in list(parent)]
-        yield pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["u", "v"], dtype="int64")
+                self.parent[max(a, b)] = min(a, b)
+
+    def edges(self) -> pd.DataFrame:
+        pairs = [(x, self.root(x)) for x in list(self.parent)]
+        return pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["u", "v"], dtype="int64")
+
+
+def star_edges(batches):
+    """Replace stretches of a task's edges by stars that connect the same nodes: at most one edge a node."""
+    stars = Stars()
+    for pdf in batches:
+        stars.add(pdf)
+        if len(stars.parent) > A_TASK:
+            yield stars.edges()
+            stars = Stars()
+    yield stars.edges()
+
+
+def star_edges_of_all(batches):
+    """One star a component, for edges that are all in this task."""
+    stars = Stars()
+    for pdf in batches:
+        stars.add(pdf)
+    yield stars.edges()
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Components of the undirected graph with edges (u, v): one row (node, component) per node.
 
-    component is the smallest node reachable. Alternates large and small stars until nothing
-    changes; each round is grouped minima (combined before the shuffle) and equi-joins, whose
-    hot keys Spark can split. No part of the graph goes to the driver. An edge with a null end
-    and a self-loop link nothing.
+    component is the smallest node reachable. Each task first replaces its edges by stars. At most
+    A_TASK edges that are left are settled in one task; more of them alternate large and small
+    stars until nothing changes: grouped minima (combined before the shuffle) and equi-joins, whose
+    hot keys Spark can split. No part of the graph goes to the driver. An edge with a null end and
+    a self-loop link nothing.
     """
+    scratch = Scratch(edges.sparkSession, "components")
     e = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u is not null and v is not null and u <> v")
-    e = e.mapInPandas(star_edges, "u long, v long")
-    e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = scratch.table(e.mapInPandas(star_edges, "u long, v long"), "stars")
     seen = None
-    for _ in range(most_rounds):
+    for step in range(most_rounds):
+        n = e.count()
+        if n <= A_TASK:
+            e = scratch.table(e.coalesce(1).mapInPandas(star_edges_of_all, "u long, v long"), "settled")
+            break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        e = scratch.table(small.union(low.select("u", F.col("m").alias("v"))).distinct(), f"round{step}")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        scratch.drop(f"round{step - 1}" if step else "stars")
         if now == seen or not now[0]:
             break
         seen = now

@@ -20,13 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, bounded, connected_components, cut, mix64
+from .common import LAST_ID, Scratch, bounded, connected_components, mix64
 from .lines import probe, twice_filter
 
 #: Members and shingles of a block at most (but for a single larger document), tokens in a product.
 MEMBERS, SHINGLES, WIDTH = 384, 600_000, 4096
 #: A prefix has one token more for so many tokens of the set, and similar sets share as many more.
 EXTRA = 40
+#: Filters over what the one before has left.
+ROUNDS = 2
 #: Cells of the table of common shingles (one byte each when broadcast).
 CELLS = 22
 #: Shingles whose counts a task holds at a time.
@@ -182,7 +184,7 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
 
     summed = docs.select("text").mapInArrow(common, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     out = np.zeros(1 << CELLS, np.uint8)
-    for row in summed.mapInArrow(pack, "cells binary, levels binary").toLocalIterator():
+    for row in summed.mapInArrow(pack, "cells binary, levels binary").collect():  # five bytes a cell at most, in one job
         out[np.frombuffer(row.cells, np.uint32)] = np.frombuffer(row.levels, np.uint8)
     return out
 
@@ -196,7 +198,8 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
     others and is returned as null. Sets link, not ids: rows that repeat a doc_id (null too) with
     another text are nodes of their own. A set goes by a 64-bit hash. Other columns are ignored.
     """
-    sc = bounded(docs.sparkSession).sparkContext
+    spark = bounded(docs.sparkSession)
+    sc, scratch = spark.sparkContext, Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = F.coalesce("doc_id", F.lit(LAST_ID))
     row = F.xxhash64(known, "text")
@@ -222,63 +225,71 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
                 flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["d", "w", "n", "s1", "s2", "prefix"])
 
-    sets = cut(docs.select(known, "text", row).mapInArrow(describe, "d long, w long, n long, s1 long, s2 long, prefix array<long>"))
-    # the row with the least hash stands for a set, and the hash names it: ids may repeat or be null
-    firsts = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("w").alias("r"), F.min("d").alias("least"))
+    sets = scratch.table(docs.select(known, "text", row).mapInArrow(describe, "d long, w long, n long, s1 long, s2 long, prefix array<long>"), "sets", pack=None)
+    # a node a set, numbered by where it lies: ids may repeat or be null. r is the row whose text will give the set
+    own = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("w").alias("r"), F.min("d").alias("least"), F.first("prefix").alias("prefix"))
+    own = scratch.table(own.withColumn("node", F.monotonically_increasing_id()), "own", pack=None)
 
-    total = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    total = own.agg(F.sum(F.size("prefix"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, int(total * BITS_A_TOKEN).bit_length()))
-    own = firsts.drop("least").join(sets.select(F.col("w").alias("r"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), "prefix"), "r").where("s1 = t1 and s2 = t2").dropDuplicates(["r"])
-    own = cut(own.select("prefix", "r", "n", "s1", "s2"))
-    scramble = lambda column: mix64(column.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-    twice = sc.broadcast(twice_filter(own, scramble, bits).tobytes())
+    filters: list = []
 
-    def shared_tokens(batches):
-        bloom = np.frombuffer(twice.value, np.uint8)
+    def left(batches):
+        """The tokens that every filter so far says two sets hold, of sets with enough of them.
+
+        Two similar sets share 1 + n // EXTRA tokens of their prefixes, n the smaller size: fewer rule a set out.
+        """
+        blooms = [np.frombuffer(f.value, np.uint8) for f in filters]
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 b = batch.slice(i, 4096)
-                lists = b.column(0)
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                hit = probe(bloom, mix64(flat.view(np.uint64)), bits)
-                owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), pa.array(b.column(1).to_numpy()[owner]), pa.array(b.column(2).to_numpy()[owner])], ["tok", "r", "n"])
-
-    tokens = own.mapInArrow(shared_tokens, "tok long, r long, n long")
-    # two similar sets share 1 + n // EXTRA tokens of their prefixes, n the smaller size: fewer rule a set out
-    # counts are written out before the joins, so that Spark can split a token that very many sets hold
-    for _ in range(2):
-        both = cut(tokens.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1"))
-        tokens = cut(tokens.join(both, "tok"))
-        enough = tokens.groupBy("r").agg(F.count("*").alias("k"), F.first("n").alias("m")).where(f"k > ceil({percent} * m / 100) div {EXTRA}").select("r")
-        tokens = tokens.join(enough, "r", "left_semi").select("tok", "r", "n")
-    both = cut(tokens.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1"))
-    tokens = cut(tokens.join(both, "tok"))
+                flat, sizes = b.column(0).flatten().to_numpy(zero_copy_only=False), b.column(2).to_numpy()
+                owner = np.repeat(np.arange(b.num_rows), np.diff(b.column(0).offsets.to_numpy()))
+                for bloom in blooms:
+                    hit = probe(bloom, mix64(flat.view(np.uint64)), bits)
+                    flat, owner = flat[hit], owner[hit]
+                    hit = (np.bincount(owner, minlength=b.num_rows) > needed(sizes, percent) // EXTRA)[owner]
+                    flat, owner = flat[hit], owner[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(b.column(1).to_numpy()[owner]), pa.array(sizes[owner])], ["tok", "node", "n"])
+
+    prefixes = own.select("prefix", "node", "n")
+    scramble = lambda column: mix64(column.to_numpy(zero_copy_only=False).view(np.uint64))
+    for _ in range(ROUNDS):
+        filters.append(sc.broadcast(twice_filter(prefixes.mapInArrow(left, "tok long, node long, n long"), scramble, bits).tobytes()))
+    held = scratch.table(prefixes.mapInArrow(left, "tok long, node long, n long"), "held")
+    # counts are written out before the join, so that Spark can split a token that very many sets hold
+    both = scratch.table(held.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    tokens = held.join(both, "tok")
     # the most shared token names the group: a family then falls into few groups, whose unions meet seldom
-    member = tokens.groupBy("r").agg(F.max(F.struct("c", "tok")).alias("x"), F.first("n").alias("n")).select("r", "n", F.col("x.tok").alias("g"))
+    member = tokens.groupBy("node").agg(F.max(F.struct("c", "tok")).alias("x"), F.first("n").alias("n"), F.count("*").alias("k"))
+    member = scratch.table(member.where(f"k > ceil({percent} * n / 100) div {EXTRA}").select("node", "n", F.col("x.tok").alias("g")), "member")
     sizes = member.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("parts"))
-    member = member.join(sizes, "g").select("r", "g", F.pmod(F.xxhash64("r"), "parts").cast("int").alias("part"))
-    member = cut(member)
+    placed = member.join(scratch.table(sizes, "parts"), "g").select("node", "g", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
+    placed = scratch.table(placed, "placed")
 
-    matrix = tokens.join(member, "r").groupBy("tok", "g", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    matrix = tokens.drop("c").join(placed, "node").groupBy("tok", "g", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    matrix = scratch.table(matrix, "matrix")
     a, b = matrix.alias("a"), matrix.alias("b")
     pairs = a.join(b, F.expr(f"a.tok = b.tok and (a.g < b.g or a.g = b.g and a.part < b.part) and {percent} * a.lo <= 100 * b.hi and {percent} * b.lo <= 100 * a.hi"))
     pairs = pairs.groupBy(F.expr("a.g ag"), F.expr("a.part ap"), F.expr("b.g bg"), F.expr("b.part bp")).agg(F.count("*").alias("k"), F.min(F.least("a.lo", "b.lo")).alias("m"))
-    pairs = cut(pairs.where(f"k > ceil({percent} * m / 100) div {EXTRA}").select("ag", "ap", "bg", "bp"))
-    met = pairs.select(F.col("ag").alias("g"), F.col("ap").alias("part")).union(pairs.select("bg", "bp")).distinct().withColumn("met", F.lit(True))
+    pairs = scratch.table(pairs.where(f"k > ceil({percent} * m / 100) div {EXTRA}").select("ag", "ap", "bg", "bp"), "pairs")
+    # a block is opened if another one qualifies or if it has two members
+    met = pairs.select(F.col("ag").alias("g"), F.col("ap").alias("part"), F.lit(True).alias("met")).union(pairs.select("bg", "bp", F.lit(True)))
+    blocks = placed.groupBy("g", "part").agg(F.count("*").alias("c"), F.lit(False).alias("met"))
+    blocks = blocks.union(met.select("g", "part", F.lit(0), "met")).groupBy("g", "part").agg(F.sum("c").alias("c"), F.max("met").alias("met")).where("c > 1 or met")
+    wanted = placed.join(scratch.table(blocks, "blocks"), ["g", "part"]).select("node", "g", "part", "met")
+    wanted = scratch.table(wanted.join(own.select("node", "r", "s1", "s2"), "node"), "wanted")
 
-    wanted = own.select("r", "s1", "s2").join(member, "r")
     # documents without a partner in sight, mostly the bulk, are not even shuffled
-    id_bits = min(MOST_BITS, max(LEAST_BITS, int(member.count() * 16).bit_length()))
-    ids = sc.broadcast(twice_filter(member.select("r"), lambda column: mix64(column.to_numpy().view(np.uint64)), id_bits, once=True).tobytes())
+    id_bits = min(MOST_BITS, max(LEAST_BITS, int(wanted.count() * 16).bit_length()))
+    ids = sc.broadcast(twice_filter(wanted.select("r"), scramble, id_bits, once=True).tobytes())
 
     @F.pandas_udf("boolean")
     def grouped(column):
         return pd.Series(probe(np.frombuffer(ids.value, np.uint8), mix64(column.to_numpy(np.int64).view(np.uint64)), id_bits))
 
-    opened = docs.select(row.alias("r"), "text").where(grouped("r")).join(wanted, "r")
-    opened = opened.groupBy("g", "part").agg(F.collect_list(F.struct("r", "s1", "s2", "text")).alias("rows"), F.count("*").alias("c"))
-    opened = opened.join(met, ["g", "part"], "left").where("c > 1 or met").select("g", "part", "met", "rows")
+    opened = docs.select(row.alias("r"), "text").where(grouped("r")).groupBy("r").agg(F.first("text").alias("text")).join(wanted, "r")
+    opened = opened.groupBy("g", "part").agg(F.collect_list(F.struct("node", "s1", "s2", "text")).alias("rows"), F.first("met").alias("met")).select("g", "part", "met", "rows")
     edge = pa.schema([("g", pa.int64()), ("part", pa.int32()), ("u", pa.int64()), ("v", pa.int64()), ("blob", pa.binary())])
 
     def inside(batches):
@@ -286,11 +297,9 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
             for i in range(batch.num_rows):
                 held: dict[int, np.ndarray] = {}
                 for row in batch.column(3)[i].as_py():
-                    if row["r"] in held:
-                        continue
                     m = mix64(s := shingles(row["text"], k))
                     if int(m.sum(dtype=np.uint64).astype(np.int64)) == row["s1"] and int(mix64(m).sum(dtype=np.uint64).astype(np.int64)) == row["s2"]:
-                        held[row["r"]] = s
+                        held[row["node"]] = s
                 block = Block.of(list(held), list(held.values()))
                 g, part = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 found = [{"g": g, "part": part, "u": u, "v": v} for u, v in links(block, block, percent)] if len(held) > 1 else []
@@ -299,7 +308,7 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
                 if found:
                     yield pa.RecordBatch.from_pylist(found, edge)
 
-    opened = cut(opened.mapInArrow(inside, "g long, part int, u long, v long, blob binary"))
+    opened = scratch.table(opened.mapInArrow(inside, "g long, part int, u long, v long, blob binary"), "opened", pack=None)
     blobs = opened.where("blob is not null")
     across = pairs.join(blobs.select(F.col("g").alias("ag"), F.col("part").alias("ap"), F.col("blob").alias("x")), ["ag", "ap"])
     across = across.join(blobs.select(F.col("g").alias("bg"), F.col("part").alias("bp"), F.col("blob").alias("y")), ["bg", "bp"]).select("x", "y")
@@ -313,11 +322,15 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     edges = opened.where("blob is null").select("u", "v").union(across.mapInArrow(between, "u long, v long"))
-    # from the least hash of a component to its least id
-    linked = cut(connected_components(edges).join(firsts.select(F.col("r").alias("node"), "least"), "node"))
-    linked = linked.join(linked.groupBy("component").agg(F.min("least").alias("c")), "component").select(F.col("node").alias("r"), "c")
+    components = connected_components(edges)
+    # from the least node of a component to its least id
+    linked = scratch.table(components.join(own.select("node", "least", "s1", "s2", "n"), "node"), "linked")
+    low = linked.groupBy("component").agg(F.min("least").alias("c"))
     # written out, so that Spark can split a text with very many copies in the join
-    named = cut(firsts.join(linked, "r", "left").select("s1", "s2", "n", F.coalesce("c", "least").alias("c")))
+    linked = scratch.table(linked.join(low, "component").select("s1", "s2", "n", "c"), "named")
+    alone = own.select("s1", "s2", "n", "least")
+    named = scratch.table(alone.join(linked, ["s1", "s2", "n"], "left").select("s1", "s2", "n", F.coalesce("c", "least").alias("c")), "components", pack=None)
+    scratch.drop("own", "held", "counts", "member", "parts", "placed", "matrix", "pairs", "blocks", "wanted", "opened", "linked", "named")
     out = sets.select("d", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
     null_last = lambda c: F.when(c != LAST_ID, c)
     return out.select(null_last(F.col("d")).alias("doc_id"), F.col("n").alias("n_shingles"), null_last(F.coalesce("c", "d")).alias("component_id"))

@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,8 @@ from .common import LAST_ID, SPACE, bounded, cut
 
 SEGMENT_BITS = 19
 LEAST_BITS, MOST_BITS, BITS_A_LINE = 20, 30, 16
+#: Hashes that a task holds at a time.
+FLUSH = 8_000_000
 
 
 def line_key(line: str, least: int) -> bytes | None:
@@ -81,19 +84,30 @@ def line_hashes(least: int):
 def twice_filter(rows: DataFrame, hashes, bits: int, *, once: bool = False) -> np.ndarray:
     """The merged filter of 64-bit hashes that two rows (with once: one row) may hold, as packed bits.
 
-    hashes gives those of a slice of the first column.
+    hashes gives those of a slice of the first column. A task emits what it holds after every FLUSH
+    hashes. The driver gets the 2**bits bits (128 MB at most), in one job.
     """
 
     def build(batches):
-        parts = []
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush():
+            distinct, n = np.unique(np.concatenate(held), return_counts=True)
+            seen, twice = segments(distinct, bits), segments(distinct[n > 1], bits)
+            found = [(s, travelling(p), travelling(twice.get(s, np.zeros(0, np.uint32)))) for s, p in seen.items()]
+            for i in range(0, len(found), 256):
+                yield pa.RecordBatch.from_pylist([{"seg": s, "once": a, "twice": b} for s, a, b in found[i : i + 256]], pa.schema([("seg", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())]))
+
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
-                parts.append(hashes(batch.column(0).slice(i, 4096)))
-        distinct, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, int))
-        once, twice = segments(distinct, bits), segments(distinct[n > 1], bits)
-        found = [(s, travelling(p), travelling(twice.get(s, np.zeros(0, np.uint32)))) for s, p in once.items()]
-        for i in range(0, len(found), 256):
-            yield pa.RecordBatch.from_pylist([{"seg": s, "once": a, "twice": b} for s, a, b in found[i : i + 256]], pa.schema([("seg", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())]))
+                held.append(hashes(batch.column(0).slice(i, 4096)))
+                size += len(held[-1])
+                if size > FLUSH:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
 
     def merge(batches):
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -107,15 +121,15 @@ def twice_filter(rows: DataFrame, hashes, bits: int, *, once: bool = False) -> n
                 else:
                     held[s] = (a.copy(), b.copy())
         for s, (seen, twice) in held.items():
-            yield pd.DataFrame({"seg": [s], "twice": [(seen if once else twice).tobytes()]})
+            yield pd.DataFrame({"seg": [s], "twice": [zlib.compress((seen if once else twice).tobytes(), 1)]})
 
     parts = max(1, 1 << max(0, bits - SEGMENT_BITS))
     width = min(parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     merged = rows.mapInArrow(build, "seg int, once binary, twice binary").repartition(width, "seg").mapInPandas(merge, "seg int, twice binary")
     out = np.zeros(1 << (bits - 3), np.uint8)
     width_b = 1 << (SEGMENT_BITS - 3)
-    for r in merged.toLocalIterator():
-        out[r.seg * width_b : (r.seg + 1) * width_b] = np.frombuffer(r.twice, np.uint8)
+    for r in merged.collect():
+        out[r.seg * width_b : (r.seg + 1) * width_b] = np.frombuffer(zlib.decompress(r.twice), np.uint8)
     return out
 
 

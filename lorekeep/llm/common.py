@@ -56,7 +56,7 @@ class Scratch:
     tasks wrote it, so that what follows a small table needs neither many tasks nor a shuffle.
     """
 
-    PACK = 4 << 20
+    PACK = 1 << 20
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.folder = spark, new_folder(spark, what)
@@ -69,7 +69,7 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str, *, pack: int | None = PACK) -> DataFrame:
         """df, written once; pack: bytes a partition at least, None leaves it to Spark."""
-        df.write.parquet(f"{self.folder}/{name}")
+        df.write.option("parquet.block.size", 16 << 20).parquet(f"{self.folder}/{name}")
         back = self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
         if pack is None:
             return back

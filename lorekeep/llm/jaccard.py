@@ -259,7 +259,7 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
     held = scratch.table(prefixes.mapInArrow(left, "tok long, node long, n long"), "held")
     # counts are written out before the join, so that Spark can split a token that very many sets hold
     both = scratch.table(held.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1"), "counts")
-    tokens = held.join(both, "tok")
+    tokens = scratch.table(held.join(both, "tok"), "tokens")
     # the most shared token names the group: a family then falls into few groups, whose unions meet seldom
     member = tokens.groupBy("node").agg(F.max(F.struct("c", "tok")).alias("x"), F.first("n").alias("n"), F.count("*").alias("k"))
     member = scratch.table(member.where(f"k > ceil({percent} * n / 100) div {EXTRA}").select("node", "n", F.col("x.tok").alias("g")), "member")
@@ -330,7 +330,7 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
     linked = scratch.table(linked.join(low, "component").select("s1", "s2", "n", "c"), "named")
     alone = own.select("s1", "s2", "n", "least")
     named = scratch.table(alone.join(linked, ["s1", "s2", "n"], "left").select("s1", "s2", "n", F.coalesce("c", "least").alias("c")), "components", pack=None)
-    scratch.drop("own", "held", "counts", "member", "parts", "placed", "matrix", "pairs", "blocks", "wanted", "opened", "linked", "named")
+    scratch.drop("own", "held", "counts", "tokens", "member", "parts", "placed", "matrix", "pairs", "blocks", "wanted", "opened", "linked", "named")
     out = sets.select("d", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
     null_last = lambda c: F.when(c != LAST_ID, c)
     return out.select(null_last(F.col("d")).alias("doc_id"), F.col("n").alias("n_shingles"), null_last(F.coalesce("c", "d")).alias("component_id"))

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import LAST_ID, bounded, cut, new_folder
 
-#: Captures a block; index files at most, so that their first keys may be broadcast.
-A_BLOCK, FILES = 256, 4_096
+#: Captures a block and, up to so many index files that their first keys may be broadcast, a file.
+A_BLOCK, A_FILE, FILES = 256, 8_192, 4_096
 TAIL = "<QQ8s"
 MAGIC = b"LKIDX\x00\x00\x01"
 DATE = "2024-01-01T00:00:00Z"
@@ -131,8 +131,7 @@ def write_index(captures: DataFrame, folder: str, *, files: int | None = None) -
     A file is: the blocks, the directory (JSON, compressed: first key, offset, length of each
     block), and a tail that says where the directory lies.
     """
-    spark = captures.sparkSession
-    files = min(FILES, files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    files = min(FILES, files or max(1, -(-captures.count() // A_FILE)))
     ranged = captures.repartitionByRange(files, "key").sortWithinPartitions("key", "archive", "offset")
 
     def run(batches):
@@ -272,8 +271,9 @@ def archive_pages(pages: DataFrame, *, smallest: int = 0) -> DataFrame:
     """Write archives and index for all pages, then look every capture up and read its record back.
 
     Returns page_id, payload_bytes, payload_digest, record_type, refers_to, url. A response's size
-    and digest are those of the payload read back; a revisit's are those of the response it refers
-    to. Null html is an empty payload; a null or odd url gets a key of its own; other columns are
+    and digest are those of the payload read back; a revisit's are those of the response that it
+    names by page_id and digest, as a page_id may repeat with other payloads. A payload that is not
+    what its record claims, and a revisit without its response, are errors. Null html is an empty payload; a null or odd url gets a key of its own; other columns are
     ignored.
     """
     folder = new_folder(bounded(pages.sparkSession), "warc")
@@ -287,9 +287,12 @@ def archive_pages(pages: DataFrame, *, smallest: int = 0) -> DataFrame:
 
     read = read_records(found)
     read = cut(read.select("page_id", "url", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("n"), digest("payload").alias("own"), F.col("payload_digest").alias("claimed")))
+    # what was read must be what was written
+    read = read.withColumn("own", F.when(F.col("own").isNull() | (F.col("own") == F.col("claimed")), F.col("own")).otherwise(F.raise_error(F.lit("a payload is not what its record says"))))
     responses = read.where("record_type = 'response'")
-    # written out, so that Spark can split a payload that very many records revisit
-    origin = cut(responses.select(F.col("page_id").alias("o"), F.col("n").alias("on"), F.col("own").alias("oo")).dropDuplicates(["o"]))
-    revisits = read.where("record_type = 'revisit'").join(origin, F.expr("refers_to <=> o"), "left").withColumn("n", F.col("on")).withColumn("own", F.col("oo"))
+    # a page may have several responses, so the digest tells which one; written out, so that Spark can split a payload that very many records revisit
+    origin = cut(responses.select(F.col("page_id").alias("o"), F.col("n").alias("on"), F.col("own").alias("oo")).distinct())
+    revisits = read.where("record_type = 'revisit'").join(origin, F.expr("refers_to <=> o and claimed = oo"), "left").withColumn("n", F.col("on")).withColumn("own", F.col("oo"))
+    revisits = revisits.withColumn("n", F.coalesce("n", F.raise_error(F.lit("a revisit has no response")).cast("long")))
     columns = ["page_id", F.col("n").alias("payload_bytes"), F.col("own").alias("payload_digest"), "record_type", "refers_to", "url"]
     return responses.select(*columns).union(revisits.select(*columns))

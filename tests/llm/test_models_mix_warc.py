@@ -52,6 +52,7 @@ def test_embeddings(spark, monkeypatch):
     import lorekeep.llm.embeddings as M
 
     monkeypatch.setattr(M, "BLOCK", 40)
+    monkeypatch.setattr(M, "CAPS", 3)  # so that caps meet in several groups
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(12, 16))
     rows = []
@@ -65,6 +66,25 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_neardup(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_null_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 1), (2, [0.0, 1.0, 0.0], 1), (None, [1.0, 0.01, 0.0], 1), (None, [0.01, 1.0, 0.0], 1), (9, [0.0, 0.0, 1.0], 1), (9, [-1.0, 0.0, 0.0], 1), (8, [0.0, 0.01, 1.0], 1), (7, [-1.0, 0.01, 0.0], 1)]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_neardup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=repr)
+    assert got == plain_links(rows) and {(1, 1), (2, 2), (8, 8), (7, 7), (9, 8), (9, 7)} <= {(a, c) for a, _, c, _ in got}
+
+
+@pytest.mark.parametrize("k", [3, 100])
+def test_cells_are_fitted_at_every_size(spark, sf, monkeypatch, k):
+    import lorekeep.llm.embeddings as M
+
+    fitted, plain = [], M.fit_cells
+    monkeypatch.setattr(M, "fit_cells", lambda d, n: fitted.append(plain(d, n)) or fitted[-1])
+    QUERIES["op1_embedding_neardup"](spark, sf)
+    assert all(len(c.top) >= M.LEAST_CELLS for cells in fitted for c in cells.values()) and fitted[0]
+    x = M.unit(np.random.default_rng(k).normal(size=(3000, 8)))
+    cells = M.Cells(x, k).of(x)
+    assert k / 2 <= len(set(cells.tolist())) <= 1.3 * k + 3
+
+
 # -- quality and language -------------------------------------------------------------------------
 
 
@@ -203,6 +223,13 @@ def test_archives(spark):
     assert archive_pages(pages.limit(0)).count() == 0
 
 
+def test_archives_of_repeated_ids(spark):
+    rows = [(5, "http://h/1", "first payload"), (5, "http://h/2", "second and longer payload"), (10, "http://h/3", "second and longer payload"), (5, "http://h/4", ""), (None, "http://h/5", "only"), (None, "http://h/5", "only"), (11, "http://h/6", "first payload"), (12, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in archive_pages(pages).collect()), key=repr)
+    assert got == plain_pages(rows)
+
+
 def test_lookup(spark, tmp_path):
     rows = [(i, f"http://host{i % 7}.net/p{i % 90}", f"body {i}") for i in range(900)]
     captures = write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm.bpe import bpe_encode
-from lorekeep.llm.common import new_folder
+from lorekeep.llm.common import fresh, new_folder
 from lorekeep.llm.jaccard import ngram_jaccard
 from lorekeep.llm.lines import line_dedup
-from lorekeep.llm.mixing import mix_sources
+from lorekeep.llm.mixing import mix_sources, row_key
 from lorekeep.llm.quality import quality_scores
 from lorekeep.shipping import ship
 
@@ -41,15 +41,17 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null doc_id counts as larger than all others; rows that repeat the kept document stay.
     """
-    first = ngram_jaccard(docs, k=5, percent=80).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(first, F.expr("doc_id <=> __kept"), "left_semi").select(docs.columns)
+    (kept,) = fresh(docs, "kept")
+    first = ngram_jaccard(docs, k=5, percent=80).where("doc_id <=> component_id").select(F.col("doc_id").alias(kept)).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi").select(docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each row as the source mix takes: none, one or two."""
-    mix = mix_sources(docs).groupBy("__row").agg(F.first("copies").alias("__copies"))
-    rows = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(mix, "__row")
-    return rows.where("__copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+    row, copies, copy = fresh(docs, "row", "copies", "copy")
+    mix = mix_sources(docs).where("copies > 0").groupBy(F.col("row").alias(row)).agg(F.first("copies").cast("int").alias(copies))
+    rows = docs.withColumn(row, row_key()).join(mix, row)
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select(docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

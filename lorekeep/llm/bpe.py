@@ -8,6 +8,7 @@ compatible is the encoding; only words with an incompatible pair go through the
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 
 import numpy as np
@@ -24,6 +25,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SEAM = regex.compile(r"(?<=\S) (?=\p{L})")
 #: Characters in one pass over a text, words that a worker remembers, characters of texts taken together.
 PIECE, REMEMBERED, TOGETHER = 1 << 20, 400_000, 4 << 20
+#: Bytes of a word up to which scanning all pairs at each step is quickest.
+SHORT = 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -58,9 +61,14 @@ class SpeculativeBPE:
         for b in self.id_of:
             self.longest[b[0]] = max(self.longest[b[0]], len(b))
         self.words = regex.compile(PATTERN)
-        self.cut = regex.compile("|".join(regex.escape(s) for s in self.special)) if self.special else None
+        self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.n = len(self.bytes_of)
         self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
+        #: Pairs of bytes that lie within some token.
+        self.within = np.zeros(1 << 16, bool)
+        for b in self.id_of:
+            raw_b = np.frombuffer(b, np.uint8).astype(np.int32)
+            self.within[raw_b[:-1] * 256 + raw_b[1:]] = True
         #: Tokens that the merges can't make of their own bytes are never proposed.
         self.sound = {b: i for b, i in self.id_of.items() if self.merged(b) == [i]}
         self.forget()
@@ -74,8 +82,22 @@ class SpeculativeBPE:
     # -- one word ---------------------------------------------------------------------------
 
     def merged(self, word: bytes) -> list[int]:
-        """The exact encoding: the pair of lowest rank is joined, leftmost first, until none is left."""
-        ids = [self.byte_id[b] for b in word]
+        """The exact encoding: the pair of lowest rank is joined, leftmost first, until none is left.
+
+        A long word is cut where no token holds the two bytes at hand, so that no merge can reach
+        across, and then merged through a heap: n log n steps, however the letters lie.
+        """
+        if len(word) <= SHORT:
+            return self.joined([self.byte_id[b] for b in word])
+        raw = np.frombuffer(word, np.uint8).astype(np.int32)
+        ends = np.flatnonzero(~self.within[raw[:-1] * 256 + raw[1:]]) + 1
+        out: list[int] = []
+        for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(word)]):
+            ids = [self.byte_id[x] for x in word[a:b]]
+            out += self.joined(ids) if b - a <= SHORT else self.joined_by_heap(ids)
+        return out
+
+    def joined(self, ids: list[int]) -> list[int]:
         merge = self.merge
         while len(ids) > 1:
             best, at = None, -1
@@ -97,6 +119,27 @@ class SpeculativeBPE:
             ids = out
         return ids
 
+    def joined_by_heap(self, ids: list[int]) -> list[int]:
+        """As joined(), over a linked list: a place is joined with its successor when its pair comes up."""
+        merge, n = self.merge, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(m[0], i, m[1]) for i in range(n - 1) if (m := merge.get((ids[i], ids[i + 1])))]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, new = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or (m := merge.get((ids[i], ids[j]))) is None or m != (rank, new):
+                continue  # one of the pair is gone
+            ids[i], ids[j] = new, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (m := merge.get((new, ids[k]))) is not None:
+                    heapq.heappush(heap, (m[0], i, m[1]))
+            if (h := before[i]) >= 0 and (m := merge.get((ids[h], new))) is not None:
+                heapq.heappush(heap, (m[0], h, m[1]))
+        return [x for x in ids if x >= 0]
+
     def proposed(self, word: bytes) -> list[int]:
         """Greedy longest match."""
         sound, longest, n, at, out = self.sound, self.longest, len(word), 0, []

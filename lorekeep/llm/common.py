@@ -96,6 +96,16 @@ def bounded(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of df has them (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def remainder(doc_id: Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo folds; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded, remainder
+from .common import bounded, fresh, remainder
 
 #: Bounds of the fit: documents a language, bytes a language, bytes over all languages (but 500 a language at least).
 DOCUMENTS, BYTES, ALL_BYTES = 60, 24_000, 192_000
@@ -35,7 +35,7 @@ def normal(text: str) -> bytes:
 
 
 class Automaton:
-    """Suffix automaton of one text as a total table over byte classes; the sign bit marks phrase ends."""
+    """Suffix automaton of one text as a total table over byte classes; the sign bit marks a phrase's first byte."""
 
     def __init__(self, text: bytes):
         self.bits = float(np.log2(max(2, len(text))))
@@ -71,16 +71,17 @@ class Automaton:
         root = np.zeros(self.width, np.int32)  # class 0: bytes that the text lacks
         for c, s in trans[0].items():
             root[self.classes[c]] = s
-        table = np.tile(root * self.width | ENDS, (len(link), 1))  # a missing transition starts a phrase
+        # a missing transition starts a phrase; in state 0 none is open: there a text starts, and goes on after a byte that this text lacks
+        table = np.tile(root * self.width | ENDS, (len(link), 1))
         for s, t in enumerate(trans):
-            if t:
+            if s and t:
                 table[s, self.classes[list(t)]] = np.fromiter(t.values(), np.int32, len(t)) * self.width
         self.table = table.ravel()
 
     def phrases(self, lanes: np.ndarray, active: np.ndarray) -> np.ndarray:
-        """Phrases of each lane; lanes: (step, lane) bytes, longest lane first; active: lanes left at each step."""
+        """Phrases of each lane, a byte that the text lacks being one; lanes: (step, lane) bytes, longest lane first; active: lanes left at each step."""
         state = np.zeros(lanes.shape[1], np.int32)
-        count = np.ones(lanes.shape[1], np.int32)  # the phrase that the lane's end closes
+        count = np.zeros(lanes.shape[1], np.int32)
         classed = self.classes[lanes]
         for step, n in enumerate(active):
             to = self.table[state[:n] + classed[step, :n]]
@@ -95,7 +96,7 @@ class CrossParser:
         self.automata = [Automaton(texts[k]) for k in self.languages]
 
     def cost(self, texts: list[bytes]) -> np.ndarray:
-        """(text, language) bits a byte of normalised phrases."""
+        """(text, language) bits a byte of normalised phrases; a text is parsed in stretches of LANE bytes."""
         sizes = np.array([len(t) for t in texts])
         flat = np.frombuffer(b"".join(texts), np.uint8)
         starts = np.cumsum(sizes) - sizes
@@ -235,4 +236,5 @@ def identify_language(docs: DataFrame, labelled: DataFrame | None = None, *, fol
         return pd.DataFrame({"lang_pred": pd.Series(langs, dtype="object"), "score": scores})
 
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("__p", predict("text")).select(*[F.col(f"`{c}`") for c in names], "__p.lang_pred", "__p.score")
+    (p,) = fresh(docs, "p")
+    return docs.withColumn(p, predict("text")).select(*[F.col(f"`{c}`") for c in names], f"{p}.lang_pred", f"{p}.score")

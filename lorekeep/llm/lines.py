@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LAST_ID, SPACE, bounded, cut
+from .common import LAST_ID, SPACE, bounded, cut, fresh
 
 SEGMENT_BITS = 19
 LEAST_BITS, MOST_BITS, BITS_A_LINE = 20, 30, 16
@@ -165,22 +165,26 @@ def line_dedup(docs: DataFrame, *, least: int = 10, filter_bits: int | None = No
         twice = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
-                ids, keys = [], []
-                for d, t in zip(batch.column(0).slice(i, 4096).to_pylist(), batch.column(1).slice(i, 4096).to_pylist()):
+                rows, keys = [], []
+                for j, t in enumerate(batch.column(1).slice(i, 4096).to_pylist(), i):
                     own = keys_of(t, least)
                     keys += own
-                    ids += [d] * len(own)
+                    rows += [j] * len(own)
                 h = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
                 hit = np.flatnonzero(probe(twice, h, bits)).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in hit], pa.int64()), pa.array([digest(keys[k]) for k in hit], pa.binary())], ["d", "key"])
+                at = pa.array([rows[k] for k in hit], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array([digest(keys[k]) for k in hit], pa.binary())], ["d", "r", "key"])
 
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    held = cut(docs.select(order.alias("d"), "text").mapInArrow(suspects, "d long, key binary"))
+    row = F.xxhash64(order, "text")
+    held = cut(docs.select(order.alias("d"), "text", row.alias("r")).mapInArrow(suspects, "d long, r long, key binary"))
     # written out, so that Spark can split a very common key in the join
     repeated = cut(held.groupBy("key").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("key", "first"))
-    lost = held.join(repeated, "key").where("d <> first").groupBy("d").agg(F.collect_set("key").alias("__lost"))
+    # by row and not by id, which may be null or repeat without end: what a row loses is no more than its own lines
+    lost = held.join(repeated, "key").where("d <> first").groupBy("d", "r").agg(F.collect_set("key").alias("k"))
     # the texts are streamed past a hash table of what they lose, so they are shuffled once and never sorted
-    plan = docs.withColumn("__d", order).join(lost.withColumnRenamed("d", "__d").hint("shuffle_hash"), "__d", "left").drop("__d")
+    d, r, k = fresh(docs, "d", "r", "k")
+    plan = docs.withColumns({d: order, r: row}).join(lost.toDF(d, r, k).hint("shuffle_hash"), [d, r], "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.col(k))
     names = docs.columns
     at_text, at_lost = names.index("text"), len(names)
 

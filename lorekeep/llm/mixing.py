@@ -7,14 +7,15 @@ source, by Newton steps kept inside a bracket. Rates depend only on (source, siz
 run over counts by (source, size), all sources at once, and not over documents.
 
 Rates become whole copies: the integer part always, one more for the documents with the lowest
-keys (a hash of the id less the fractional part) as far as the target goes; two more passes fill
-what is left with documents that still fit. Where a cut lies is read off two levels of histograms
+keys (a hash of the id less the fractional part) as far as the target goes; more passes fill what
+is left with documents that still fit. Where a cut lies is read off two levels of histograms
 by source, so no source is ever sorted or gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,7 +23,13 @@ from .common import WORD_PATTERN, cut
 
 #: Source weights by rank in code-point order, repeating, and the mix's size against the input's.
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
-STEPS, STEPS_A_CUT, TOLERANCE, BINS, PASSES = 60, 6, 1e-9, 2048, 3
+STEPS, STEPS_A_CUT, BINS, PASSES = 60, 6, 2048, 5
+#: Share of a target that may stay open; other gaps are filled as far as documents and PASSES go.
+NEAR = 0.002
+#: Relative misses of a target: one to stop at, and one that is an error if it is left.
+TOLERANCE, ENOUGH = 1e-9, 1e-6
+#: Bins of sources whose sums the driver gets at a time.
+LEVELS = 1024
 #: Sources whose figures are broadcast.
 SOURCES = 50_000
 #: Counts by (source, size) in a partition.
@@ -39,26 +46,64 @@ def beside(rows: DataFrame, per_source: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(per_source) if small else per_source, F.expr("source <=> s2"), "left").drop("s2")
 
 
+def ranked(sizes: DataFrame) -> DataFrame:
+    """sizes (a row a source) plus rank from 0, in code-point order with null last.
+
+    Sources are range-partitioned and numbered within their partition; what precedes a partition
+    is a count per partition.
+    """
+    rows = cut(sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("p", F.spark_partition_id()))
+    counts, before, first = sorted((r["p"], r["count"]) for r in rows.groupBy("p").count().collect()), 0, []
+    for p, n in counts:
+        first += [F.lit(p), F.lit(before)]
+        before += n
+    within = F.row_number().over(W.partitionBy("p").orderBy(F.col("source").asc_nulls_last())) - 1
+    return rows.withColumn("rank", within + (F.element_at(F.create_map(*first), F.col("p")) if first else 0)).drop("p")
+
+
+def water_level(goals: DataFrame, share: float) -> float | None:
+    """tau with sum(min(cap, tau * w)) = share * all words, from goals (cap, w, total); None if all fill up.
+
+    Sources at a level cap / w below tau are full. The level is enclosed ever more closely by sums
+    over at most LEVELS bins, until no source's level lies between the ends.
+    """
+    level = F.col("cap") / F.col("w")
+    left, caps, lo, hi, weight = goals.agg(F.sum("total") * float(share), F.sum("cap"), F.min(level), F.max(level), F.sum("w")).first()
+    if left is None or left >= caps:
+        return None
+    if left <= lo * weight:
+        return left / weight
+    while True:  # sources up to lo are full and taken off left and weight; none is known above hi
+        full, w_full = goals.where(level <= lo).agg(F.coalesce(F.sum("cap"), F.lit(0.0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+        inner = goals.where((level > lo) & (level <= hi))
+        bins = F.least(F.lit(LEVELS - 1), F.floor((level - lo) / (hi - lo) * LEVELS))
+        found = inner.groupBy(bins.alias("b")).agg(F.min(level).alias("least"), F.max(level).alias("most"), F.sum("cap").alias("cap"), F.sum("w").alias("w"), F.count_distinct(level).alias("n")).orderBy("b").collect()
+        for r in found:
+            tau = (left - full) / (weight - w_full)
+            if tau <= r["least"]:
+                return tau
+            after = (left - full - r["cap"]) / (weight - w_full - r["w"]) if weight > w_full + r["w"] else None
+            if after is not None and after > r["most"]:  # all of this bin fill up
+                full, w_full = full + r["cap"], w_full + r["w"]
+            elif r["n"] == 1:
+                return tau if tau <= r["most"] else after
+            else:
+                lo, hi = max(lo, float(np.nextafter(r["least"], -np.inf))), r["most"]
+                break
+        else:
+            return (left - full) / (weight - w_full) if weight > w_full else None
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """From (source, total) to (source, total, target), one row a source.
 
     share times all words is dealt by weight; a target stops at most times its source's words and
     the excess is dealt anew by weight until none is above: target = min(most * total, tau * w).
-    tau comes from the running sums over sources in the order in which they fill up.
     """
-    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())) - 1
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (rank % len(weights) + 1).cast("int"))
-    t = sizes.withColumn("w", w).withColumn("cap", F.col("total") * F.lit(float(most)))
-    one = W.partitionBy(F.lit(0))
-    fills = one.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = fills.rowsBetween(W.unboundedPreceding, -1)
-    t = t.withColumn("all", F.sum("total").over(one) * F.lit(float(share))).withColumn("all_w", F.sum("w").over(one))
-    t = t.withColumn("full", F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("full_w", F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    t = t.withColumn("tau", (F.col("all") - F.col("full")) / (F.col("all_w") - F.col("full_w")))
-    # the first source, in that order, that does not fill up fixes tau for itself and all after it
-    t = t.withColumn("tau", F.min_by("tau", F.when(F.col("tau") * F.col("w") <= F.col("cap"), F.col("cap") / F.col("w"))).over(one))
-    target = F.least(F.col("cap"), F.coalesce(F.col("tau") * F.col("w"), F.col("cap")))
-    return t.select("source", "total", target.alias("target"))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    t = cut(ranked(sizes).withColumn("w", w).withColumn("cap", F.col("total") * F.lit(float(most))))
+    tau = water_level(t, share)
+    return t.select("source", "total", (F.col("cap") if tau is None else F.least(F.col("cap"), F.lit(tau) * F.col("w"))).alias("target"))
 
 
 def multipliers(histogram: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
@@ -89,8 +134,12 @@ def multipliers(histogram: DataFrame, goals: DataFrame, most: float = MOST) -> D
         state = s.select(F.col("source").alias("s2"), "target", "mean", lam.alias("lam"), "lo", "hi", (F.abs("miss") / F.col("target")).alias("off"))
         if step % STEPS_A_CUT == 0:
             state = cut(state)
-            if (state.agg(F.max("off")).first()[0] or 0.0) < TOLERANCE:
+            off = state.agg(F.max("off")).first()[0] or 0.0
+            if off < TOLERANCE:
                 break
+    else:
+        if off > ENOUGH:
+            raise RuntimeError(f"a source's rates miss its target by {off:.2g} after {STEPS} steps")
     return state.union(full).select(F.col("s2").alias("source"), "lam", "mean")
 
 
@@ -112,16 +161,21 @@ def threshold(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return two.withColumn("run", run).groupBy("source").agg(F.first("b1").alias("t1"), F.max(F.when(F.expr("run <= gap"), F.col("b2"))).alias("t2"))
 
 
+def row_key() -> Column:
+    """A hash of a row's id, source and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """One row per row of docs: doc_id, size, source, source_size, target, rate, copies, taken, __row.
+    """One row per row of docs: doc_id, size, source, source_size, target, rate, copies, taken, row.
 
     size counts the runs of characters other than ASCII white space in the whole text (null: 0);
     source_size and target are its source's, a null source being one of its own, last in order.
     copies is 0, 1 or 2 and taken = copies * size. Documents of size 0 have rate and copies 1.
-    Repeated rows are rows of their own, told apart by a hash of the row's id and text, and equal
-    ones are treated alike. Reruns agree.
+    row is row_key(): rows of equal id, source and text are treated alike, all others are rows of
+    their own. Reruns agree.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("__row"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"), row_key().alias("row"))
     d = cut(d)
     histogram = cut(d.groupBy("source", "size").agg(F.count("*").alias("c")))
     # as many partitions as its rows ask for: the steps over a small one then shuffle nothing
@@ -134,18 +188,22 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     per_source = goals.join(lams.withColumnRenamed("source", "s2"), F.expr("source <=> s2"), "left").drop("s2").withColumnRenamed("source", "s2")
     rated = beside(d, cut(per_source)).withColumn("rate", rate)
     rated = rated.withColumn("base", F.floor("rate").cast("long")).withColumn("frac", F.col("rate") - F.col("base"))
-    u = F.pmod(F.xxhash64(F.lit("copies"), "__row"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    u = F.pmod(F.xxhash64(F.lit("copies"), "row"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rated = rated.withColumn("key", (u - F.col("frac") + 1.0) / 2.0)
     b1 = F.floor(F.col("key") * BINS).cast("int")
     b2 = F.floor((F.col("key") * BINS - b1) * BINS).cast("int")
     below = (b1 < F.col("t1")) | ((b1 == F.col("t1")) & (b2 <= F.coalesce(F.col("t2"), F.lit(-1))))
     out = rated.withColumn("copies", F.col("base"))
-    for _ in range(PASSES):  # what the first cut leaves open is filled with documents that still fit
-        gaps = cut(out.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")).withColumnRenamed("source", "s2"))
+    for step in range(PASSES):  # what a cut leaves open is filled with documents that still fit
+        gaps = cut(out.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"), F.first("target").alias("goal")).withColumnRenamed("source", "s2"))
+        worst, left = gaps.agg(F.max(F.try_divide("gap", "goal")), F.sum("gap")).first()
+        if step and ((worst or 0.0) <= NEAR or left == before):
+            break
+        gaps, before = gaps.drop("goal"), left
         out = beside(out, gaps)
         open_ = (F.col("copies") == F.col("base")) & (F.col("frac") > 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
         cuts = cut(threshold(out.where(open_).select("source", "size", "base", "key"), gaps)).withColumnRenamed("source", "s2")
         # a source without a cut takes all that is open
         more = F.when(open_ & F.coalesce(below, F.lit(True)), 1).otherwise(0)
         out = cut(beside(out, cuts).withColumn("copies", F.col("copies") + more).drop("t1", "t2", "gap"))
-    return out.select("doc_id", "size", "source", F.col("total").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), "__row")
+    return out.select("doc_id", "size", "source", F.col("total").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), "row")

@@ -7,11 +7,14 @@ over all committed batches, and a batch that is committed again changes nothing.
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
-from .common import WORD_PATTERN, bounded
+from .common import WORD_PATTERN, bounded, remainder
 
 KEYS = ("source", "lang", "tokenizer")
 #: Files of a batch.
@@ -61,17 +64,28 @@ class TokenRollup:
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Sum and store a batch of deltas; False, and no effect, if the id is committed.
 
-        The files are written aside and appear under the id by one rename, so a run that dies
-        half-way leaves nothing that counts.
+        The files are written aside, in a folder of this call's own, and appear under the id by one
+        rename that refuses an id in place. So a run that dies half-way leaves nothing that
+        counts, and of two writers of one id one wins (where the store's rename is atomic).
         """
         place = self._place(batch_id)
         if self.committed(batch_id):
             return False
-        aside = f"{self.folder}/pending/{batch_id}"
+        aside = f"{self.folder}/pending/{batch_id}-{uuid.uuid4().hex}"
         summed = deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        summed.coalesce(FILES).write.mode("overwrite").parquet(aside)  # a row a group, so few files do
+        summed.coalesce(FILES).write.parquet(aside)  # a row a group, so few files do
         self._fs.mkdirs(self._path(f"{self.folder}/batches"))
-        return bool(self._fs.rename(self._path(aside), self._path(place)))
+        sc = self.spark.sparkContext
+        hadoop = sc._jvm.org.apache.hadoop.fs
+        whole = hadoop.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration())
+        try:
+            whole.rename(self._path(aside), self._path(place), sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
+        except Py4JJavaError as e:
+            self._fs.delete(self._path(aside), True)
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        return True
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens over all batches; groups that came to nothing are left out."""
@@ -83,16 +97,21 @@ def corpus_counts(docs: DataFrame, rollup: TokenRollup, path: str) -> DataFrame:
     """Bring a corpus into a rollup and return its totals, under two tokenizer versions.
 
     Batch `load` inserts every document with its words and an estimate of its BPE tokens (a
-    quarter of its bytes), batch `revise` replaces the estimate by the exact count. Null sources
-    and languages are groups of their own, a null text has no tokens, repeated rows count each.
+    quarter of its bytes), batch `revise` replaces the estimate by the exact count. Batch
+    `withdraw` deletes the word counts of documents whose crc32(doc_id) mod 16 is 0, batch
+    `restore` inserts them again. Each is committed twice, which must count once. Null sources and
+    languages are groups of their own, a null text has no tokens, repeated rows count each.
     """
     bounded(docs.sparkSession)
     estimate = F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / 4).cast("long")
-    base = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text")
+    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text")
+    none = F.lit(None).cast("long").alias("old_tokens")
     both = F.explode(F.array(*[F.struct(F.lit(t).alias("tokenizer"), n.alias("tokens")) for t, n in (("words-1", count_words(F.col("text"))), ("byte_bpe_50k-1", estimate))]))
-    load = base.withColumn("x", both).select(F.lit("insert").alias("op"), "source", "lang", "x.tokenizer", "x.tokens", F.lit(None).cast("long").alias("old_tokens"))
+    load = base.withColumn("x", both).select(F.lit("insert").alias("op"), "source", "lang", "x.tokenizer", "x.tokens", none)
     exact = count_tokens(base.withColumn("old_tokens", estimate), path, ("source", "lang", "old_tokens"))
     revise = exact.select(F.lit("revise").alias("op"), "source", "lang", F.lit("byte_bpe_50k-1").alias("tokenizer"), "tokens", "old_tokens")
-    rollup.commit("load", signed(load))
-    rollup.commit("revise", signed(revise))
+    some = base.where(remainder(F.col("doc_id"), 16) == 0).select("source", "lang", F.lit("words-1").alias("tokenizer"), count_words(F.col("text")).alias("tokens"), none)
+    for batch_id, changes in (("load", load), ("revise", revise), ("withdraw", some.withColumn("op", F.lit("delete"))), ("restore", some.withColumn("op", F.lit("insert")))):
+        for _ in range(2):
+            rollup.commit(batch_id, signed(changes))
     return rollup.totals()

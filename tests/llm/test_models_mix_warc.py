@@ -6,7 +6,11 @@ import zlib
 import numpy as np
 import pytest
 
-import corpus_pipeline
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+import corpus_pipeline  # noqa: E402
 from lorekeep.llm.embeddings import embedding_neardup
 from lorekeep.llm.jaccard import ngram_jaccard
 from lorekeep.llm.language import Automaton, identify_language
@@ -96,6 +100,65 @@ def test_quality_on_the_held_out_fold(spark, sf):
     assert len(m) > 40 and (m.predicted == m.quality).mean() > 0.95
 
 
+def test_bradley_terry_against_plain_descent():
+    """Scores from the same pairs by plain gradient descent on the logistic loss of feature differences."""
+    from lorekeep.llm.quality import BradleyTerry
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 4))
+    y = (x @ [2.0, -1.0, 0.5, 0.0] + rng.normal(size=60) > 0).astype(int)
+    bt = BradleyTerry(x, y, pairs=500, ridge=1e-2)
+    good, bad = [i for i in range(60) if y[i]], [i for i in range(60) if not y[i]]
+    draw = np.random.default_rng(7)
+    a = [i for _ in range(-(-500 // len(good))) for i in draw.permutation(good).tolist()][:500]
+    b = [i for _ in range(-(-500 // len(bad))) for i in draw.permutation(bad).tolist()][:500]
+    mean, scale = x.mean(0), x.std(0)
+    z = np.clip((x - mean) / scale, -8, 8)
+    w = np.zeros(4)
+    for _ in range(4000):
+        d = z[a] - z[b]
+        w = w - 0.5 * (1e-2 * w - (d / (1 + np.exp(d @ w))[:, None]).mean(0))
+    s = z @ w
+    low = sorted(s)
+    cut = (low[len(bad) - 1] + low[len(bad)]) / 2
+    want = [1 / (1 + np.exp(-(v - cut + np.log(0.3 / 0.7)))) for v in s]
+    assert np.allclose(bt.scores(x), want, atol=1e-5) and ((bt.scores(x) >= 0.3) == (s >= cut)).all()
+
+
+def test_quality_against_brute_force(spark, sf):
+    """The query's scores from the features of each text, one by one, with a model fitted on rows that plain Python picks."""
+    import lorekeep.llm.quality as Q
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None}
+    learnt = sorted(i for i in labels if i in docs and zlib.crc32(str(i).encode()) % 5)
+    bt = Q.BradleyTerry(np.array([Q.features(docs[i]) for i in learnt]), np.array([labels[i] for i in learnt]))
+    got = {r.doc_id: (r.score, r.predicted) for r in QUERIES["op5_quality_classifier"](spark, sf).collect()}
+    assert set(got) == set(docs)
+    for i, t in docs.items():
+        want = float(bt.scores(Q.features(t)[None, :])[0])
+        assert abs(got[i][0] - want) < 1e-9 and got[i][1] == (want >= 0.3)
+
+
+def test_features_of_a_text():
+    """The first features against their plain definitions."""
+    import lorekeep.llm.quality as Q
+
+    t = "Ab cd, ab 12\n\nXY  é\nAb cd, ab 12"
+    x, n, words = Q.features(t), len(t.encode()), t.split()
+    letters = lambda f: sum(map(f, t.encode())) / n
+    up, low = letters(lambda b: 65 <= b <= 90), letters(lambda b: 97 <= b <= 122)
+    want = [np.log1p(n), np.log1p(len(words)), up, low, letters(lambda b: 48 <= b <= 57), letters(lambda b: b > 127), letters(lambda b: b == 44), letters(lambda b: b == 32), letters(lambda b: b == 10)]
+    assert np.allclose(x[:9], want) and abs(x[9] - up / (up + low + 1e-6)) < 1e-12 and abs(x[14] - 2 / 3) < 1e-12
+
+
+def test_one_id_with_several_texts_is_learnt_alike(spark):
+    rows = [(i % 20, f"text {'abc '[i % 4]} {i} " * (i % 7 + 1)) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    runs = [sorted((r.doc_id, r.text, r.score) for r in quality_scores(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels).collect()) for x, n in ((rows, 1), (rows[::-1], 5))]
+    assert runs[0] == runs[1]
+
+
 def test_quality_cases(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "text", "c"), (3, "x" * 200_000, "d"), (3, "x" * 200_000, "d")], "doc_id long, text string, score string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -119,9 +182,47 @@ def test_automaton_against_greedy_parsing():
                 n += 1
             at, phrases = at + n, phrases + 1
         lanes = np.frombuffer(query, np.uint8)[:, None]
-        assert abs(int(auto.phrases(lanes, np.ones(len(query), int))[0]) - phrases) <= sum(c == ord("d") for c in query)
-        if b"d" not in query:
-            assert int(auto.phrases(lanes, np.ones(len(query), int))[0]) == phrases
+        assert int(auto.phrases(lanes, np.ones(len(query), int))[0]) == phrases
+
+
+@pytest.mark.parametrize("query, phrases", [(b"abdc", 3), (b"dddd", 4), (b"abcabc", 1), (b"cab", 1), (b"d", 1), (b"acb", 3), (b"dabcd", 3)])
+def test_phrases_of_small_cases(query, phrases):
+    assert int(Automaton(b"abcabc").phrases(np.frombuffer(query, np.uint8)[:, None], np.ones(len(query), int))[0]) == phrases
+
+
+def greedy(text, known):
+    at, phrases = 0, 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and text[at : at + n + 1] in known:
+            n += 1
+        at, phrases = at + n, phrases + 1
+    return phrases
+
+
+def test_language_against_brute_force(spark, sf):
+    """The query's rows from the fitted texts by substring search alone."""
+    import lorekeep.llm.language as L
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {}
+    plain = L.CrossParser.__init__
+    try:
+        L.CrossParser.__init__ = lambda self, t: (texts.update(t), plain(self, t))[1]
+        L.fit(docs)
+    finally:
+        L.CrossParser.__init__ = plain
+    assert set(texts) == {r.lang for r in docs.select("lang").distinct().collect() if r.lang}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in QUERIES["op9_language_id"](spark, sf).collect()}
+    rows = [r for r in docs.select("doc_id", "text").collect() if len(r.text or "") < 6000]
+    assert len(rows) > 100
+    for r in rows:
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        raw = L.normal(r.text)
+        cost = sorted((sum(greedy(raw[i : i + L.LANE], t) for i in range(0, len(raw), L.LANE)) * np.log2(len(t)) / len(raw), lang) for lang, t in texts.items())
+        assert got[r.doc_id][0] == cost[0][1] and abs(got[r.doc_id][1] - cost[1][0] / (cost[0][0] + cost[1][0])) < 1e-12
 
 
 def test_language_on_the_held_out_fold(spark, sf):
@@ -168,6 +269,27 @@ def plain_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
     return target
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_of_many_sources(spark, monkeypatch, seed):
+    import lorekeep.llm.mixing as M
+
+    monkeypatch.setattr(M, "LEVELS", 4)  # so that the level is enclosed in several rounds
+    rng = random.Random(seed)
+    sizes = {f"s{i}": rng.choice([0, 1, 5, 5, 100, 10_000, 1_000_000]) + rng.randrange(3) for i in range(150)} | {None: 40}
+    got = {r.source: r.target for r in M.targets(spark.createDataFrame(list(sizes.items()), "source string, total long").repartition(3)).collect()}
+    want = plain_targets(sizes)
+    assert set(got) == set(want) and all(abs(got[s] - want[s]) <= 1e-9 * (1 + want[s]) for s in want)
+
+
+def test_equal_texts_of_two_sources(spark):
+    rows = [(1, "a b c d", "x")] * 2 + [(1, "a b c d", "y")] * 2 + [(i, "w " * i, "x") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mix_sources(docs).collect()
+    want = {s: sum(r.copies for r in mix if r.doc_id == 1 and r.source == s) for s in "xy"}
+    out = corpus_pipeline.STAGES[3][1](spark, docs, "").collect()
+    assert {s: sum(r.doc_id == 1 and r.source == s for r in out) for s in "xy"} == want
+
+
 def test_mix(spark):
     rng = random.Random(6)
     rows = [(i, "w " * rng.choice([0, 1, 5, 20, 20, 60, 400]), rng.choice(["hot"] * 8 + ["a", "b", "Z", None])) for i in range(1500)] + [(9001, None, "hot"), (None, "x y", "a"), (5, "x y", "a"), (5, "x y", "a"), (9002, "big " * 3000, "hot"), (9003, "", "empty")]
@@ -249,8 +371,69 @@ def test_keys(url, key):
 # -- pipeline -------------------------------------------------------------------------------------
 
 
+def plain_rates(rows, targets, most=2.0):
+    """The rate of each (source, size) by bisection on the dual."""
+    out = {}
+    for s in {s for s, _ in rows}:
+        mine = [n for t, n in rows if t == s and n]
+        if not mine:
+            continue
+        mean, goal = sum(mine) / len(mine), targets[s]
+        rate = lambda n, lam: min(most, np.exp(min(50.0, lam * n / mean)))
+        lo, hi = -1e4, 1e4
+        for _ in range(200):
+            lam = (lo + hi) / 2
+            lo, hi = (lam, hi) if sum(rate(n, lam) * n for n in mine) < goal else (lo, lam)
+        for n in mine:
+            out[s, n] = most if goal >= most * sum(mine) * (1 - 1e-12) else rate(n, lam)
+    return out
+
+
 def test_pipeline(spark, sf):
-    """Each stage against what its predecessor kept."""
+    """run() against plain versions of its stages, each over what the plain one before it kept."""
+    import lorekeep.llm.quality as Q
+    from test_lines_jaccard import plain_jaccard, plain_lines
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None}
+    text = {r.doc_id: r.text for r in docs}
+    learnt = sorted(i for i in labels if i in text and zlib.crc32(str(i).encode()) % 5)
+    bt = Q.BradleyTerry(np.array([Q.features(text[i]) for i in learnt]), np.array([labels[i] for i in learnt]))
+    kept = [(r.doc_id, r.text) for r in docs if bt.scores(Q.features(r.text)[None, :])[0] >= 0.3]
+    kept = [(d, t) for d, _, gone, t in plain_lines(kept) if not gone or t]
+    stand = {c for _, _, c in plain_jaccard(kept, 5, 80)}
+    kept = [(d, t) for d, t in kept if d in stand]
+    assert len(docs) > len(kept) > 50
+    source = {r.doc_id: r.source for r in docs}
+    words = {d: len((t or "").split()) for d, t in kept}
+    sizes = {}
+    for d, _ in kept:
+        sizes[source[d]] = sizes.get(source[d], 0) + words[d]
+    targets = plain_targets(sizes)
+    rates = plain_rates([(source[d], words[d]) for d, _ in kept], targets)
+    got = {}
+    for r in corpus_pipeline.run(spark, sf).collect():
+        got.setdefault(r.doc_id, []).append((r.n_tokens, list(r.ids), r.source))
+    lib, taken = Tokenizer.from_file(corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json")), {}
+    left = {}
+    for d, t in kept:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        copies = got.pop(d, [])
+        assert all(c == (len(ids), ids, source[d]) for c in copies)
+        rate = rates.get((source[d], words[d]), 1.0)
+        assert np.floor(rate - 1e-6) <= len(copies) <= np.ceil(rate + 1e-6) and len(copies) <= 2  # a rate is rounded down or up
+        taken[source[d]] = taken.get(source[d], 0) + len(copies) * words[d]
+        if words[d] and len(copies) < rate - 1e-6:
+            left.setdefault(source[d], []).append(words[d])
+    assert not got
+    for s, goal in targets.items():  # the target is met, or nothing that is left still fits
+        gap = goal - taken[s]
+        assert -1e-6 <= gap and (gap <= 0.002 * goal or gap < min(left.get(s, [1e9])))
+
+
+def test_stages_against_their_operators(spark, sf):
+    """Each stage keeps what its operator says, and the columns of documents."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     quality, lines, near, mix, tokens = [f for _, f in corpus_pipeline.STAGES]
     a = quality(spark, docs, sf)
@@ -267,10 +450,7 @@ def test_pipeline(spark, sf):
     for r in d.collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + 1
     assert got == copies and d.columns == docs.columns
-    e = tokens(spark, d, sf)
-    assert e.count() == d.count() and all(r.n_tokens == len(r.ids) for r in e.collect())
-    whole = corpus_pipeline.run(spark, sf)
-    assert sorted((r.doc_id, r.n_tokens) for r in whole.collect()) == sorted((r.doc_id, r.n_tokens) for r in e.collect())
+    assert tokens(spark, d, sf).count() == d.count()
 
 
 def test_the_last_stage_decodes(spark, sf, tmp_path, monkeypatch):
@@ -292,7 +472,7 @@ def test_the_last_stage_decodes(spark, sf, tmp_path, monkeypatch):
 @pytest.mark.parametrize("step", range(5))
 def test_stages_take_odd_tables(spark, sf, step):
     rows = [(None, None, None, None, None, "k"), (1, "", "en", "s", 0, None), (1, "", "en", "s", 0, None), (2, "one two three four five six", None, "s", 3, "x"), (3, "long " * 20_000, "en", None, 5, "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_lines string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_lines string").selectExpr("*", "1 as kept", "2 as `row`", "3 as copies", "4 as copy", "5 as d", "6 as r", "7 as k", "8 as p", "9 as score")
     f = corpus_pipeline.STAGES[step][1]
     for docs in (df, df.limit(0)):
         out = f(spark, docs, sf)

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 
@@ -7,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lorekeep.llm.bpe import bpe_decode, bpe_encode, model
+from lorekeep.llm.bpe import SpeculativeBPE, bpe_decode, bpe_encode, model
 from lorekeep.llm.matroska import FRAME, element, media_digest, number, packet_table, parse, read_vint, to_media, vint, write
 from lorekeep.llm.rollup import TokenRollup, corpus_counts, signed
 
@@ -30,6 +31,28 @@ def test_encoding_equals_the_library():
     assert all(model(PATH).decode(a) == library().decode(b.ids, skip_special_tokens=False) for a, b in list(zip(mine, ref))[:200])
 
 
+def test_long_words_equal_the_library():
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(rng.choice(x) for _ in range(n)) for n in (40, 49, 100, 5000, 30_000) for x in (letters, "abe", "漢字本語", "e", "0123456789")]
+    texts += ["=" * 5000, "ing" * 4000, "abab" * 30 + "c" * 200]
+    assert [a.tolist() for a in model(PATH).encode_many(texts)] == [b.ids for b in library().encode_batch(texts, add_special_tokens=False)]
+    whole = "".join(rng.choice(letters) for _ in range(1_000_000))  # one word of a megabyte
+    assert model(PATH).encode(whole).tolist() == library().encode(whole, add_special_tokens=False).ids
+
+
+def test_the_longest_special_token_wins(tmp_path):
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    spec["added_tokens"] = [{**spec["added_tokens"][0], "id": 50_257 + i, "content": c} for i, c in enumerate(("<|a", "<|ab|>"))]
+    (tmp_path / "bpe.json").write_text(json.dumps(spec), encoding="utf-8")
+    lib = Tokenizer.from_file(str(tmp_path / "bpe.json"))
+    for t in spec["added_tokens"]:  # the library numbers them itself
+        t["id"] = lib.token_to_id(t["content"])
+    (tmp_path / "bpe.json").write_text(json.dumps(spec), encoding="utf-8")
+    for text in ("x<|ab|>y", "<|ab", "<|a<|ab|>"):
+        assert SpeculativeBPE(str(tmp_path / "bpe.json")).encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
 def test_columns(spark):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, "a", None), (2, "a", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
@@ -67,6 +90,10 @@ def test_rollup(spark, tmp_path):
     with pytest.raises(Exception, match="unknown change"):
         r.commit("bad", signed(change.selectExpr("'upsert' as op", "source", "lang", "tokenizer", "tokens", "old_tokens")))
     assert not r.committed("bad")
+    late = TokenRollup(spark, str(tmp_path / "r"))
+    late.committed = lambda batch_id: False  # another writer that looked before the id was in place
+    assert not late.commit("third", signed(change))
+    assert {(x.source, x.lang, x.tokenizer): (x.docs, x.tokens) for x in r.totals().collect()} == now
 
 
 @pytest.mark.parametrize("lacing", ["none", "fixed", "xiph", "ebml"])
@@ -94,6 +121,52 @@ def test_laces_of_several_sizes():
         assert [data[p.offset : p.offset + p.size] for p in m.packets] == frames and m.packets[0].timestamp_ns == 45_000_000
 
 
+def test_bytes_of_the_public_format():
+    """A file laid out by hand from the format's specification, with cues, unlaced and Xiph-laced blocks."""
+    e = lambda name, *body: bytes.fromhex(name) + (lambda b: bytes([0x80 | len(b)]) if len(b) < 127 else bytes([0x40 | len(b) >> 8, len(b) & 255]))(b"".join(body)) + b"".join(body)
+    header = e("1A45DFA3", e("4286", b"\x01"), e("42F7", b"\x01"), e("42F2", b"\x04"), e("42F3", b"\x08"), e("4282", b"matroska"), e("4287", b"\x04"), e("4285", b"\x02"))
+    info = e("1549A966", e("2AD7B1", b"\x0f\x42\x40"))
+    track = e("1654AE6B", e("AE", e("D7", b"\x01"), e("83", b"\x02"), e("86", b"A_PCM/INT/LIT"), e("E1", e("B5", b"\x45\xfa\x00\x00"), e("9F", b"\x01"), e("6264", b"\x08"))))
+    first = e("1F43B675", e("E7", b"\x0a"), e("A3", b"\x81\x00\x02\x80", b"abc"), e("A3", b"\x81\xff\xff\x02\x01\x02", b"xxyz"))
+    second = e("1F43B675", e("E7", b"\x01\x00"), e("A0", e("A1", b"\x81\x00\x00\x00", b"tail")))
+    at = len(info) + len(track)
+    cues = e("1C53BB6B", *[e("BB", e("B3", t), e("B7", e("F7", b"\x01"), e("F1", bytes([p])))) for t, p in ((b"\x0a", at), (b"\x01\x00", at + len(first)))])
+    data = header + e("18538067", info, track, first, second, cues)
+    m = parse(data)
+    assert m.doc_type == "matroska" and m.tracks[0] == {"number": 1, "kind": 2, "codec": "A_PCM/INT/LIT", "rate": 8000.0, "channels": 1, "depth": 8}
+    assert [data[p.offset : p.offset + p.size] for p in m.packets] == [b"abc", b"xx", b"yz", b"tail"]
+    assert [p.timestamp_ns // 1_000_000 for p in m.packets][0] == 12 and m.packets[1].timestamp_ns == 9_000_000 and m.packets[-1].timestamp_ns == 256_000_000
+    assert [p.keyframe for p in m.packets][0] is True and [c[0] for c in m.cues] == [10, 256] and [c[2] for c in m.cues] == m.clusters
+
+
+def plain_feature(payload, packets):
+    x = [b - 128 for b in payload]
+    quarter, extra = divmod(len(x), 4)
+    ends = [0]
+    for i in range(4):
+        ends.append(ends[-1] + quarter + (i < extra))
+    energy = [sum(v * v for v in x[a:b]) for a, b in zip(ends, ends[1:])]
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+    return f"packets={packets};", f"sum={sum(x)};crossings={crossings};energy={','.join(map(str, energy))}"
+
+
+def test_feature_and_seek(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS[:9] + ["long text " * 3000])], "doc_id long, text string")
+    digests = {r.doc_id: r for r in media_digest(docs).collect()}
+    for r in packet_table(to_media(docs)).collect():
+        raw = (r.text or "").encode()
+        p = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        head, tail = plain_feature(p, len(p) // 576)
+        assert digests[r.doc_id].feature.startswith(head) and digests[r.doc_id].feature.endswith(tail)
+        media = bytes(r.media)
+        assert hashlib.sha256(media).hexdigest() == digests[r.doc_id].media_sha256
+        # a seek: the last cue names a cluster, whose first packet has the cue's time
+        m = parse(media)
+        time, _, cluster = m.cues[-1]
+        packet = next(x for x in r.packets if x.offset > cluster)
+        assert packet.timestamp_ns == time * 1_000_000 and media[packet.offset : packet.offset + packet.size] == p[packet.timestamp_ns // 72_000_000 * 576 :][:576]
+
+
 def test_variable_length_integers():
     for n in (0, 1, 126, 127, 128, 16382, 16383, 2**21 - 2, 2**40):
         assert read_vint(vint(n), 0) == (n, len(vint(n)))

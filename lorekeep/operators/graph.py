@@ -59,10 +59,11 @@ def resolve_links(links: DataFrame, keys: DataFrame) -> DataFrame:
     """
     asked = links.withColumn("__l", F.xxhash64("source_id", "link", "kind"))
     tried = asked.select("__l", F.posexplode(link_keys(F.col("link"))).alias("p", "key")).join(keys, "key", "left")
-    by_key = tried.groupBy("__l", "p").agg(F.count_distinct("memory_id").alias("n"), F.min("memory_id").alias("one"), F.collect_set("memory_id").alias("ids"))
-    found = by_key.groupBy("__l").agg(F.min_by("one", F.when(F.col("n") == 1, F.col("p"))).alias("first"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
-    target = F.coalesce("first", F.when(F.size("ids") == 1, F.element_at("ids", 1)))
-    state = F.when(target.isNotNull(), "resolved").when(F.coalesce(F.size("ids"), F.lit(0)) == 0, "unresolved").otherwise("ambiguous")
+    # the least and the largest match tell none, one and several apart, so that no list of matches is gathered
+    by_key = tried.groupBy("__l", "p").agg(F.min("memory_id").alias("one"), F.max("memory_id").alias("other"))
+    found = by_key.groupBy("__l").agg(F.min_by("one", F.when(F.col("one") == F.col("other"), F.col("p"))).alias("first"), F.max("other").alias("any"))
+    target = F.col("first")
+    state = F.when(target.isNotNull(), "resolved").when(F.col("any").isNull(), "unresolved").otherwise("ambiguous")
     return asked.join(found, "__l", "left").select("source_id", "link", "kind", target.alias("target"), state.alias("state"))
 
 
@@ -100,9 +101,12 @@ def allowed_edges(nodes: DataFrame, edges: DataFrame, allowed: DataFrame | None)
     return free, edges.join(ids, "source", "left_semi").join(ids.withColumnRenamed("source", "target"), "target", "left_semi").select(edges.columns)
 
 
-def rank(queries: DataFrame, candidates: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int, depth: int = 2) -> DataFrame:
+def rank(queries: DataFrame, candidates: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int, depth: int = 2, visible: DataFrame | None = None) -> DataFrame:
     """Paths by the strongest walk from a seed: query_id, path, score, rank.
 
+    visible (id, scopes): with it, queries have a column scope, and a query's walk starts at and
+    passes only nodes whose scopes hold its own; scopes null means any.
+
     queries: query_id, query; candidates: query_id, path, place (1 is first), n. A seed has words of
     the query in its label or is a candidate's file; each hop multiplies by the edge's weight and a
     decay. The best score of a node at a hop is all that matters further on, so hops are joins with a
@@ -114,11 +118,14 @@ def rank(queries: DataFrame, candidates: DataFrame, nodes: DataFrame, edges: Dat
     by_label = q.join(n, "w").select("query_id", "query", "id", "label").distinct().select("query_id", "id", (words * LABEL).alias("s"))
     by_path = candidates.join(nodes.where("source_file is not null").select("id", F.lower("source_file").alias("f")), F.expr("lower(path) = f")).select("query_id", "id", ((F.col("n") - F.col("place") + 1) * PLACE).alias("s"))
     seeds = by_label.union(by_path).groupBy("query_id", "id").agg(F.sum("s").alias("score")).where("score > 0")
-    level = top(seeds, [F.desc("score"), F.desc("id")], 3 * limit).select("query_id", "id", "score")
+    scope_of = None if visible is None else queries.select("query_id", "scope")
+    seen = lambda rows: rows if visible is None else rows.join(visible, "id").join(scope_of, "query_id").where("scopes is null or array_contains(scopes, scope)").select("query_id", "id", "score")
+    level = top(seen(seeds), [F.desc("score"), F.desc("id")], 3 * limit).select("query_id", "id", "score")
     hops = both_ways(edges.select("source", "target", edge_weight(F.col("confidence")).alias("w"))).groupBy("source", "target").agg(F.max("w").alias("w"))
     reached = level
     for _ in range(max(0, min(depth, MOST_DEPTH))):
         level = level.join(hops, F.expr("id = source")).groupBy("query_id", "target").agg(F.max(F.col("score") * F.col("w") * DECAY).alias("score")).select("query_id", F.col("target").alias("id"), "score")
+        level = seen(level)
         reached = reached.union(level)
     files = reached.join(nodes.where("source_file is not null").select("id", F.col("source_file").alias("path")), "id").groupBy("query_id", "path").agg(F.max("score").alias("score"))
     return top(files, [F.desc("score"), F.asc(F.lower("path")), F.asc("path")], limit)
@@ -156,12 +163,18 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, longest: int = 6) -> Data
 
 
 def merge_graphs(graphs: dict[str, tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """Graphs of several providers with prefixed ids."""
+    """Graphs of several providers with prefixed ids; a repeated node or a dangling edge is an error when read."""
     nodes = edges = None
     for name, (n, e) in graphs.items():
         n = n.withColumn("id", F.concat(F.lit(f"{name}:"), "id"))
         e = e.withColumn("source", F.concat(F.lit(f"{name}:"), "source")).withColumn("target", F.concat(F.lit(f"{name}:"), "target"))
         nodes, edges = (n, e) if nodes is None else (nodes.unionByName(n), edges.unionByName(e))
+    twice = nodes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    nodes = nodes.join(twice, "id", "left").withColumn("id", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("repeated node "), "id")))).select(nodes.columns)
+    for end in ("source", "target"):
+        there = nodes.select(F.col("id").alias("there")).distinct()
+        checked = F.when(F.col("there").isNotNull(), F.col(end)).otherwise(F.raise_error(F.concat(F.lit("dangling edge at "), end)))
+        edges = edges.join(there, F.col(end) == F.col("there"), "left").withColumn(end, checked).select(edges.columns)
     return nodes, edges
 
 

@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Levels that a hierarchy may have.
+#: Levels that a hierarchy may have; a deeper one, and so a cycle, is an error.
 DEPTH = 8
 
 
+def refuse(rows: DataFrame, depth: int) -> DataFrame:
+    """No rows: any row, which lies deeper than a hierarchy may be, fails the query."""
+    return rows.where(F.isnull(F.raise_error(F.lit(f"the hierarchy has more than {depth} levels or a cycle"))))
+
+
 def closure(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(node, ancestor, distance) for all ancestors at most depth levels up: unrolled equi-joins.
+    """(node, ancestor, distance) for all ancestors, at most depth levels up or an error: unrolled equi-joins.
 
     nodes: node, parent.
     """
     edges = nodes.where("parent is not null").select("node", "parent")
     up = edges.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
     out = up
-    for level in range(2, depth + 1):
+    for level in range(2, depth + 2):
         up = up.join(edges.select(F.col("node").alias("ancestor"), F.col("parent").alias("next")), "ancestor").select("node", F.col("next").alias("ancestor"), F.lit(level).alias("distance"))
-        out = out.unionByName(up)
+        out = out.unionByName(up if level <= depth else refuse(up, depth))
     return out
 
 
@@ -31,10 +36,10 @@ def below(edges: DataFrame, roots: DataFrame, depth: int = DEPTH, through=None)
     e = edges if through is None else edges.where(through)
     level = roots.select("root", F.col("root").alias("at")).distinct()
     out = None
-    for k in range(1, depth + 1):
+    for k in range(1, depth + 2):
         level = level.join(e.select(F.col("parent").alias("at"), "node"), "at").select("root", F.col("node").alias("at"))
         one = level.select("root", F.col("at").alias("node"), F.lit(k).alias("depth"))
-        out = one if out is None else out.unionByName(one)
+        out = one if out is None else out.unionByName(one if k <= depth else refuse(one, depth))
     return out
 
 
@@ -71,7 +76,15 @@ def conversation_context(artifacts: DataFrame, conversations: DataFrame) -> Data
     return first.select("root", "artifact_id").union(second).distinct()
 
 
-def meeting_context(artifacts: DataFrame, links: DataFrame, meetings: DataFrame, depth: int = 4) -> DataFrame:
+def context(artifacts: DataFrame, links: DataFrame, roots_: DataFrame) -> DataFrame:
+    """(root, artifact_id) of conversations and meetings, each by its own rule; other entities are an error."""
+    kinds = roots_.select("root").distinct().join(artifacts.select(F.col("artifact_id").alias("root"), "entity"), "root")
+    wrong = kinds.where("entity not in ('conversation', 'meeting')").where(F.isnull(F.raise_error(F.concat(F.lit("no context for a "), "entity"))))
+    talks, meetings = (kinds.where(F.col("entity") == e).select("root") for e in ("conversation", "meeting"))
+    return conversation_context(artifacts, talks).unionByName(meeting_context(artifacts, links, meetings)).unionByName(wrong.select("root", F.col("root").alias("artifact_id")))
+
+
+def meeting_context(artifacts: DataFrame, links: DataFrame, meetings: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(root, artifact_id) of a meeting: parts below it or contained in it, and related chats' messages.
 
     Parts are recordings, transcripts, cues and attachments, reached by parent or by `contains`.
@@ -82,9 +95,9 @@ def meeting_context(artifacts: DataFrame, links: DataFrame, meetings: DataFrame,
     steps = rows.union(contained).distinct()
     level = meetings.select("root", F.col("root").alias("at")).distinct()
     seen = None
-    for _ in range(depth):
+    for k in range(1, depth + 2):
         level = level.join(steps, F.expr("at = parent")).select("root", F.col("artifact_id").alias("at")).distinct()
-        seen = level if seen is None else seen.union(level)
+        seen = level if seen is None else seen.union(level if k <= depth else refuse(level, depth))
     chats = meetings.select("root").join(links.where("relation = 'related-chat'"), F.expr("root = source")).select("root", F.col("target").alias("c"))
     talk = conversation_context(artifacts, chats.select(F.col("c").alias("root")).distinct()).select(F.col("root").alias("c"), "artifact_id")
     return seen.select("root", F.col("at").alias("artifact_id")).union(chats.join(talk, "c").select("root", "artifact_id")).distinct()

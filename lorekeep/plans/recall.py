@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import embed
 from ..operators.fusion import answer_gate, fuse, rerank
-from ..operators.graph import allowed_edges, build_graph, neighbours, rank, shortest_paths
+from ..operators.graph import build_graph, neighbours, rank, shortest_paths
 from ..operators.lexical import LexicalIndex, best_per_group, bm25, build_index, normalised, top
 from ..operators.scope import Scope, mentioned
 from ..operators.vector import sparse_cosine
@@ -65,20 +64,24 @@ def search(notes: Notes, queries: DataFrame, scopes: dict[str, Scope] | None = N
     """
     limit = max(1, min(limit, MOST))
     many = max(8 * limit, 40)
-    scopes = scopes or {}
-    default = queries.where(~F.col("query_id").isin(*scopes)) if scopes else queries
-    parts = [default.select("query_id").join(notes.docs.where(Scope().predicate()).select("memory_id", "path"), how="cross")]
-    parts += [queries.where(F.col("query_id") == k).select("query_id").join(notes.docs.where(s.predicate()).select("memory_id", "path"), how="cross") for k, s in scopes.items()]
-    allowed = settle(reduce(DataFrame.unionByName, parts))
-    own = notes.chunks.select(F.col("chunk_id").alias("id"), "memory_id", "ordinal")
-    chunk_allowed = allowed.join(own.select("id", "memory_id"), "memory_id").select("query_id", "id")
-
-    lex = bm25(notes.lexical, queries, allowed=chunk_allowed).join(own, "id").withColumn("score", normalised(F.col("bm25")))
+    # distinct scopes are few; a document lists those that it lies in, so its rows aren't multiplied by queries
+    own_scope = scopes or {}
+    distinct = {str(s): s for s in [Scope(), *own_scope.values()]}
+    of = F.lit(str(Scope()))
+    for k, s in own_scope.items():
+        of = F.when(F.col("query_id") == k, str(s)).otherwise(of)
+    queries = settle(queries.withColumn("scope", of))
+    inside = F.array_compact(F.array(*[F.when(s.predicate(), F.lit(k)) for k, s in distinct.items()]))
+    held = settle(notes.docs.select("memory_id", "path", inside.alias("scopes")))
+    own = notes.chunks.select(F.col("chunk_id").alias("id"), "memory_id", "ordinal").join(held.select("memory_id", "scopes"), "memory_id")
+    within = lambda rows: rows.join(own, "id").join(queries.select("query_id", "scope"), "query_id").where("array_contains(scopes, scope)").drop("scopes", "scope")
+
+    lex = within(bm25(notes.lexical, queries)).withColumn("score", normalised(F.col("bm25")))
     lex = best_per_group(lex, "memory_id", [F.desc("score"), F.asc("ordinal"), F.asc("id")])
     lex = settle(top(lex, [F.desc("score"), F.asc("memory_id")], many).select("query_id", "memory_id", "id", "score", "rank"))
 
     q = queries.select("query_id", embed(F.col("query")).alias("v"))
-    sem = sparse_cosine(q, notes.vectors).withColumnRenamed("cosine", "score").where("score > 0").join(chunk_allowed, ["query_id", "id"], "left_semi").join(own, "id")
+    sem = within(sparse_cosine(q, notes.vectors).withColumnRenamed("cosine", "score").where("score > 0"))
     sem = best_per_group(sem, "memory_id", [F.desc("score"), F.asc("ordinal"), F.asc("id")])
     sem = settle(top(sem, [F.desc("score"), F.asc("memory_id")], many).select("query_id", "memory_id", "id", "score", "rank"))
 
@@ -88,13 +91,14 @@ def search(notes: Notes, queries: DataFrame, scopes: dict[str, Scope] | None = N
     seeds = seeds.withColumn("n", F.max("place").over(W.partitionBy("query_id"))).join(paths, "memory_id").select("query_id", "path", "place", "n")
     seeds = settle(seeds)
     # lists of at most `many` rows a query are settled, so that each producer is planned and run once
-    nodes, edges = allowed_edges(notes.nodes, notes.edges, None if scopes else allowed.select("path"))
-    walk = rank(queries, seeds, nodes, edges, many).join(allowed, ["query_id", "path"]).select("query_id", "memory_id", "rank", "score")
+    files = held.select(F.lower("path").alias("f"), "scopes")
+    visible = notes.nodes.select("id", F.lower("source_file").alias("f")).join(files, "f", "left").select("id", F.when(F.col("f").isNull(), F.lit(None)).otherwise(F.coalesce("scopes", F.array().cast("array<string>"))).alias("scopes"))
+    walk = rank(queries, seeds, notes.nodes, notes.edges, many, visible=visible).join(held.select("memory_id", "path"), "path").select("query_id", "memory_id", "rank", "score")
 
     as_vote = lambda df: df.select("query_id", F.col("memory_id").alias("id"), "rank", "score")
     fused = fuse({"lexical": as_vote(lex), "semantic": as_vote(sem), "graph": as_vote(walk)})
     best = lex.select("query_id", "memory_id", F.col("id").alias("c"), F.lit(0).alias("o")).union(sem.select("query_id", "memory_id", "id", F.lit(1))).groupBy("query_id", "memory_id").agg(F.min_by("c", "o").alias("chunk_id"))
-    whole = fused.join(queries, "query_id").join(notes.docs.select(F.col("memory_id").alias("id"), "memory_id", "path", "title", "updated", "review_after"), "id").join(best, ["query_id", "memory_id"], "left")
+    whole = fused.join(queries.drop("scope"), "query_id").join(notes.docs.select(F.col("memory_id").alias("id"), "memory_id", "path", "title", "updated", "review_after"), "id").join(best, ["query_id", "memory_id"], "left")
     first = notes.chunks.where("ordinal = 0").select("memory_id", F.col("chunk_id").alias("c0"))
     whole = whole.join(first, "memory_id", "left").withColumn("chunk_id", F.coalesce("chunk_id", "c0")).join(notes.chunks.select("chunk_id", "heading", "text", "ordinal"), "chunk_id", "left")
     ranked = settle(rerank(whole, limit))

@@ -7,10 +7,15 @@ import time
 import uuid
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Seconds after which a lease whose holder died no longer counts.
+LEASE = 86_400.0
+
+
 class Store:
     """Generations of named tables below a root, on any file system that Spark reaches.
 
@@ -36,18 +41,25 @@ class Store:
             stream.close()
 
     def write_text(self, text: str, *parts: str, replace: bool = False) -> None:
-        """Written aside, then renamed; without replace an existing file is an error."""
+        """Written aside, then renamed in one step, over an existing file only with replace.
+
+        Readers see the old text or the new one, never none (as far as the store renames atomically).
+        """
         target, aside = self.path(*parts), self.path(*parts[:-1], f".{uuid.uuid4().hex}")
         out = self.fs.create(aside, True)
         out.write(bytearray(text.encode()))
         out.close()
-        if self.fs.exists(target):
-            if not replace:
-                self.fs.delete(aside, False)
-                raise FileExistsError("/".join(parts))
-            self.fs.delete(target, False)
-        if not self.fs.rename(aside, target):
-            raise OSError(f"can't publish {'/'.join(parts)}")
+        sc = self.spark.sparkContext
+        hadoop, kind = sc._jvm.org.apache.hadoop.fs, getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = sc._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE if replace else getattr(kind, "NONE")
+        try:
+            hadoop.FileContext.getFileContext(self.fs.getUri(), sc._jsc.hadoopConfiguration()).rename(aside, target, how)
+        except Py4JJavaError as e:
+            self.fs.delete(aside, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise FileExistsError("/".join(parts)) from None
+            raise
 
     # -- generations ------------------------------------------------------------------------------
 
@@ -97,10 +109,10 @@ class Store:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(base)) if self.fs.exists(base) else []
 
     @contextmanager
-    def lease(self, gen: str | None = None):
-        """Pin a generation while it is read; retention keeps it."""
+    def lease(self, gen: str | None = None, seconds: float = LEASE):
+        """Pin a generation while it is read; retention keeps it, until the lease ends or its time is over."""
         gen, name = gen or self.current(), uuid.uuid4().hex
-        self.write_text(gen, "leases", name)
+        self.write_text(json.dumps({"id": gen, "until": time.time() + seconds}), "leases", name)
         try:
             yield gen
         finally:
@@ -108,7 +120,8 @@ class Store:
 
     def leased(self) -> set[str]:
         base = self.path("leases")
-        return {self.read_text("leases", s.getPath().getName()) for s in self.fs.listStatus(base)} if self.fs.exists(base) else set()
+        texts = [self.read_text("leases", s.getPath().getName()) for s in self.fs.listStatus(base) if not s.getPath().getName().startswith(".")] if self.fs.exists(base) else []
+        return {x["id"] for x in map(json.loads, filter(None, texts)) if x["until"] > time.time()}
 
     def retain(self, keep: int) -> list[str]:
         """Remove generations other than the current, the newest keep - 1 verified ones and leased ones."""

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir and read from there; a folder of its own only where that is unset."""
+    """df written to spark.checkpoint.dir and read from there; in one process (tests) a temporary folder does."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lorekeep-checkpoint-"))
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not re.match(r"local(\[[\d*,]+\])?$", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="lorekeep-checkpoint-"))
     return df.checkpoint()

@@ -49,6 +49,17 @@ class Instance:
             self._hang(r["artifact_id"], r["parent_artifact_id"])
         self.seen = dict(seen)  # event id -> payload, None once redacted
         self.log: list[dict] = []
+        self.undo: list = []  # how to take back what the current batch has done, last step first
+
+    def keep(self, row: dict) -> None:
+        """Remember a row as it is, before it changes."""
+        before = dict(row)
+        self.undo.append(lambda: (row.clear(), row.update(before)))
+
+    def see(self, event: str, payload: str | None) -> None:
+        known, before = event in self.seen, self.seen.get(event)
+        self.undo.append(lambda: self.seen.update({event: before}) if known else self.seen.pop(event, None))
+        self.seen[event] = payload
 
     def _hang(self, child: str, parent: str | None) -> None:
         if parent:
@@ -101,24 +112,28 @@ class Instance:
         if event in self.seen:
             revive = row is not None and row["redacted_at"] is None and upsert and self.seen[event] is not None and self.derived_tombstone(row) and now > row["deleted_at"]
             if revive:
+                self.keep(row)
                 row.update(fields, **order, parent_artifact_id=parent, last_observed_at=now, last_event_id=event, last_version=e["source_version"], deleted_at=None)
                 self._hang(artifact, parent)
             self._note(e, event, artifact, "accepted" if revive else "unchanged")
             return
         if row is not None and row["redacted_at"] is not None and e["operation"] != "redact":
-            self.seen[event] = None
+            self.see(event, None)
             self._note(e, event, artifact, "redacted")
             return
         if row is not None and e["operation"] != "redact":
             late = upsert and self.derived_tombstone(row) and now <= row["deleted_at"]
             state = "stale" if late else self.compare(row, e, sha)
             if state != "newer":
-                self.seen[event] = payload
+                self.see(event, payload)
                 self._note(e, event, artifact, state, payload=payload)
                 return
         if row is None:
             row = self.rows[artifact] = {"source": self.source, "source_instance": self.instance, "artifact_id": artifact, "entity": e["entity"], "external_id": e["external_id"], "parent_artifact_id": None, "payload": None, "payload_sha256": sha, "occurred_at": None, "first_observed_at": now, "deleted_at": None, "redacted_at": None}
             row.update(payload=payload)
+            self.undo.append(lambda: self.rows.pop(artifact))
+        else:
+            self.keep(row)
         if upsert:
             row.update(fields, **order, parent_artifact_id=parent, deleted_at=None, redacted_at=None)
             disposition = "accepted"
@@ -127,13 +142,15 @@ class Instance:
             disposition = "tombstone"
         else:
             for old in [x for x in self.log if x["artifact_id"] == artifact]:
+                self.keep(old)
                 old["payload"] = None
-            self.seen.update({k: None for k in self.events_of(artifact)})
+            for k in self.events_of(artifact):
+                self.see(k, None)
             row.update(fields, **order, parent_artifact_id=parent or row["parent_artifact_id"], deleted_at=None, redacted_at=now)
             disposition = "redacted"
         row.update(last_observed_at=now, last_event_id=event, last_version=e["source_version"])
         self._hang(artifact, row["parent_artifact_id"])
-        self.seen[event] = payload
+        self.see(event, payload)
         self.owner = getattr(self, "owner", {})
         self.owner.setdefault(artifact, set()).add(event)
         self._note(e, event, artifact, disposition, payload=None if disposition == "redacted" else payload)
@@ -145,8 +162,9 @@ class Instance:
 
     def bury(self, e: dict, row: dict, version: str) -> str:
         event = _id("evt_", self.source, self.instance, row["entity"], row["external_id"], row["parent_artifact_id"], "delete", version, _NULL)
+        self.keep(row)
         row.update(deleted_at=e["observed_at"], last_observed_at=e["observed_at"], last_event_id=event, last_version=version)
-        self.seen[event] = None
+        self.see(event, None)
         self._note(e, event, row["artifact_id"], "tombstone", True, version)
         return event
 
@@ -172,6 +190,20 @@ class Instance:
                 continue
             self.cascade(claim, c, self.bury(claim, row, f"coverage:{claim['batch_id']}"))
 
+    def batch_or_nothing(self, events: list[dict], strict: bool) -> None:
+        """Apply a batch; one that breaks the hierarchy is an error or leaves no trace but a log row that says why."""
+        logged = len(self.log)
+        self.undo = []
+        try:
+            self.batch(events)
+        except ValueError as why:
+            if strict:
+                raise
+            for step in reversed(self.undo):
+                step()
+            del self.log[logged:]
+            self._note(events[0], f"batch:{events[0]['batch_id']}", None, "rejected", payload=str(why))
+
     def batch(self, events: list[dict]) -> None:
         claims = [e for e in events if e["record"] == "coverage"]
         own = [e for e in events if e["record"] == "event"]
@@ -200,11 +232,13 @@ def _columns(schema: str) -> list[str]:
     return [c.split(" ")[0] for c in schema.split(", ")]
 
 
-def apply_events(events: DataFrame, state: DataFrame | None = None, log: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def apply_events(events: DataFrame, state: DataFrame | None = None, log: DataFrame | None = None, *, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Apply batches in order; returns the new state (STATE) and the log of dispositions (LOG).
 
     events: EVENT, one row per event or complete coverage claim (record 'event' or 'coverage').
-    state and log: what earlier batches left. A batch that breaks the hierarchy fails as a whole.
+    state and log: what earlier batches left. A batch that breaks the hierarchy
+    is an error; without strict it is rejected as a whole, with one log row of disposition
+    'rejected' and the reason as its payload, while other batches go on.
     """
     spark = events.sparkSession
     state = spark.createDataFrame([], STATE) if state is None else state
@@ -229,8 +263,8 @@ def apply_events(events: DataFrame, state: DataFrame | None = None, log: DataFra
         for e in events_:
             done.setdefault(e["batch_id"], []).append(e)
         for batch in done.values():
-            inst.batch(batch)
-        gone = {x["artifact_id"] for x in inst.rows.values() if x["redacted_at"] is not None}
+            inst.batch_or_nothing(batch, strict)
+        gone = {x["artifact_id"] for x in inst.rows.values() if x["redacted_at"] is not None}  # rejected rows have no artifact
         final = [{"kind": "state"} | {c: r.get(c) for c in names} for r in inst.rows.values()]
         final += [{"kind": "log"} | {f"log_{c}": (None if c == "payload" and r["artifact_id"] in gone else r[c]) for c in logged} for r in past + inst.log]
         return pd.DataFrame(final, columns=["kind", *both], dtype=object)

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import index_tokens, query_terms
+from ..staging import settle
 
 # Term saturation, length normalisation, the floor of a term's weight.
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -25,22 +26,28 @@ class LexicalIndex:
     terms: DataFrame
     stats: DataFrame
 
+    @classmethod
+    def of(cls, postings: DataFrame, ids: DataFrame) -> LexicalIndex:
+        """The index of postings (term, id, tf, n and perhaps places) over the documents in ids."""
+        counted = postings.select("id", "n").union(ids.select("id", F.lit(0).cast("long")))
+        lengths = counted.groupBy("id").agg(F.sum("n").cast("long").alias("len"))
+        stats = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("avglen"))
+        return cls(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("n")), stats)
 
-def build_index(docs: DataFrame, key: str, fields: dict[str, float], *, positions: bool = False) -> LexicalIndex:
+
+def build_index(docs: DataFrame, key: str, fields: dict[str, float], *, positions: bool = False, write: bool = False) -> LexicalIndex:
     """Index text columns; fields maps a column to its weight.
 
-    postings: term, id, tf (occurrences, weighted), with positions also places array<long>
-    (field number * 2**32 + place). lengths: id, len (unweighted tokens). terms: term, n (rows
-    that hold it). stats: docs, avglen. Rows without tokens count as documents of length 0.
+    postings: term, id, tf (occurrences, weighted), n (occurrences), with positions also places
+    array<long> (field number * 2**32 + place). lengths: id, len (unweighted tokens). terms: term,
+    n (rows that hold it). stats: docs, avglen. Rows without tokens count as documents of length 0.
+    Texts are tokenised once; write settles the postings, from which all else follows.
     """
     long = docs.select(F.col(key).alias("id"), F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("f"), F.lit(float(w)).alias("w"), index_tokens(F.col(c)).alias("t")) for i, (c, w) in enumerate(fields.items())])).alias("x"))
-    lengths = long.groupBy("id").agg(F.sum(F.size("x.t")).cast("long").alias("len"))
-    tokens = long.select("id", "x.f", "x.w", F.posexplode("x.t").alias("p", "term"))
-    aggs = [F.sum("w").alias("tf")] + ([F.array_sort(F.collect_list(F.shiftleft(F.col("f"), 32) + F.col("p"))).alias("places")] if positions else [])
-    postings = tokens.groupBy("term", "id").agg(*aggs)
-    terms = postings.groupBy("term").agg(F.count("*").alias("n"))
-    stats = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("avglen"))
-    return LexicalIndex(postings, lengths, terms, stats)
+    tokens = long.select("id", "x.f", "x.w", F.posexplode("x.t").alias("p", "term")) if positions else long.select("id", "x.w", F.explode("x.t").alias("term"))
+    places = [F.array_sort(F.collect_list(F.shiftleft(F.col("f"), 32) + F.col("p"))).alias("places")] if positions else []
+    postings = tokens.groupBy("term", "id").agg(F.sum("w").alias("tf"), F.count("*").alias("n"), *places)
+    return LexicalIndex.of(settle(postings) if write else postings, docs.select(F.col(key).alias("id")))
 
 
 def weight(docs: Column, n: Column) -> Column:
@@ -71,13 +78,18 @@ def bm25(index: LexicalIndex, queries: DataFrame, text: str = "query", allowed:
     u = units(queries, text)
     sizes = u.groupBy("query_id", "unit").agg(F.count("*").alias("parts"), F.min("term").alias("term"))
     single = sizes.where("parts = 1").select("query_id", "unit", "term")
-    hits = single.join(index.postings.select("term", "id", "tf"), "term").join(index.terms, "term").select("query_id", "unit", "id", "tf", "n")
+    # only postings of terms that are asked for are counted, and each gets its share of a score once, before queries multiply it
+    held = index.postings.select("term", "id", "tf").join(single.select("term").distinct(), "term", "left_semi")
+    share = (weight(F.col("docs"), F.col("n")) * saturation(F.col("tf"), F.col("len"), F.col("avglen"))).alias("share")
+    valued = lambda rows: rows.join(index.lengths, "id").join(F.broadcast(index.stats))
+    held = valued(held.join(held.groupBy("term").agg(F.count("*").alias("n")), "term")).select("term", "id", share)
+    hits = single.join(held, "term").select("query_id", "id", "share")
     if "places" in index.postings.columns:
-        hits = hits.unionByName(phrases(index, u.join(sizes.where("parts > 1").select("query_id", "unit", "parts"), ["query_id", "unit"])))
+        several = u.join(sizes.where("parts > 1").select("query_id", "unit", "parts"), ["query_id", "unit"])
+        hits = hits.unionByName(valued(phrases(index, several)).select("query_id", "id", share))
     if allowed is not None:
         hits = hits.join(allowed, ["query_id", "id"], "left_semi")
-    scored = hits.join(index.lengths, "id").join(F.broadcast(index.stats))
-    return scored.groupBy("query_id", "id").agg(F.sum(weight(F.col("docs"), F.col("n")) * saturation(F.col("tf"), F.col("len"), F.col("avglen"))).alias("bm25"))
+    return hits.groupBy("query_id", "id").agg(F.sum("share").alias("bm25"))
 
 
 def phrases(index: LexicalIndex, parts: DataFrame) -> DataFrame:
@@ -90,6 +102,29 @@ def phrases(index: LexicalIndex, parts: DataFrame) -> DataFrame:
     return tf.join(n, ["query_id", "unit"]).select("query_id", "unit", "id", "tf", "n")
 
 
+WORD = r"[^\p{L}\p{N}]+"
+
+
+def containing(docs: DataFrame, phrases_: DataFrame) -> DataFrame:
+    """(id, phrase_id) of texts that contain a phrase. docs: id, text; phrases_: phrase_id, phrase.
+
+    A phrase's words other than its first and last, which may be parts of words, stand in each text
+    that contains it: only texts with the rarest of them are searched. Phrases of fewer than
+    three words have no such word and are searched for in every text.
+    """
+    words = F.split("phrase", WORD)
+    inner = phrases_.select("phrase_id", "phrase", F.array_distinct(F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 2))).alias("ws"))
+    asked = inner.select("phrase_id", F.explode("ws").alias("w"))
+    held = docs.select("id", F.explode(F.array_distinct(F.split("text", WORD))).alias("w")).join(asked.select("w").distinct(), "w", "left_semi")
+    held = settle(held)
+    counts = held.groupBy("w").agg(F.count("*").alias("n"))
+    rarest = asked.join(counts, "w", "left").groupBy("phrase_id").agg(F.min_by("w", F.struct(F.coalesce("n", F.lit(0)), "w")).alias("w"))
+    near = rarest.join(held, "w").select("phrase_id", "id")
+    found = near.join(phrases_, "phrase_id").join(docs, "id").where(F.contains("text", F.col("phrase"))).select("id", "phrase_id")
+    short = docs.join(inner.where(F.size("ws") == 0).select("phrase_id", "phrase"), F.expr("contains(text, phrase)")).select("id", "phrase_id")
+    return found.unionByName(short)
+
+
 def normalised(score: Column) -> Column:
     """A relevance from 0 to 1."""
     r = F.greatest(F.lit(0.0), score)

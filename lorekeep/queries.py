@@ -75,7 +75,7 @@ def passages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    index = L.build_index(t(spark, sf, "documents").select("doc_id", "text"), "doc_id", {"text": 1.0})
+    index = L.build_index(t(spark, sf, "documents").select("doc_id", "text"), "doc_id", {"text": 1.0}, write=True)
     return L.bm25(index, passages(spark, sf)).withColumn("score", F.round("bm25", 6))
 
 
@@ -127,9 +127,9 @@ def bm25_weighted_fields(spark, sf):
 
 @query("select item_id, d.doc_id from benchmark b join documents d on contains(lower(d.text), lower(b.text))")
 def exact_phrase(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", F.lower("text").alias("s"))
-    b = t(spark, sf, "benchmark").select("item_id", F.lower("text").alias("p"))
-    return d.join(b, F.expr("contains(s, p)")).select("item_id", "doc_id")
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
+    b = t(spark, sf, "benchmark").select(F.col("item_id").alias("phrase_id"), F.lower("text").alias("phrase"))
+    return L.containing(d, b).select(F.col("phrase_id").alias("item_id"), F.col("id").alias("doc_id"))
 
 
 @query("""select conv_id, turn, trim(regexp_extract_all(x, '"([^"\\r\\n]+)"', 1)[1]) as phrase, len(regexp_extract_all(x, '"([^"\\r\\n]+)"', 1)) as n
@@ -245,7 +245,7 @@ def cosine_topk(spark, sf):
 @query(f"with {VEC}, {COS} select query_id, id from c where s >= 0.5")
 def cosine_threshold(spark, sf):
     q, e = vectors(spark, sf)
-    return e.join(q.withColumnRenamed("v", "qv"), how="cross").where(V.dot(F.col("qv"), F.col("v")) >= 0.5).select("query_id", "id")
+    return V.threshold_search(q, e, 0.5).select("query_id", "id")
 
 
 SIGNS = "[" + ", ".join("[" + ", ".join(str(int(x)) for x in row) + "]" for row in signs(64)) + "]"
@@ -712,7 +712,7 @@ h as (select c.query_id, min(r.rank) as hit from (select distinct query_id from
 select count(*) as cases, round(avg(case when hit = 1 then 1 else 0 end), 6) as recall_at_1, round(avg(case when hit is not null then 1 else 0 end), 6) as recall_at_5, round(avg(coalesce(1.0 / hit, 0)), 6) as mrr from h""")
 def eval_recall_mrr(spark, sf):
     d = t(spark, sf, "documents").select("doc_id", "text")
-    want = d.join(t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("p")), F.expr("contains(text, p)")).select("query_id", F.col("doc_id").alias("id"))
+    want = L.containing(d.withColumnRenamed("doc_id", "id"), t(spark, sf, "benchmark").select(F.col("item_id").alias("phrase_id"), F.col("text").alias("phrase"))).select(F.col("phrase_id").alias("query_id"), "id")
     got = best(scored(spark, sf), 5).select("query_id", "id", "rank").join(want, ["query_id", "id"])
     hit = want.select("query_id").distinct().join(got, "query_id", "left").groupBy("query_id").agg(F.min("rank").alias("hit"))
     share = lambda c: F.round(F.avg(F.when(c, 1).otherwise(0)), 6)

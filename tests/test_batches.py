@@ -161,6 +161,69 @@ def test_stream(spark, tmp_path):
     assert store.table(gen, "log").count() == 3 and "new" in store.table(gen, "state").where("external_id = 'm'").first().payload
 
 
+def test_stream_of_split_batches(spark, tmp_path):
+    """A batch whose rows arrive in two micro-batches is applied whole; a replay changes nothing, another content is refused."""
+    from test_events import EVENT, conv, ev
+
+    src, store = tmp_path / "in", Store(spark, str(tmp_path / "store"))
+
+    def arrive(rows):
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").json(str(src))
+        apply_stream(read_events(spark, str(src)), store, str(tmp_path / "cp")).awaitTermination()
+        gen = store.current()
+        return {r.external_id for r in store.table(gen, "state").where("deleted_at is null").collect()}, store.table(gen, "waiting").count()
+
+    assert arrive([conv(), ev(0, 1, "m1", seq=1)]) == ({"c", "m1"}, 0)
+    assert arrive([ev(0, 2, "m2", seq=1)])[0] >= {"m1", "m2"}  # the rest of batch 0
+    live, waiting = arrive([ev(1, 2, "x", record="manifest"), ev(1, 1, "m3", seq=1)])
+    assert "m3" not in live and waiting == 2
+    live, waiting = arrive([ev(1, 2, "m4", seq=1)])
+    assert {"m3", "m4"} <= live and waiting == 0
+    before = store.current()
+    arrive([ev(1, 2, "m4", seq=1)])
+    assert store.current() == before
+    with pytest.raises(Exception, match="differs from its receipt"):
+        arrive([ev(1, 2, "m4", seq=1, text="other")])
+
+
+def test_a_bad_batch_is_rejected_alone(spark):
+    from test_events import EVENT, conv, ev
+
+    from lorekeep.operators.events import apply_events
+
+    bad = [ev(1, 1, "m1", seq=2, text="changed"), ev(1, 2, "lost", seq=1, parent=("conversation", "nowhere"))]
+    state, log = apply_events(spark.createDataFrame([conv(), ev(0, 1, "m1", seq=1, text="first"), *bad, ev(2, 1, "m2", seq=1)], EVENT), strict=False)
+    rows = {r.external_id: r.payload for r in state.collect()}
+    assert "first" in rows["m1"] and "m2" in rows and "lost" not in rows
+    assert [(r.batch_id, "does not exist" in r.payload) for r in log.where("disposition = 'rejected'").collect()] == [("b1", True)]
+    again, _ = apply_events(spark.createDataFrame([bad[0]], EVENT), state, log)  # the refused event is not known as seen
+    assert "changed" in {r.external_id: r.payload for r in again.collect()}["m1"]
+
+
+def test_a_hierarchy_that_is_too_deep_is_an_error(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None, i == 0) for i in range(10)], "node string, parent string, dead boolean")
+    for rows in (H.closure(chain), H.hidden(chain), H.below(chain, spark.createDataFrame([("n0",)], "root string"))):
+        with pytest.raises(Exception, match="more than 8 levels"):
+            rows.collect()
+    assert H.closure(chain.where("node < 'n9'")).count() == 36
+    loop = spark.createDataFrame([("a", "b", False), ("b", "a", False)], chain.schema)
+    with pytest.raises(Exception, match="or a cycle"):
+        H.roots(loop).collect()
+
+
+def test_graph_merge_refuses_what_is_broken(spark):
+    from lorekeep.operators.graph import merge_graphs
+
+    nodes = lambda *ids: spark.createDataFrame([(i, i) for i in ids], "id string, label string")
+    edges = lambda *pairs: spark.createDataFrame(list(pairs), "source string, target string")
+    n, e = merge_graphs({"a": (nodes("x", "y"), edges(("x", "y"))), "b": (nodes("x"), edges())})
+    assert {r.id for r in n.collect()} == {"a:x", "a:y", "b:x"} and [tuple(r) for r in e.collect()] == [("a:x", "a:y")]
+    with pytest.raises(Exception, match="repeated node"):
+        merge_graphs({"a": (nodes("x", "x"), edges())})[0].collect()
+    with pytest.raises(Exception, match="dangling edge"):
+        merge_graphs({"a": (nodes("x"), edges(("x", "z")))})[1].collect()
+
+
 def test_stream_functions(spark, sf, tmp_path):
     e = spark.read.parquet(f"{sf}/events.parquet")
     (tmp_path / "e").mkdir()

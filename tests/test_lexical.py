@@ -47,3 +47,13 @@ def test_scope_keeps_statistics(spark):
 
 def test_normalised(spark):
     assert [r[0] for r in spark.createDataFrame([(-1.0,), (0.0,), (1.0,)], "s double").select(normalised(F.col("s"))).collect()] == [0.0, 0.0, 0.5]
+
+
+def test_containing(spark):
+    from lorekeep.operators.lexical import containing
+
+    texts = ["the quick brown fox", "a quick brown foxtrot ran", "brown quick", "", None, "xthe quick browny"]
+    phrases = ["the quick brown", "quick brown fox", "quick", "e quick brown f", "none of these words", "", "ran."]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    p = spark.createDataFrame(list(enumerate(phrases)), "phrase_id long, phrase string")
+    assert {(r.id, r.phrase_id) for r in containing(d, p).collect()} == {(i, j) for i, t in enumerate(texts) if t is not None for j, x in enumerate(phrases) if x in t}

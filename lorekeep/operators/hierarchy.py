@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Levels that a hierarchy may have; a deeper one, and so a cycle, is an error.
 DEPTH = 8
 
 
-def refuse(rows: DataFrame, depth: int) -> DataFrame:
-    """No rows: any row, which lies deeper than a hierarchy may be, fails the query.
+def failing(message: Column) -> Column:
+    """A condition that fails the query with a message. It counts as random, so that it is never planned ahead of a join."""
+    return F.isnull(F.raise_error(F.concat(message, F.substring(F.rand().cast("string"), 1, 0))))
 
-    The message ends in nothing, cut from a random number, so that no join is planned ahead of the check.
-    """
-    nothing = F.substring(F.rand().cast("string"), 1, 0)
-    return rows.where(F.isnull(F.raise_error(F.concat(F.lit(f"the hierarchy has more than {depth} levels or a cycle"), nothing))))
+
+def refuse(rows: DataFrame, depth: int) -> DataFrame:
+    """No rows: any row, which lies deeper than a hierarchy may be, fails the query."""
+    return rows.where(failing(F.lit(f"the hierarchy has more than {depth} levels or a cycle")))
 
 
 def closure(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -83,7 +84,8 @@ def conversation_context(artifacts: DataFrame, conversations: DataFrame) -> Data
 def context(artifacts: DataFrame, links: DataFrame, roots_: DataFrame) -> DataFrame:
     """(root, artifact_id) of conversations and meetings, each by its own rule; other entities are an error."""
     kinds = roots_.select("root").distinct().join(artifacts.select(F.col("artifact_id").alias("root"), "entity"), "root")
-    wrong = kinds.where("entity not in ('conversation', 'meeting')").where(F.isnull(F.raise_error(F.concat(F.lit("no context for a "), "entity"))))
+    known = F.col("entity").isin("conversation", "meeting")
+    wrong = kinds.where(F.when(known, F.lit(False)).otherwise(failing(F.concat(F.lit("no context for a "), "entity"))))
     talks, meetings = (kinds.where(F.col("entity") == e).select("root") for e in ("conversation", "meeting"))
     return conversation_context(artifacts, talks).unionByName(meeting_context(artifacts, links, meetings)).unionByName(wrong.select("root", F.col("root").alias("artifact_id")))
 

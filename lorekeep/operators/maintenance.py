@@ -87,3 +87,8 @@ def verify(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame
     """expected counts (keys, n) beside the actual rows' counts: keys, n, found, ok."""
     got = actual.groupBy(*keys).agg(F.count("*").alias("found"))
     return expected.join(got, keys, "left").select(*keys, "n", F.coalesce("found", F.lit(0)).alias("found"), (F.coalesce("found", F.lit(0)) == F.col("n")).alias("ok"))
+
+
+def high_water(rows: DataFrame, group: list[str], time: str, version: str) -> DataFrame:
+    """The latest time (null if none) and the highest version (0 if none) of each group."""
+    return rows.groupBy(*group).agg(F.max(time).alias("latest"), F.coalesce(F.max(version), F.lit(0)).alias("version"))

@@ -69,3 +69,8 @@ def text_window(text: Column, phrase: Column, size: int = 5000) -> Column:
     at = F.coalesce(F.instr(F.lower(text), F.lower(phrase)), F.lit(0))
     start = F.greatest(F.lit(1), F.least(at - F.floor((size - F.length(phrase)) / 2), F.length(text) - size + 1)).cast("int")
     return F.when(F.length(text) <= size, text).when(at == 0, F.substring(text, 1, size)).otherwise(F.substring(text, start, F.lit(size)))
+
+
+def by_id(rows: DataFrame, wanted: DataFrame, key: str = "artifact_id") -> DataFrame:
+    """wanted ids with their rows; found is false for an id that no row has."""
+    return wanted.select(key).distinct().join(rows.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))

@@ -728,3 +728,6 @@ def eval_percentiles(spark, sf):
 def doc_diversity(spark, sf):
     top_ = best(scored(spark, sf), 5).select("query_id", "id").join(t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
     return top_.groupBy("query_id").agg(F.round(F.count_distinct("source") / F.count("*"), 6).alias("diversity"))
+
+
+from . import queries_evidence  # noqa: E402, F401  registers its queries here

@@ -60,6 +60,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.folder = spark, new_folder(spark, what)
+        self.sizes: dict[str, int] = {}
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
@@ -67,14 +68,20 @@ class Scratch:
         path = self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path.getFileSystem(self._conf), path
 
-    def table(self, df: DataFrame, name: str, *, pack: int | None = PACK) -> DataFrame:
-        """df, written once; pack: bytes a partition at least, None leaves it to Spark."""
-        df.write.option("parquet.block.size", 16 << 20).parquet(f"{self.folder}/{name}")
+    def table(self, df: DataFrame, name: str, *, pack: int | None = PACK, like: str | None = None, tasks: int | None = None) -> DataFrame:
+        """df, written once; pack: bytes a partition at least when it is read, None leaves it to Spark.
+
+        like names a table that df is not much larger than: a task then writes PACK bytes of it or
+        more. tasks: at most so many write. Neither adds tasks, so a large table keeps its own.
+        """
+        if like is not None:
+            tasks = -(-self.sizes[like] // self.PACK)
+        out = df if tasks is None else df.coalesce(max(1, tasks))
+        out.write.option("parquet.block.size", 16 << 20).parquet(f"{self.folder}/{name}")
         back = self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
-        if pack is None:
-            return back
         fs, path = self._at(name)
-        return back.coalesce(max(1, -(-fs.getContentSummary(path).getLength() // pack)))
+        self.sizes[name] = fs.getContentSummary(path).getLength()
+        return back if pack is None else back.coalesce(max(1, -(-self.sizes[name] // pack)))
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing will read again."""
@@ -170,7 +177,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for step in range(most_rounds):
         n = e.count()
         if n <= A_TASK:
-            e = scratch.table(e.coalesce(1).mapInPandas(star_edges_of_all, "u long, v long"), "settled")
+            e = scratch.table(e.coalesce(1).mapInPandas(star_edges_of_all, "u long, v long"), "settled", tasks=1)
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

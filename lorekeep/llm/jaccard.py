@@ -27,6 +27,8 @@ from .lines import probe, twice_filter
 MEMBERS, SHINGLES, WIDTH = 384, 600_000, 4096
 #: A prefix has one token more for so many tokens of the set, and similar sets share as many more.
 EXTRA = 40
+#: Members opened by a task at least.
+A_TASK = 128
 #: Filters over what the one before has left.
 ROUNDS = 2
 #: Cells of the table of common shingles (one byte each when broadcast).
@@ -228,7 +230,7 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
     sets = scratch.table(docs.select(known, "text", row).mapInArrow(describe, "d long, w long, n long, s1 long, s2 long, prefix array<long>"), "sets", pack=None)
     # a node a set, numbered by where it lies: ids may repeat or be null. r is the row whose text will give the set
     own = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("w").alias("r"), F.min("d").alias("least"), F.first("prefix").alias("prefix"))
-    own = scratch.table(own.withColumn("node", F.monotonically_increasing_id()), "own", pack=None)
+    own = scratch.table(own.withColumn("node", F.monotonically_increasing_id()), "own", pack=None, like="sets")
 
     total = own.agg(F.sum(F.size("prefix"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, int(total * BITS_A_TOKEN).bit_length()))
@@ -258,30 +260,30 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
         filters.append(sc.broadcast(twice_filter(prefixes.mapInArrow(left, "tok long, node long, n long"), scramble, bits).tobytes()))
     held = scratch.table(prefixes.mapInArrow(left, "tok long, node long, n long"), "held")
     # counts are written out before the join, so that Spark can split a token that very many sets hold
-    both = scratch.table(held.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1"), "counts")
-    tokens = scratch.table(held.join(both, "tok"), "tokens")
+    both = scratch.table(held.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1"), "counts", like="held")
+    tokens = scratch.table(held.join(both, "tok"), "tokens", like="held")
     # the most shared token names the group: a family then falls into few groups, whose unions meet seldom
     member = tokens.groupBy("node").agg(F.max(F.struct("c", "tok")).alias("x"), F.first("n").alias("n"), F.count("*").alias("k"))
-    member = scratch.table(member.where(f"k > ceil({percent} * n / 100) div {EXTRA}").select("node", "n", F.col("x.tok").alias("g")), "member")
+    member = scratch.table(member.where(f"k > ceil({percent} * n / 100) div {EXTRA}").select("node", "n", F.col("x.tok").alias("g")), "member", like="held")
     sizes = member.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("parts"))
-    placed = member.join(scratch.table(sizes, "parts"), "g").select("node", "g", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
-    placed = scratch.table(placed, "placed")
+    placed = member.join(scratch.table(sizes, "parts", like="member"), "g").select("node", "g", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
+    placed = scratch.table(placed, "placed", like="member")
 
     matrix = tokens.drop("c").join(placed, "node").groupBy("tok", "g", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    matrix = scratch.table(matrix, "matrix")
+    matrix = scratch.table(matrix, "matrix", like="held")
     a, b = matrix.alias("a"), matrix.alias("b")
     pairs = a.join(b, F.expr(f"a.tok = b.tok and (a.g < b.g or a.g = b.g and a.part < b.part) and {percent} * a.lo <= 100 * b.hi and {percent} * b.lo <= 100 * a.hi"))
     pairs = pairs.groupBy(F.expr("a.g ag"), F.expr("a.part ap"), F.expr("b.g bg"), F.expr("b.part bp")).agg(F.count("*").alias("k"), F.min(F.least("a.lo", "b.lo")).alias("m"))
-    pairs = scratch.table(pairs.where(f"k > ceil({percent} * m / 100) div {EXTRA}").select("ag", "ap", "bg", "bp"), "pairs")
+    pairs = scratch.table(pairs.where(f"k > ceil({percent} * m / 100) div {EXTRA}").select("ag", "ap", "bg", "bp"), "pairs", like="matrix")
     # a block is opened if another one qualifies or if it has two members
     met = pairs.select(F.col("ag").alias("g"), F.col("ap").alias("part"), F.lit(True).alias("met")).union(pairs.select("bg", "bp", F.lit(True)))
     blocks = placed.groupBy("g", "part").agg(F.count("*").alias("c"), F.lit(False).alias("met"))
     blocks = blocks.union(met.select("g", "part", F.lit(0), "met")).groupBy("g", "part").agg(F.sum("c").alias("c"), F.max("met").alias("met")).where("c > 1 or met")
-    wanted = placed.join(scratch.table(blocks, "blocks"), ["g", "part"]).select("node", "g", "part", "met")
-    wanted = scratch.table(wanted.join(own.select("node", "r", "s1", "s2"), "node"), "wanted")
+    wanted = placed.join(scratch.table(blocks, "blocks", like="member"), ["g", "part"]).select("node", "g", "part", "met")
+    wanted = scratch.table(wanted.join(own.select("node", "r", "s1", "s2"), "node"), "wanted", like="held")
 
     # documents without a partner in sight, mostly the bulk, are not even shuffled
-    id_bits = min(MOST_BITS, max(LEAST_BITS, int(wanted.count() * 16).bit_length()))
+    id_bits = min(MOST_BITS, max(LEAST_BITS, int((asked := wanted.count()) * 16).bit_length()))
     ids = sc.broadcast(twice_filter(wanted.select("r"), scramble, id_bits, once=True).tobytes())
 
     @F.pandas_udf("boolean")
@@ -308,7 +310,7 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
                 if found:
                     yield pa.RecordBatch.from_pylist(found, edge)
 
-    opened = scratch.table(opened.mapInArrow(inside, "g long, part int, u long, v long, blob binary"), "opened", pack=None)
+    opened = scratch.table(opened.mapInArrow(inside, "g long, part int, u long, v long, blob binary"), "opened", pack=None, tasks=asked // A_TASK + 1)
     blobs = opened.where("blob is not null")
     across = pairs.join(blobs.select(F.col("g").alias("ag"), F.col("part").alias("ap"), F.col("blob").alias("x")), ["ag", "ap"])
     across = across.join(blobs.select(F.col("g").alias("bg"), F.col("part").alias("bp"), F.col("blob").alias("y")), ["bg", "bp"]).select("x", "y")
@@ -324,12 +326,12 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
     edges = opened.where("blob is null").select("u", "v").union(across.mapInArrow(between, "u long, v long"))
     components = connected_components(edges)
     # from the least node of a component to its least id
-    linked = scratch.table(components.join(own.select("node", "least", "s1", "s2", "n"), "node"), "linked")
+    linked = scratch.table(components.join(own.select("node", "least", "s1", "s2", "n"), "node"), "linked", like="held")
     low = linked.groupBy("component").agg(F.min("least").alias("c"))
     # written out, so that Spark can split a text with very many copies in the join
-    linked = scratch.table(linked.join(low, "component").select("s1", "s2", "n", "c"), "named")
+    linked = scratch.table(linked.join(low, "component").select("s1", "s2", "n", "c"), "named", like="member")
     alone = own.select("s1", "s2", "n", "least")
-    named = scratch.table(alone.join(linked, ["s1", "s2", "n"], "left").select("s1", "s2", "n", F.coalesce("c", "least").alias("c")), "components", pack=None)
+    named = scratch.table(alone.join(linked, ["s1", "s2", "n"], "left").select("s1", "s2", "n", F.coalesce("c", "least").alias("c")), "components", pack=None, like="own")
     scratch.drop("own", "held", "counts", "tokens", "member", "parts", "placed", "matrix", "pairs", "blocks", "wanted", "opened", "linked", "named")
     out = sets.select("d", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
     null_last = lambda c: F.when(c != LAST_ID, c)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,6 +116,24 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def lean(run):
+    """A task's function over batches that gives its memory back to the system when it ends.
+
+    Python workers outlive tasks, and what their allocators keep would add up beside the JVM's heap.
+    """
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidy
+
+
 def remainder(doc_id: Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo folds; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, Scratch, bounded, connected_components, mix64
+from .common import LAST_ID, Scratch, bounded, connected_components, lean, mix64
 from .lines import probe, twice_filter
 
 #: Members and shingles of a block at most (but for a single larger document), tokens in a product.
@@ -184,9 +184,9 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
             level = np.log2(batch.column(1).to_numpy()).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().astype(np.uint32).tobytes()], pa.binary()), pa.array([level.tobytes()], pa.binary())], ["cells", "levels"])
 
-    summed = docs.select("text").mapInArrow(common, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    summed = docs.select("text").mapInArrow(lean(common), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     out = np.zeros(1 << CELLS, np.uint8)
-    for row in summed.mapInArrow(pack, "cells binary, levels binary").collect():  # five bytes a cell at most, in one job
+    for row in summed.mapInArrow(lean(pack), "cells binary, levels binary").collect():  # five bytes a cell at most, in one job
         out[np.frombuffer(row.cells, np.uint32)] = np.frombuffer(row.levels, np.uint8)
     return out
 
@@ -227,7 +227,7 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
                 flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["d", "w", "n", "s1", "s2", "prefix"])
 
-    sets = scratch.table(docs.select(known, "text", row).mapInArrow(describe, "d long, w long, n long, s1 long, s2 long, prefix array<long>"), "sets", pack=None)
+    sets = scratch.table(docs.select(known, "text", row).mapInArrow(lean(describe), "d long, w long, n long, s1 long, s2 long, prefix array<long>"), "sets", pack=None)
     # a node a set, numbered by where it lies: ids may repeat or be null. r is the row whose text will give the set
     own = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("w").alias("r"), F.min("d").alias("least"), F.first("prefix").alias("prefix"))
     own = scratch.table(own.withColumn("node", F.monotonically_increasing_id()), "own", pack=None, like="sets")
@@ -257,8 +257,8 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
     prefixes = own.select("prefix", "node", "n")
     scramble = lambda column: mix64(column.to_numpy(zero_copy_only=False).view(np.uint64))
     for _ in range(ROUNDS):
-        filters.append(sc.broadcast(twice_filter(prefixes.mapInArrow(left, "tok long, node long, n long"), scramble, bits).tobytes()))
-    held = scratch.table(prefixes.mapInArrow(left, "tok long, node long, n long"), "held")
+        filters.append(sc.broadcast(twice_filter(prefixes.mapInArrow(lean(left), "tok long, node long, n long"), scramble, bits).tobytes()))
+    held = scratch.table(prefixes.mapInArrow(lean(left), "tok long, node long, n long"), "held")
     # counts are written out before the join, so that Spark can split a token that very many sets hold
     both = scratch.table(held.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1"), "counts", like="held")
     tokens = scratch.table(held.join(both, "tok"), "tokens", like="held")
@@ -310,7 +310,7 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
                 if found:
                     yield pa.RecordBatch.from_pylist(found, edge)
 
-    opened = scratch.table(opened.mapInArrow(inside, "g long, part int, u long, v long, blob binary"), "opened", pack=None, tasks=asked // A_TASK + 1)
+    opened = scratch.table(opened.mapInArrow(lean(inside), "g long, part int, u long, v long, blob binary"), "opened", pack=None, tasks=asked // A_TASK + 1)
     blobs = opened.where("blob is not null")
     across = pairs.join(blobs.select(F.col("g").alias("ag"), F.col("part").alias("ap"), F.col("blob").alias("x")), ["ag", "ap"])
     across = across.join(blobs.select(F.col("g").alias("bg"), F.col("part").alias("bp"), F.col("blob").alias("y")), ["bg", "bp"]).select("x", "y")
@@ -323,7 +323,7 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
                     u, v = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    edges = opened.where("blob is null").select("u", "v").union(across.mapInArrow(between, "u long, v long"))
+    edges = opened.where("blob is null").select("u", "v").union(across.mapInArrow(lean(between), "u long, v long"))
     components = connected_components(edges)
     # from the least node of a component to its least id
     linked = scratch.table(components.join(own.select("node", "least", "s1", "s2", "n"), "node"), "linked", like="held")

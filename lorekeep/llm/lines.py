@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LAST_ID, SPACE, bounded, cut, fresh
+from .common import LAST_ID, SPACE, bounded, cut, fresh, lean
 
 SEGMENT_BITS = 19
 LEAST_BITS, MOST_BITS, BITS_A_LINE = 20, 30, 16
@@ -125,7 +125,7 @@ def twice_filter(rows: DataFrame, hashes, bits: int, *, once: bool = False) -> n
 
     parts = max(1, 1 << max(0, bits - SEGMENT_BITS))
     width = min(parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    merged = rows.mapInArrow(build, "seg int, once binary, twice binary").repartition(width, "seg").mapInPandas(merge, "seg int, twice binary")
+    merged = rows.mapInArrow(lean(build), "seg int, once binary, twice binary").repartition(width, "seg").mapInPandas(merge, "seg int, twice binary")
     out = np.zeros(1 << (bits - 3), np.uint8)
     width_b = 1 << (SEGMENT_BITS - 3)
     for r in merged.collect():
@@ -177,7 +177,7 @@ def line_dedup(docs: DataFrame, *, least: int = 10, filter_bits: int | None = No
 
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     row = F.xxhash64(order, "text")
-    held = cut(docs.select(order.alias("d"), "text", row.alias("r")).mapInArrow(suspects, "d long, r long, key binary"))
+    held = cut(docs.select(order.alias("d"), "text", row.alias("r")).mapInArrow(lean(suspects), "d long, r long, key binary"))
     # written out, so that Spark can split a very common key in the join
     repeated = cut(held.groupBy("key").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("key", "first"))
     # by row and not by id, which may be null or repeat without end: what a row loses is no more than its own lines
@@ -208,4 +208,4 @@ def line_dedup(docs: DataFrame, *, least: int = 10, filter_bits: int | None = No
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return plan.mapInArrow(keep, schema)
+    return plan.mapInArrow(lean(keep), schema)

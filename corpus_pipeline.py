@@ -17,7 +17,7 @@ from lorekeep.llm.bpe import bpe_encode
 from lorekeep.llm.common import fresh, new_folder
 from lorekeep.llm.jaccard import ngram_jaccard
 from lorekeep.llm.lines import line_dedup
-from lorekeep.llm.mixing import mix_sources, row_key
+from lorekeep.llm.mixing import mixed_copies
 from lorekeep.llm.quality import quality_scores
 from lorekeep.shipping import ship
 
@@ -48,10 +48,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each row as the source mix takes: none, one or two."""
-    row, copies, copy = fresh(docs, "row", "copies", "copy")
-    mix = mix_sources(docs).where("copies > 0").groupBy(F.col("row").alias(row)).agg(F.first("copies").cast("int").alias(copies))
-    rows = docs.withColumn(row, row_key()).join(mix, row)
-    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select(docs.columns)
+    return mixed_copies(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

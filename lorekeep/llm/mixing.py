@@ -166,44 +166,79 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """One row per row of docs: doc_id, size, source, source_size, target, rate, copies, taken, row.
+def measured(*keep: Column) -> list[Column]:
+    """keep, then source, size and row of a document."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    return [*keep, F.col("source").cast("string").alias("source"), size.alias("size"), row_key().alias("row")]
 
-    size counts the runs of characters other than ASCII white space in the whole text (null: 0);
-    source_size and target are its source's, a null source being one of its own, last in order.
-    copies is 0, 1 or 2 and taken = copies * size. Documents of size 0 have rate and copies 1.
-    row is row_key(): rows of equal id, source and text are treated alike, all others are rows of
-    their own. Reruns agree.
-    """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"), row_key().alias("row"))
-    d = cut(d)
-    histogram = cut(d.groupBy("source", "size").agg(F.count("*").alias("c")))
-    # as many partitions as its rows ask for: the steps over a small one then shuffle nothing
-    histogram = histogram.coalesce(max(1, -(-histogram.count() // A_PARTITION)))
-    totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("c")).alias("total"))
-    goals = cut(targets(totals, weights, share, most))
-    positive = histogram.where("size > 0")
-    lams = cut(multipliers(positive, goals, most))
+
+def rated(rows: DataFrame, per_source: DataFrame, most: float) -> DataFrame:
+    """rows with rate, its whole part as copies, and what the cuts go by."""
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("lam").isNull(), float(most)).otherwise(F.least(F.lit(float(most)), F.exp(F.least(F.lit(50.0), F.col("lam") * F.col("size") / F.col("mean")))))
-    per_source = goals.join(lams.withColumnRenamed("source", "s2"), F.expr("source <=> s2"), "left").drop("s2").withColumnRenamed("source", "s2")
-    rated = beside(d, cut(per_source)).withColumn("rate", rate)
-    rated = rated.withColumn("base", F.floor("rate").cast("long")).withColumn("frac", F.col("rate") - F.col("base"))
+    rows = beside(rows, per_source).withColumn("rate", rate)
+    rows = rows.withColumn("base", F.floor("rate").cast("long")).withColumn("frac", F.col("rate") - F.col("base"))
     u = F.pmod(F.xxhash64(F.lit("copies"), "row"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rated = rated.withColumn("key", (u - F.col("frac") + 1.0) / 2.0)
+    return rows.withColumn("key", (u - F.col("frac") + 1.0) / 2.0).withColumn("copies", F.col("base"))
+
+
+def still_open() -> Column:
+    return (F.col("copies") == F.col("base")) & (F.col("frac") > 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
+
+
+def topped_up(rows: DataFrame, gaps: DataFrame, cuts: DataFrame) -> DataFrame:
+    """rows after a pass: those that are open and lie below their source's cut get one more copy."""
     b1 = F.floor(F.col("key") * BINS).cast("int")
     b2 = F.floor((F.col("key") * BINS - b1) * BINS).cast("int")
     below = (b1 < F.col("t1")) | ((b1 == F.col("t1")) & (b2 <= F.coalesce(F.col("t2"), F.lit(-1))))
-    out = rated.withColumn("copies", F.col("base"))
+    # a source without a cut takes all that is open
+    more = F.when(still_open() & F.coalesce(below, F.lit(True)), 1).otherwise(0)
+    return beside(beside(rows, gaps), cuts).withColumn("copies", F.col("copies") + more).drop("t1", "t2", "gap")
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, most: float) -> tuple[DataFrame, DataFrame, list[tuple[DataFrame, DataFrame]]]:
+    """(documents with copies, figures by source, what each pass went by)."""
+    d = cut(docs.select(*measured(F.col("doc_id").cast("long").alias("doc_id"))))
+    histogram = cut(d.groupBy("source", "size").agg(F.count("*").alias("c")))
+    # as many partitions as its rows ask for: the steps over a small one then shuffle nothing
+    histogram = histogram.coalesce(max(1, -(-histogram.count() // A_PARTITION)))
+    totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("c")).alias("total"))
+    goals = cut(targets(totals, weights, share, most))
+    lams = cut(multipliers(histogram.where("size > 0"), goals, most))
+    per_source = cut(goals.join(lams.withColumnRenamed("source", "s2"), F.expr("source <=> s2"), "left").drop("s2").withColumnRenamed("source", "s2"))
+    out, passes, before = rated(d, per_source, most), [], None
     for step in range(PASSES):  # what a cut leaves open is filled with documents that still fit
         gaps = cut(out.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"), F.first("target").alias("goal")).withColumnRenamed("source", "s2"))
         worst, left = gaps.agg(F.max(F.try_divide("gap", "goal")), F.sum("gap")).first()
         if step and ((worst or 0.0) <= NEAR or left == before):
             break
         gaps, before = gaps.drop("goal"), left
-        out = beside(out, gaps)
-        open_ = (F.col("copies") == F.col("base")) & (F.col("frac") > 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
-        cuts = cut(threshold(out.where(open_).select("source", "size", "base", "key"), gaps)).withColumnRenamed("source", "s2")
-        # a source without a cut takes all that is open
-        more = F.when(open_ & F.coalesce(below, F.lit(True)), 1).otherwise(0)
-        out = cut(beside(out, cuts).withColumn("copies", F.col("copies") + more).drop("t1", "t2", "gap"))
+        cuts = cut(threshold(beside(out, gaps).where(still_open()).select("source", "size", "base", "key"), gaps)).withColumnRenamed("source", "s2")
+        passes.append((gaps, cuts))
+        out = cut(topped_up(out, gaps, cuts))
+    return out, per_source, passes
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """One row per row of docs: doc_id, size, source, source_size, target, rate, copies, taken, row.
+
+    size counts the runs of characters other than ASCII white space in the whole text (null: 0);
+    source_size and target are its source's, a null source being one of its own, last in order.
+    copies is 0, 1 or 2 and taken = copies * size. Documents of size 0 have rate and copies 1.
+    row is row_key(): rows of equal id, source and text are treated alike, all others are rows of
+    their own. Reruns agree.
+    """
+    out, _, _ = _mixed(docs, weights, share, most)
     return out.select("doc_id", "size", "source", F.col("total").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), "row")
+
+
+def mixed_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """docs, each row as often as mix_sources() says: none, once or twice.
+
+    What decides is a row's own hash and figures by source, so texts are neither joined by row nor shuffled.
+    """
+    _, per_source, passes = _mixed(docs, weights, share, most)
+    rows = rated(docs.select(*measured(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))), per_source, most)
+    for gaps, cuts in passes:
+        rows = topped_up(rows, gaps, cuts)
+    rows = rows.where("copies > 0").select("doc", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audit import filter_audit
 from .bpe import bpe_encode
 from .common import new_folder, remainder
+from .divergence import source_divergence
 from .embeddings import embedding_neardup
 from .jaccard import ngram_jaccard
 from .language import identify_language
@@ -68,13 +70,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_bpe_roundtrip, op3_line_dedup, op4_media_columns, op5_quality_classifier, op6_token_counts, op7_source_mix, op8_ngram_jaccard, op9_language_id, op10_warc, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_bpe_roundtrip, op3_line_dedup, op4_media_columns, op5_quality_classifier, op6_token_counts, op7_source_mix, op8_ngram_jaccard, op9_language_id, op10_warc, op11_filter_audit, op13_source_divergence, pipeline)}
 
 #: A-Z only, as the contracts have it.
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -133,5 +143,58 @@ digest as (
 select page_id, cast(n as bigint) as payload_bytes, payload_digest, case when page_id = first_page then 'response' else 'revisit' end as record_type,
   case when page_id <> first_page then first_page end as refers_to
 from digest
+""",
+    "op11_filter_audit": r"""
+with t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words from t),
+f as (
+  select doc_id, part, len(words) < 50 as a, 100 * len(list_distinct(words)) < 65 * len(words) as b,
+    100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 5 * length(text) as c,
+    regexp_matches(text, '[#$%&*|]') as d, coalesce(min(doc_id) over (partition by text) < doc_id, false) as e from w),
+l as (select doc_id, max(cast(quality = 1 as int)) as good, max(cast(toxic = 1 as int)) as toxic from labels group by doc_id),
+m as (select f.*, coalesce(l.good, 0) as good, coalesce(l.toxic, 0) as toxic from f left join l using (doc_id)),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (select filter_order, unnest([1, 2, 3, 4, 5]) as step from orders),
+fails as (select part, good, toxic, (case when a then 'A' else '' end) || (case when b then 'B' else '' end) || (case when c then 'C' else '' end)
+    || (case when d then 'D' else '' end) || (case when e then 'E' else '' end) as s from m),
+cells as (select part, s, count(*) as n, sum(good) as good, sum(toxic) as toxic from fails group by part, s),
+each as (
+  select part, filter_order, step, substr(filter_order, step, 1) as x, n, good, toxic, s, contains(s, substr(filter_order, step, 1)) as own,
+    s <> translate(s, substr(filter_order, 1, step - 1), '') as earlier from cells, steps),
+found as (
+  select part, filter_order, step, x, coalesce(sum(n) filter (where not own and not earlier), 0) as kept, coalesce(sum(n) filter (where own and not earlier), 0) as removed,
+    coalesce(sum(n) filter (where own and earlier), 0) as redundant, coalesce(sum(n) filter (where s = x), 0) as unique_fails,
+    coalesce(sum(good) filter (where own and not earlier), 0) as good_lost, coalesce(sum(toxic) filter (where own and not earlier), 0) as toxic_lost
+  from each group by part, filter_order, step, x)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+  cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+  cast(sum(removed) over (partition by part, x) as bigint) as shapley
+from found
+""",
+    "op13_source_divergence": rf"""
+with d as (select row_number() over () as i, coalesce(lang, '') as lang, coalesce(source, '') as source, {LOWER.format("coalesce(text, '')")} as text from documents),
+occ as (select i, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term from occ group by lang, term having count(distinct i) >= 10),
+v as (select lang, count(*) as v from kept group by lang),
+places as (select distinct lang, source from d),
+c as (select o.lang, o.source, o.term, count(*) as n from occ o join kept k on k.lang = o.lang and k.term = o.term group by o.lang, o.source, o.term),
+totals as (select lang, source, sum(n) as total from c group by lang, source),
+counts as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, coalesce(t.total, 0) as total, v.v from places g join kept k on k.lang = g.lang join v on v.lang = g.lang
+  left join c on c.lang = g.lang and c.source = g.source and c.term = k.term left join totals t on t.lang = g.lang and t.source = g.source),
+p as (select lang, source, term, n, 1 + (cast(1000000000 as hugeint) * (n + 2)) // (total + 2 * v) as p from counts),
+q as (select lang, term, 1 + (cast(1000000000 as hugeint) * (sum(n) + 2)) // (sum(total) + 2 * any_value(v)) as q from counts group by lang, term),
+pairs as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+all_pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0) as value from places a join places b on a.lang = b.lang and a.source <> b.source
+  left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+terms as (select p.lang, p.source, 'term' as part, p.term as item, ((p.p - q.q) * (p.p - q.q)) // (p.p + q.q) as value from p join q on p.lang = q.lang and p.term = q.term where p.n > 0 and p.p > q.q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from all_pairs union all select * from terms))
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from ranked where part = 'pair' or rank <= 10
 """,
 }

@@ -11,6 +11,7 @@ from .bpe import bpe_encode
 from .common import new_folder, remainder
 from .divergence import source_divergence
 from .embeddings import embedding_neardup
+from .html import extract_html
 from .jaccard import ngram_jaccard
 from .language import identify_language
 from .lines import line_dedup
@@ -74,6 +75,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_html(table(spark, sf_dir, "pages"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
@@ -84,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_bpe_roundtrip, op3_line_dedup, op4_media_columns, op5_quality_classifier, op6_token_counts, op7_source_mix, op8_ngram_jaccard, op9_language_id, op10_warc, op11_filter_audit, op13_source_divergence, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_bpe_roundtrip, op3_line_dedup, op4_media_columns, op5_quality_classifier, op6_token_counts, op7_source_mix, op8_ngram_jaccard, op9_language_id, op10_warc, op11_filter_audit, op12_html_extraction, op13_source_divergence, pipeline)}
 
 #: A-Z only, as the contracts have it.
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

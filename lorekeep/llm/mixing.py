@@ -9,12 +9,15 @@ run over counts by (source, size), all sources at once, and not over documents.
 Rates become whole copies: the integer part always, one more for the documents with the lowest
 keys (a hash of the id less the fractional part) as far as the target goes; more passes fill what
 is left with documents that still fit. Where a cut lies is read off two levels of histograms
-by source, so no source is ever sorted or gathered.
+by source, so no source is ever sorted or gathered. Last, some documents of each source, all of
+them if it has few, trade copies until the words taken come as close to the target as these
+documents allow (a bounded subset sum).
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,8 +27,10 @@ from .common import WORD_PATTERN, cut
 #: Source weights by rank in code-point order, repeating, and the mix's size against the input's.
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 STEPS, STEPS_A_CUT, BINS, PASSES = 60, 6, 2048, 5
-#: Share of a target that may stay open; other gaps are filled as far as documents and PASSES go.
+#: Share of a target that passes may leave open.
 NEAR = 0.002
+#: Documents of a source that trade copies, words up to which their sums are exact, and moves that are broadcast.
+POOL, EXACT, MOVES = 512, 1 << 21, 500_000
 #: Relative misses of a target: one to stop at, and one that is an error if it is left.
 TOLERANCE, ENOUGH = 1e-9, 1e-6
 #: Bins of sources whose sums the driver gets at a time.
@@ -106,6 +111,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return t.select("source", "total", (F.col("cap") if tau is None else F.least(F.col("cap"), F.lit(tau) * F.col("w"))).alias("target"))
 
 
+def whole_sum(x: Column) -> Column:
+    """The sum of x in billionths: the same in whatever order tasks add up."""
+    return F.sum(x.cast("decimal(29,9)")).cast("double")
+
+
 def multipliers(histogram: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
     """(source, lam, mean) that solve the duals; histogram: (source, size, c), sizes above 0.
 
@@ -121,8 +131,8 @@ def multipliers(histogram: DataFrame, goals: DataFrame, most: float = MOST) -> D
     for step in range(1, STEPS + 1):
         weight = F.col("c") * F.col("r") * F.col("size")
         s = histogram.join(state, F.expr("source <=> s2")).withColumn("r", rate).groupBy("source").agg(
-            (F.sum(weight) - F.first("target")).alias("miss"),
-            F.sum(F.when(F.col("r") < most, weight * F.col("size") / F.col("mean"))).alias("slope"),
+            (whole_sum(weight) - F.first("target")).alias("miss"),
+            whole_sum(F.when(F.col("r") < most, weight * F.col("size") / F.col("mean"))).alias("slope"),
             *[F.first(c).alias(c) for c in ("target", "mean", "lam", "lo", "hi")],
         )
         s = s.withColumn("lo", F.when(F.col("miss") < 0, F.col("lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("miss") > 0, F.col("lam")).otherwise(F.col("hi")))
@@ -195,8 +205,75 @@ def topped_up(rows: DataFrame, gaps: DataFrame, cuts: DataFrame) -> DataFrame:
     return beside(beside(rows, gaps), cuts).withColumn("copies", F.col("copies") + more).drop("t1", "t2", "gap")
 
 
-def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, most: float) -> tuple[DataFrame, DataFrame, list[tuple[DataFrame, DataFrame]]]:
-    """(documents with copies, figures by source, what each pass went by)."""
+def traded(weights: list[int], copies: list[int], least: list[int], most: list[int], aim: float) -> list[int]:
+    """Copies between least and most with sum(copies * weights) as near to aim as these documents allow.
+
+    All sums are found one document after another, each with the document that first reached it,
+    until one meets the aim; so few documents change. Weights that would need more than EXACT sums
+    are counted in larger units, and the result is taken only where it is nearer than before.
+    """
+    now = sum(w * c for w, c in zip(weights, copies))
+    unit = -(-sum(w * m for w, m in zip(weights, most)) // EXACT) or 1
+    small = [w // unit for w in weights]
+    best = sum(w * c for w, c in zip(small, copies))
+    goal = best + (aim - now) / unit
+    by = np.full(sum(w * m for w, m in zip(small, most)) + 1, -1, np.int16)  # the document that first reached a sum, from 1
+    by[best] = 0
+    steps = [[d for d in range(lo - c, hi - c + 1) if d] for c, lo, hi in zip(copies, least, most)]
+    for i, w in enumerate(small):
+        if abs(best - goal) <= 0.5:
+            break
+        before = np.flatnonzero(by >= 0)
+        for d in steps[i] if w else ():
+            to = before + d * w
+            to = to[by[to] < 0]
+            by[to] = i + 1
+            if len(to):
+                near = int(to[np.abs(to - goal).argmin()])
+                best = near if abs(near - goal) < abs(best - goal) else best
+    out, at = list(copies), best
+    while by[at] > 0:
+        i = int(by[at]) - 1
+        d = next(d for d in steps[i] if 0 <= at - d * small[i] < len(by) and 0 <= by[at - d * small[i]] <= i)
+        out[i] += d
+        at -= d * small[i]
+    return out if abs(sum(w * c for w, c in zip(weights, out)) - aim) < abs(now - aim) else list(copies)
+
+
+def trades(rows: DataFrame, most: float) -> DataFrame:
+    """(s3, row3, trade): copies to add to all rows of a source with that hash.
+
+    Only POOL documents of a source are weighed, those whose hashes come first; a source of no more
+    documents is weighed whole. They first trade between a rate rounded down and up, and between
+    none and most copies where that doesn't meet the target.
+    """
+    gaps = cut(rows.groupBy("source").agg((F.first("target") - F.sum(F.expr("copies * size"))).alias("gap"), F.count("*").alias("docs")).withColumnRenamed("source", "s2"))
+    u = F.pmod(F.xxhash64(F.lit("trades"), "row"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    pool = beside(rows.where("size > 0"), gaps).where("abs(gap) > 0.5").withColumn("u", u).where(F.col("u") * F.col("docs") <= 2.0 * POOL)
+    pool = pool.groupBy("source", "row").agg(F.count("*").alias("m"), F.max("size").alias("size"), F.max("copies").alias("copies"), F.max("base").alias("least"), F.max(F.ceil("rate")).alias("most"), F.first("u").alias("u"), F.first("gap").alias("gap"))
+    pool = pool.withColumn("k", F.row_number().over(W.partitionBy("source").orderBy("u", "row"))).where(F.col("k") <= POOL)
+
+    def trade(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        weights, copies = [int(a) * int(b) for a, b in zip(pdf["m"], pdf["size"])], [int(c) for c in pdf["copies"]]
+        aim = sum(w * c for w, c in zip(weights, copies)) + float(pdf["gap"].iloc[0])
+        new = traded(weights, copies, pdf["least"].astype(int).tolist(), pdf["most"].astype(int).tolist(), aim)
+        if abs(sum(w * c for w, c in zip(weights, new)) - aim) > 0.5:
+            new = traded(weights, new, [0] * len(new), [int(most)] * len(new), aim)
+        moved = pdf.assign(trade=[b - a for a, b in zip(copies, new)])
+        return moved.loc[moved["trade"] != 0, ["source", "row", "trade"]].rename(columns={"source": "s3", "row": "row3"})
+
+    return pool.groupBy("source").applyInPandas(trade, "s3 string, row3 long, trade int")
+
+
+def after_trades(rows: DataFrame, moves: DataFrame) -> DataFrame:
+    small = moves.limit(MOVES + 1).count() <= MOVES
+    rows = rows.join(F.broadcast(moves) if small else moves, F.expr("source <=> s3 and row = row3"), "left")
+    return rows.withColumn("copies", F.col("copies") + F.coalesce("trade", F.lit(0))).drop("s3", "row3", "trade")
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, most: float) -> tuple[DataFrame, DataFrame, list[tuple[DataFrame, DataFrame]], DataFrame]:
+    """(documents with copies, figures by source, what each pass went by, trades)."""
     d = cut(docs.select(*measured(F.col("doc_id").cast("long").alias("doc_id"))))
     histogram = cut(d.groupBy("source", "size").agg(F.count("*").alias("c")))
     # as many partitions as its rows ask for: the steps over a small one then shuffle nothing
@@ -215,7 +292,8 @@ def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, most: floa
         cuts = cut(threshold(beside(out, gaps).where(still_open()).select("source", "size", "base", "key"), gaps)).withColumnRenamed("source", "s2")
         passes.append((gaps, cuts))
         out = cut(topped_up(out, gaps, cuts))
-    return out, per_source, passes
+    moves = cut(trades(out, most))
+    return after_trades(out, moves), per_source, passes, moves
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -226,8 +304,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     copies is 0, 1 or 2 and taken = copies * size. Documents of size 0 have rate and copies 1.
     row is row_key(): rows of equal id, source and text are treated alike, all others are rows of
     their own. Reruns agree.
+
+    Each source's taken words come as near to its target as the documents weighed at the end allow
+    (POOL of a source, or all): exactly, unless it has very few.
     """
-    out, _, _ = _mixed(docs, weights, share, most)
+    out, *_ = _mixed(docs, weights, share, most)
     return out.select("doc_id", "size", "source", F.col("total").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), "row")
 
 
@@ -236,9 +317,10 @@ def mixed_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: f
 
     What decides is a row's own hash and figures by source, so texts are neither joined by row nor shuffled.
     """
-    _, per_source, passes = _mixed(docs, weights, share, most)
+    _, per_source, passes, moves = _mixed(docs, weights, share, most)
     rows = rated(docs.select(*measured(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))), per_source, most)
     for gaps, cuts in passes:
         rows = topped_up(rows, gaps, cuts)
+    rows = after_trades(rows, moves)
     rows = rows.where("copies > 0").select("doc", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
     return rows.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

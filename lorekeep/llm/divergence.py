@@ -15,8 +15,8 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
-from dataclasses import dataclass
 from itertools import groupby
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -31,87 +31,132 @@ LEAST_DOCS, SCALE, BEST = 10, 1_000_000_000, 10
 #: Words are runs of these bytes: ASCII letters and all bytes of other characters.
 _LETTERS = bytes(b for b in range(256) if b >= 0x80 or chr(b).isalpha())
 _CLEAN = bytes(b if b in _LETTERS else 0x20 for b in range(256)).lower()
-#: Counters that a task holds before it hands its tries on, bytes of a prefix at first and further
-#: bytes each time, leaves of a prefix range beyond which it is cut deeper, leaves of a merged piece.
-HELD, DEPTH, DEEPER, RANGE, PIECE = 400_000, 3, 3, 400_000, 4096
+#: Counters that a task holds before it hands its tries on, and that a merge gathers before it folds them.
+HELD, FOLD = 400_000, 400_000
+#: Bytes of a prefix at first, leaves of a prefix range beyond which it is cut twice as deep, and leaves of a merged piece.
+DEPTH, RANGE, PIECE = 2, 1_000_000, 4096
 #: Cells of a block of words and sources, and sums by pair that a task holds.
 CELLS, PAIRS = 1 << 20, 1 << 21
 #: Bytes of the languages' table up to which it is broadcast, and keys for a language's pieces beyond.
 SMALL, SALTS = 8 << 20, 32
 
 
-@dataclass
 class Trie:
-    """Leaves in byte order: word, documents that hold it, and (source, count) for each source."""
-
-    words: list[bytes]
-    docs: list[int]
-    counters: list[list[tuple[int, int]]]
-
-    def packed(self, sources: list[str]) -> dict:
-        """One row: edges and their depths, document counts, and counters in one list each."""
-        depth, edges, before = [], [], b""
-        for w in self.words:
-            d = shared(before, w)
-            depth.append(d)
-            edges.append(w[d:])
-            before = w
-        flat = [c for leaf in self.counters for c in leaf]
-        used = sorted({s for s, _ in flat})
-        number = {s: i for i, s in enumerate(used)}
-        return {
-            "depth": np.asarray(depth, "<i4").tobytes(), "ends": np.cumsum([len(e) for e in edges], dtype="<i4").tobytes(), "edges": b"".join(edges),
-            "docs": np.asarray(self.docs, "<i8").tobytes(), "fan": np.asarray([len(c) for c in self.counters], "<i4").tobytes(),
-            "source": np.asarray([number[s] for s, _ in flat], "<i4").tobytes(), "n": np.asarray([n for _, n in flat], "<i8").tobytes(),
-            "sources": [sources[s] for s in used], "leaves": len(self.words),
-        }
-
-
-def shared(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    return next(i for i in range(n) if a[i] != b[i])
-
-
-def walk(row: dict):
-    """(word, documents, [(source name, count)]) of a packed trie in byte order."""
-    depth, ends, fan = (np.frombuffer(row[c], "<i4").tolist() for c in ("depth", "ends", "fan"))
-    docs, numbers, counts = np.frombuffer(row["docs"], "<i8").tolist(), np.frombuffer(row["source"], "<i4").tolist(), np.frombuffer(row["n"], "<i8").tolist()
-    names, edges, word, start, at = row["sources"], row["edges"], b"", 0, 0
-    for d, end, f, n in zip(depth, ends, fan, docs):
-        word = word[:d] + edges[start:end]
-        yield word, n, [(names[numbers[i]], counts[i]) for i in range(at, at + f)]
-        start, at = end, at + f
-
-
-PACKED = "depth binary, ends binary, edges binary, docs binary, fan binary, source binary, n binary, sources array<string>, leaves long"
-PACKED_COLUMNS = [c.split()[0] for c in PACKED.split(", ")]
-PIECES = f"lang string, prefix binary, {PACKED}"
-_ARROW = pa.schema([("lang", pa.string()), ("prefix", pa.binary()), *[(c, pa.binary()) for c in ("depth", "ends", "edges", "docs", "fan", "source", "n")], ("sources", pa.list_(pa.string())), ("leaves", pa.int64())])
-
-
-def subtrees(lang: str, leaves, depth: int):
-    """Packed subtrees of leaves (word, documents, [(source, count)]) in byte order, one for each prefix of depth bytes."""
-    for prefix, part in groupby(leaves, lambda x: x[0][:depth]):
-        names, words, docs, counters = {}, [], [], []
-        for w, n, c in part:
-            words.append(w)
-            docs.append(n)
-            counters.append([(names.setdefault(s, len(names)), k) for s, k in c])
-        yield {"lang": lang, "prefix": prefix, **Trie(words, docs, counters).packed(list(names))}
-
-
-def in_batches(rows, most_rows: int = 2048, most_bytes: int = 4 << 20):
+    """Leaves in byte order: words, the documents that hold each, and counters (leaf, source, count).
+
+    Counters are ordered by leaf; sources are numbers into names. Building one from the leaves of
+    others merges them.
+    """
+
+    def __init__(self, words: list[bytes], docs: np.ndarray, leaf: np.ndarray, source: np.ndarray, n: np.ndarray, names: list[str], least_docs: int = 1):
+        self.words = sorted(set(words))  # runs that are sorted already are merged
+        at = {w: i for i, w in enumerate(self.words)}
+        own = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+        self.docs = np.zeros(len(self.words), np.int64)
+        np.add.at(self.docs, own, docs)
+        if least_docs > 1:
+            kept = self.docs >= least_docs
+            self.words = [w for w, k in zip(self.words, kept.tolist()) if k]
+            self.docs = self.docs[kept]
+            there = kept[own[leaf]]
+            leaf, source, n, own = leaf[there], source[there], n[there], (np.cumsum(kept) - 1)[own]
+        key = own[leaf] * len(names) + source
+        if len(key) and not (np.diff(key) > 0).all():
+            key, back = np.unique(key, return_inverse=True)
+            n, whole = np.zeros(len(key), np.int64), n
+            np.add.at(n, back, whole)
+        self.leaf, self.source, self.n, self.names = key // max(1, len(names)), key % max(1, len(names)), n, names
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def shared(self, least: int) -> np.ndarray:
+        """How many bytes each word shares with the one before it, up to 32, or up to least where that is more."""
+        size = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        heads = np.array([w[:32] for w in self.words], "S32").view(np.uint8).reshape(-1, 32)
+        same = np.minimum.accumulate(heads[1:] == heads[:-1], axis=1).sum(axis=1)
+        same = np.concatenate([[0], np.minimum(same, np.minimum(size[1:], size[:-1]))]).astype(np.int64)
+        for i in np.flatnonzero(same == 32).tolist() if least > 32 else ():
+            a, b = self.words[i - 1][:least], self.words[i][:least]
+            same[i] = len(commonprefix((a, b)))
+        return same
+
+    def subtrees(self, lang: str, depth: int, most: int | None = None):
+        """Rows (_FIELDS), packed: a subtree for each prefix of depth bytes, of most leaves at most where that is given."""
+        if not self.words:
+            return
+        size, inner = np.fromiter(map(len, self.words), np.int64, len(self.words)), self.shared(depth)
+        first = inner < depth if depth else np.zeros(len(inner), bool)
+        first[:: most or len(inner)] = True
+        first[0] = True
+        inner[first] = 0
+        text = np.frombuffer(b"".join(self.words), np.uint8)
+        cut = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size) >= np.repeat(inner, size)
+        edges, edge_ends = text[cut].tobytes(), np.concatenate([[0], np.cumsum(size - inner)])
+        starts = np.flatnonzero(first)
+        fan = np.bincount(self.leaf, minlength=len(self.words))
+        counters = np.concatenate([[0], np.cumsum(fan)])
+        columns = [x.astype(t) for x, t in ((inner, "<i4"), (size - inner, "<i4"), (self.docs, "<i8"), (fan, "<i4"), (self.n, "<i8"))]
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(self.words)]):
+            c, d = int(counters[i]), int(counters[j])
+            used, number = np.unique(self.source[c:d], return_inverse=True)
+            yield (
+                lang, self.words[i][:depth], columns[0][i:j].tobytes(), columns[1][i:j].tobytes(), edges[edge_ends[i] : edge_ends[j]], columns[2][i:j].tobytes(),
+                columns[3][i:j].tobytes(), number.astype("<i4").tobytes(), columns[4][c:d].tobytes(), [self.names[u] for u in used.tolist()], j - i,
+            )
+
+
+_FIELDS = ("lang", "prefix", "depth", "size", "edges", "docs", "fan", "source", "n", "sources", "leaves")
+PIECES = "lang string, prefix binary, depth binary, size binary, edges binary, docs binary, fan binary, source binary, n binary, sources array<string>, leaves long"
+_ARROW = pa.schema([("lang", pa.string()), *[(c, pa.binary()) for c in _FIELDS[1:9]], ("sources", pa.list_(pa.string())), ("leaves", pa.int64())])
+
+
+def leaves_of(row: dict) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, docs, leaf, source, n) of a packed trie: a walk in byte order."""
+    words, word, edges, at = [], b"", row["edges"], 0
+    for d, size in zip(np.frombuffer(row["depth"], "<i4").tolist(), np.frombuffer(row["size"], "<i4").tolist()):
+        word = word[:d] + edges[at : at + size]
+        words.append(word)
+        at += size
+    fan = np.frombuffer(row["fan"], "<i4")
+    return words, np.frombuffer(row["docs"], "<i8"), np.repeat(np.arange(len(fan)), fan), np.frombuffer(row["source"], "<i4").astype(np.int64), np.frombuffer(row["n"], "<i8")
+
+
+class Gathered:
+    """Packed tries to be merged: folded whenever as much came as is held, so that what they share is held once."""
+
+    def __init__(self, least_docs: int = 1):
+        self.least_docs, self.names, self.parts, self.folded, self.new = least_docs, {}, [], 0, 0
+
+    def add(self, row: dict) -> None:
+        words, docs, leaf, source, n = leaves_of(row)
+        numbers = np.array([self.names.setdefault(s, len(self.names)) for s in row["sources"]], np.int64)
+        self.parts.append((words, docs, leaf, numbers[source], n))
+        self.new += len(n)
+        if self.new > max(FOLD, self.folded) and len(self.parts) > 1:
+            t = self.trie(1)
+            self.parts, self.folded, self.new = [(t.words, t.docs, t.leaf, t.source, t.n)], len(t.n), 0
+
+    def trie(self, least_docs: int) -> Trie:
+        words = [w for p in self.parts for w in p[0]]
+        shift = np.cumsum([0, *[len(p[0]) for p in self.parts]])
+        docs, leaf, source, n = (np.concatenate([p[k] + (shift[i] if k == 2 else 0) for i, p in enumerate(self.parts)]) for k in (1, 2, 3, 4))
+        return Trie(words, docs, leaf, source, n, list(self.names), least_docs)
+
+    def merged(self) -> Trie:
+        return self.trie(self.least_docs)
+
+
+def in_batches(rows, most_rows: int = 4096, most_bytes: int = 4 << 20):
     held, size = [], 0
     for r in rows:
         held.append(r)
-        size += sum(len(r[c]) for c in ("depth", "ends", "edges", "docs", "fan", "source", "n"))
+        size += len(r[4]) + 3 * len(r[8])
         if len(held) >= most_rows or size >= most_bytes:
-            yield pa.RecordBatch.from_pylist(held, _ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ARROW)], schema=_ARROW)
             held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_pylist(held, _ARROW)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ARROW)], schema=_ARROW)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -121,31 +166,32 @@ def words_of(text: str) -> list[bytes]:
 def count_words(depth: int, most: int):
     """Task: rows (lang, source, text) to packed subtrees."""
 
-    def out(by_group: dict[tuple[str, str], Counter], in_docs: dict[str, Counter]):
-        for lang, docs in in_docs.items():
-            counters = {w: [] for w in docs}
-            for (g, source), counts in by_group.items():
-                if g == lang:
-                    for w, n in counts.items():
-                        counters[w].append((source, n))
-            yield from subtrees(lang, ((w, docs[w], counters[w]) for w in sorted(docs)), depth)
+    def out(lang: str, groups: dict[str, Counter], docs: Counter):
+        words, names = list(docs), list(groups)
+        at = {w: i for i, w in enumerate(words)}
+        leaf = np.concatenate([np.fromiter(map(at.__getitem__, c), np.int64, len(c)) for c in groups.values()])
+        n = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in groups.values()])
+        source = np.repeat(np.arange(len(names)), [len(c) for c in groups.values()])
+        yield from Trie(words, np.fromiter(docs.values(), np.int64, len(words)), leaf, source, n, names).subtrees(lang, depth)
 
     def rows(batches):
-        by_group, in_docs, held = {}, {}, 0
+        groups, in_docs, held = {}, {}, 0
         for batch in batches:
             for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = words_of(text)
                 if not words:
                     continue
-                counts, docs = by_group.setdefault((lang, source), Counter()), in_docs.setdefault(lang, Counter())
+                counts, docs = groups.setdefault(lang, {}).setdefault(source, Counter()), in_docs.setdefault(lang, Counter())
                 before = len(counts)
                 counts.update(words)
                 docs.update(set(words))
                 held += len(counts) - before
                 if held >= most:
-                    yield from out(by_group, in_docs)
-                    by_group, in_docs, held = {}, {}, 0
-        yield from out(by_group, in_docs)
+                    for g in sorted(groups):
+                        yield from out(g, groups.pop(g), in_docs.pop(g))
+                    held = 0
+        for g in sorted(groups):
+            yield from out(g, groups.pop(g), in_docs.pop(g))
 
     return lean(lambda batches: in_batches(rows(batches)))
 
@@ -161,51 +207,30 @@ def cut_deeper(depth: int):
 
     def rows(batches):
         for r in rows_of(batches):
-            yield from subtrees(r["lang"], walk(r), depth)
+            one = Gathered()
+            one.add(r)
+            yield from one.merged().subtrees(r["lang"], depth)
 
     return lean(lambda batches: in_batches(rows(batches)))
 
 
-def merged(leaves):
-    """Leaves of several tries, in byte order, with equal words put together."""
-    for word, same in groupby(leaves, lambda x: x[0]):
-        same = list(same)
-        if len(same) == 1:
-            yield same[0]
-            continue
-        docs, counts = 0, Counter()
-        for _, n, c in same:
-            docs += n
-            for s, k in c:
-                counts[s] += k
-        yield word, docs, list(counts.items())
-
-
-def merged_tries(tries, fan: int = 64):
-    """Leaves of any number of packed tries, merged fan at a time, so that few are open at once."""
-    runs = []
-    for r in tries:
-        runs.append(walk(r))
-        if len(runs) == fan:
-            runs = [iter(list(merged(heapq.merge(*runs, key=lambda x: x[0]))))]
-    return merged(heapq.merge(*runs, key=lambda x: x[0]))
-
-
 def merge_ranges(least_docs: int, piece: int):
-    """Task: packed subtrees sorted by (lang, prefix) to pieces of merged leaves that enough documents hold."""
+    """Task: packed subtrees sorted by (lang, prefix) to pieces of merged leaves that enough documents hold.
+
+    Neighbouring small ranges are merged together, so that pieces are few.
+    """
 
     def rows(batches):
-        for lang, tries in groupby(rows_of(batches), lambda r: r["lang"]):
-            held = []  # neighbouring ranges share a piece
-            for _, same in groupby(tries, lambda r: r["prefix"]):
-                for leaf in merged_tries(same):
-                    if leaf[1] >= least_docs:
-                        held.append(leaf)
-                    if len(held) == piece:
-                        yield from subtrees(lang, held, 0)
-                        held = []
-            if held:
-                yield from subtrees(lang, held, 0)
+        held, lang = Gathered(least_docs), None
+        for (g, _), same in groupby(rows_of(batches), lambda r: (r["lang"], r["prefix"])):
+            if held.parts and (g != lang or held.folded + held.new > FOLD // 2):
+                yield from held.merged().subtrees(lang, 0, piece)
+                held = Gathered(least_docs)
+            lang = g
+            for r in same:
+                held.add(r)
+        if held.parts:
+            yield from held.merged().subtrees(lang, 0, piece)
 
     return lean(lambda batches: in_batches(rows(batches)))
 
@@ -214,13 +239,13 @@ def word_tries(docs: DataFrame, scratch: Scratch, *, least_docs: int = LEAST_DOC
     """Merged pieces (PIECES) of docs (lang, source, text): words in at least least_docs documents of their language."""
     tries = scratch.table(docs.mapInArrow(count_words(depth, held), PIECES), "counted")
     for step in range(1, 1 << 20):
-        at = depth + DEEPER * (step - 1)
+        at = depth << (step - 1)
         full = tries.groupBy("lang", "prefix").agg(F.sum("leaves").alias("all")).where((F.col("all") > most) & (F.length("prefix") == at))
         full = scratch.table(full.select("lang", "prefix"), f"full{step}")
         if full.isEmpty():
             break
-        # only ranges of more than `most` leaves are read again; the others stay as they are
-        deep = tries.join(full, ["lang", "prefix"], "left_semi").select(*tries.columns).mapInArrow(cut_deeper(at + DEEPER), PIECES)
+        # only ranges of more than `most` leaves are cut again; the others stay as they are
+        deep = tries.join(full, ["lang", "prefix"], "left_semi").select(*tries.columns).mapInArrow(cut_deeper(2 * at), PIECES)
         tries = scratch.table(tries.join(full, ["lang", "prefix"], "left_anti").select(*tries.columns).union(deep), f"cut{step}")
     ordered = tries.repartitionByRange("lang", "prefix").sortWithinPartitions("lang", "prefix")
     pieces = scratch.table(ordered.mapInArrow(merge_ranges(least_docs, piece), PIECES), "merged")
@@ -321,20 +346,19 @@ def compare_sources(best: int):
             totals = np.array([s["n"] for s in r["groups"]], np.int64) + 2 * r["words"]
             of_lang = np.array([int(totals.sum()) - 2 * r["words"] * (len(sources) - 1)], np.int64)
             number = {s: i for i, s in enumerate(sources)}
-            leaves, step = list(walk(r)), max(1, CELLS // max(1, len(sources)))
-            for k in range(0, len(leaves), step):
-                part = leaves[k : k + step]
+            words, _, leaf, source, n = leaves_of(r)
+            source, step = np.array([number[s] for s in r["sources"]], np.int64)[source], max(1, CELLS // max(1, len(sources)))
+            for k in range(0, len(words), step):
+                part, (lo, hi) = words[k : k + step], np.searchsorted(leaf, (k, k + step))
                 counts = np.zeros((len(sources), len(part)), np.int64)
-                for j, (_, _, c) in enumerate(part):
-                    for s, n in c:
-                        counts[number[s], j] = n
+                counts[source[lo:hi], leaf[lo:hi] - k] = n[lo:hi]
                 p, q = smoothed(counts, totals[:, None]), smoothed(counts.sum(axis=0), of_lang)
                 yield from sums.add(p)
                 f = np.where((counts > 0) & (p > q), distance(p, q), -1)
                 for i in np.flatnonzero((f >= 0).any(axis=1)).tolist():
                     # leaves come in byte order, so a stable sort leaves ties in it
                     at = np.argsort(-f[i], kind="stable")[:best]
-                    new = [(-int(f[i, j]), part[j][0]) for j in at.tolist() if f[i, j] >= 0]
+                    new = [(-int(f[i, j]), part[j]) for j in at.tolist() if f[i, j] >= 0]
                     top[sources[i]] = heapq.nsmallest(best, top.get(sources[i], []) + new)
         if sums:
             yield from sums.rest()
@@ -361,8 +385,8 @@ def beside_languages(pieces: DataFrame, langs: DataFrame, size: int) -> DataFram
     else:
         salted = langs.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
         rows = pieces.withColumn("salt", F.pmod(F.xxhash64("edges"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "salt"]).drop("salt")
-    rows = rows.select("lang", "groups", "words", *PACKED_COLUMNS)
-    none = langs.where("words = 0").select("lang", "groups", "words", *[F.lit(None).cast(pieces.schema[c].dataType).alias(c) for c in PACKED_COLUMNS])
+    rows = rows.select("lang", "groups", "words", *_FIELDS[2:])
+    none = langs.where("words = 0").select("lang", "groups", "words", *[F.lit(None).cast(pieces.schema[c].dataType).alias(c) for c in _FIELDS[2:]])
     return rows.union(none).sortWithinPartitions("lang")
 
 

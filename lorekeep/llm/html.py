@@ -257,12 +257,12 @@ def article_of(page: Page, out: list[bool]) -> tuple[int, int | None]:
         return around[-1], None
     children: dict[int, list[int]] = {}
     for i in range(1, len(names)):
-        if not out[i] and found[i]:
+        if not out[i]:
             children.setdefault(parents[i], []).append(i)
     least = min(found[i] for i in path)
     top = best
     if best == 0:  # several parts in the body: start from the largest that is more than a paragraph
-        whole = [j for j in children.get(0, ()) if names[j] not in _INLINE and names[j] not in _BARE and children.get(j)]
+        whole = [j for j in children.get(0, ()) if names[j] not in _INLINE and names[j] not in _BARE and any(found[k] for k in children.get(j, ()))]
         best = max(whole, key=lambda j: (sums[j], -j), default=0)
         path = [best, 0] if best else path
     for below, i in zip(path, path[1:]):

@@ -15,4 +15,4 @@ def test_against_sql(spark, sf, name):
 
 
 def test_one_query_for_each_operator():
-    assert [k for n in range(1, 11) for k in QUERIES if k.startswith(f"op{n}_")] == [k for k in QUERIES if k != "pipeline"]
+    assert [k for n in range(1, 14) for k in QUERIES if k.startswith(f"op{n}_")] == [k for k in QUERIES if k != "pipeline"]

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm.bpe import bpe_encode
-from lorekeep.llm.common import fresh, new_folder
-from lorekeep.llm.jaccard import ngram_jaccard
+from lorekeep.llm.common import new_folder
+from lorekeep.llm.jaccard import without_near_copies
 from lorekeep.llm.lines import line_dedup
 from lorekeep.llm.mixing import mixed_copies
 from lorekeep.llm.quality import quality_scores
@@ -39,11 +39,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each component of five-word Jaccard 0.8.
 
-    A null doc_id counts as larger than all others; rows that repeat the kept document stay.
+    A null doc_id counts as larger than all others; rows that repeat the kept document, id and
+    text, stay with it.
     """
-    (kept,) = fresh(docs, "kept")
-    first = ngram_jaccard(docs, k=5, percent=80).where("doc_id <=> component_id").select(F.col("doc_id").alias(kept)).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi").select(docs.columns)
+    return without_near_copies(docs, k=5, percent=80)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

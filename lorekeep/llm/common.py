@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 #: ASCII white space: the only characters that separate words or frame lines.
 SPACE = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Stands for a null id where ids are ordered: null comes last.
-LAST_ID = 2**63 - 1
 #: Edges of a graph that one task settles.
 A_TASK = 200_000
 
@@ -139,6 +137,17 @@ def remainder(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def null_last(doc_id: str) -> Column:
+    """An id as something ordered: null behind every value, without a value that stands for it."""
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))
+
+
+def row_hash(doc_id: str, *rest: str) -> list[Column]:
+    """128 bits for a row by its id and other columns, null unlike any value."""
+    parts = [x for c in (doc_id, *rest) for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(*parts), F.xxhash64(F.lit("again"), *reversed(parts))]
+
+
 class Stars:
     """Union-find over edges: each node's least node so far."""
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, Scratch, bounded, connected_components
+from .common import Scratch, bounded, connected_components, null_last
 from .jaccard import tree
 
 #: Vectors a block, rows of a product, caps of a group.
@@ -98,7 +98,7 @@ def embedding_neardup(vectors: DataFrame, *, threshold: float = 0.93) -> DataFra
     scratch = Scratch(spark, "embeddings")
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").cast("string").alias("label"))
     good = F.expr("label is not null and e is not null and size(e) > 0 and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(e, x -> x <> 0)")
-    v = v.withColumn("ok", F.coalesce(good, F.lit(False))).withColumn("i", F.coalesce("vec_id", F.lit(LAST_ID)))
+    v = v.withColumn("ok", F.coalesce(good, F.lit(False))).withColumn("i", null_last("vec_id"))
     v = v.select("vec_id", "i", "label", *[F.when(F.col("ok"), c).alias(n) for n, c in (("x", F.col("e")), ("h1", F.xxhash64("label", "e")), ("h2", F.xxhash64(F.lit("again"), "e", "label")))])
     own = v.where("x is not null").groupBy("h1", "h2").agg(F.min("i").alias("least"), F.count("*").alias("c"), F.first("label").alias("label"), F.first("x").alias("x"))
     # nodes are numbered by where their rows lie, as an id may repeat or be null
@@ -200,4 +200,4 @@ def embedding_neardup(vectors: DataFrame, *, threshold: float = 0.93) -> DataFra
     scratch.drop("distinct", "cells", "blocks", "groups", "caps", "pairs", "found", "components")
     out = v.select("vec_id", "i", "h1", "h2").join(stands, ["h1", "h2"], "left")
     root = F.coalesce("root", "i")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(root != LAST_ID, root).alias("component_id"), (F.col("i") == root).alias("kept"))
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), root.getField("id").alias("component_id"), (F.col("i") == root).alias("kept"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, Scratch, bounded, connected_components, lean, mix64
+from .common import Scratch, bounded, connected_components, fresh, lean, mix64, null_last, row_hash
 from .lines import probe, twice_filter
 
 #: Members and shingles of a block at most (but for a single larger document), tokens in a product.
@@ -195,16 +195,18 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
     """Components of documents whose k-word shingle sets have a Jaccard index of percent / 100 or more.
 
     Returns a row for each row of docs: doc_id, n_shingles long, component_id long (the smallest
-    doc_id reachable by links, itself included). Exact: no link is lost, none is added. Null and
+    doc_id reachable by links, itself included), stands boolean (the row holds the first set of its
+    component, under the component's id), row_1 and row_2 long (row_hash() of doc_id and text).
+    Exact: no link is lost, none is added. Null and
     empty texts have no shingles and link with nothing. A null doc_id counts as larger than all
     others and is returned as null. Sets link, not ids: rows that repeat a doc_id (null too) with
-    another text are nodes of their own. A set goes by a 64-bit hash. Other columns are ignored.
+    another text are nodes of their own. A set goes by 128 bits and its size, a
+    row by 128 bits, a shingle by 64. Other columns are ignored.
     """
     spark = bounded(docs.sparkSession)
     sc, scratch = spark.sparkContext, Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = F.coalesce("doc_id", F.lit(LAST_ID))
-    row = F.xxhash64(known, "text")
+    row, row_2 = row_hash("doc_id", "text")
     levels = sc.broadcast(sketch(docs, k).tobytes())
     shift = np.uint64(64 - CELLS)
 
@@ -225,12 +227,15 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
                     prefixes.append(s[np.argpartition(order, p - 1)[:p]] if p < len(s) else s)
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
                 flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["d", "w", "n", "s1", "s2", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["d", "w", "w2", "n", "s1", "s2", "prefix"])
 
-    sets = scratch.table(docs.select(known, "text", row).mapInArrow(lean(describe), "d long, w long, n long, s1 long, s2 long, prefix array<long>"), "sets", pack=None)
+    sets = scratch.table(docs.select("doc_id", "text", row, row_2).mapInArrow(lean(describe), "d long, w long, w2 long, n long, s1 long, s2 long, prefix array<long>"), "sets", pack=None)
     # a node a set, numbered by where it lies: ids may repeat or be null. r is the row whose text will give the set
-    own = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("w").alias("r"), F.min("d").alias("least"), F.first("prefix").alias("prefix"))
-    own = scratch.table(own.withColumn("node", F.monotonically_increasing_id()), "own", pack=None, like="sets")
+    own = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("w", "w2")).alias("r"), F.min(null_last("d")).alias("least"), F.first("prefix").alias("prefix"))
+    own = scratch.table(own.select("s1", "s2", "n", F.col("r.w").alias("r"), F.col("r.w2").alias("r2"), "least", "prefix", F.monotonically_increasing_id().alias("node")), "own", pack=None, like="sets")
+    # the prefixes go on in own only
+    rows = scratch.table(sets.drop("prefix"), "rows", pack=None, like="sets")
+    scratch.drop("sets")
 
     total = own.agg(F.sum(F.size("prefix"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, int(total * BITS_A_TOKEN).bit_length()))
@@ -262,6 +267,8 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
     # counts are written out before the join, so that Spark can split a token that very many sets hold
     both = scratch.table(held.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1"), "counts", like="held")
     tokens = scratch.table(held.join(both, "tok"), "tokens", like="held")
+    own = scratch.table(own.drop("prefix"), "nodes", pack=None, like="own")
+    scratch.drop("own", "counts")
     # the most shared token names the group: a family then falls into few groups, whose unions meet seldom
     member = tokens.groupBy("node").agg(F.max(F.struct("c", "tok")).alias("x"), F.first("n").alias("n"), F.count("*").alias("k"))
     member = scratch.table(member.where(f"k > ceil({percent} * n / 100) div {EXTRA}").select("node", "n", F.col("x.tok").alias("g")), "member", like="held")
@@ -271,16 +278,18 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
 
     matrix = tokens.drop("c").join(placed, "node").groupBy("tok", "g", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     matrix = scratch.table(matrix, "matrix", like="held")
+    scratch.drop("held", "tokens", "member", "parts")
     a, b = matrix.alias("a"), matrix.alias("b")
     pairs = a.join(b, F.expr(f"a.tok = b.tok and (a.g < b.g or a.g = b.g and a.part < b.part) and {percent} * a.lo <= 100 * b.hi and {percent} * b.lo <= 100 * a.hi"))
     pairs = pairs.groupBy(F.expr("a.g ag"), F.expr("a.part ap"), F.expr("b.g bg"), F.expr("b.part bp")).agg(F.count("*").alias("k"), F.min(F.least("a.lo", "b.lo")).alias("m"))
     pairs = scratch.table(pairs.where(f"k > ceil({percent} * m / 100) div {EXTRA}").select("ag", "ap", "bg", "bp"), "pairs", like="matrix")
+    scratch.drop("matrix")
     # a block is opened if another one qualifies or if it has two members
     met = pairs.select(F.col("ag").alias("g"), F.col("ap").alias("part"), F.lit(True).alias("met")).union(pairs.select("bg", "bp", F.lit(True)))
     blocks = placed.groupBy("g", "part").agg(F.count("*").alias("c"), F.lit(False).alias("met"))
     blocks = blocks.union(met.select("g", "part", F.lit(0), "met")).groupBy("g", "part").agg(F.sum("c").alias("c"), F.max("met").alias("met")).where("c > 1 or met")
     wanted = placed.join(scratch.table(blocks, "blocks", like="member"), ["g", "part"]).select("node", "g", "part", "met")
-    wanted = scratch.table(wanted.join(own.select("node", "r", "s1", "s2"), "node"), "wanted", like="held")
+    wanted = scratch.table(wanted.join(own.select("node", "r", "r2", "s1", "s2"), "node"), "wanted", like="held")
 
     # documents without a partner in sight, mostly the bulk, are not even shuffled
     id_bits = min(MOST_BITS, max(LEAST_BITS, int((asked := wanted.count()) * 16).bit_length()))
@@ -290,7 +299,7 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
     def grouped(column):
         return pd.Series(probe(np.frombuffer(ids.value, np.uint8), mix64(column.to_numpy(np.int64).view(np.uint64)), id_bits))
 
-    opened = docs.select(row.alias("r"), "text").where(grouped("r")).groupBy("r").agg(F.first("text").alias("text")).join(wanted, "r")
+    opened = docs.select(row.alias("r"), row_2.alias("r2"), "text").where(grouped("r")).groupBy("r", "r2").agg(F.first("text").alias("text")).join(wanted, ["r", "r2"])
     opened = opened.groupBy("g", "part").agg(F.collect_list(F.struct("node", "s1", "s2", "text")).alias("rows"), F.first("met").alias("met")).select("g", "part", "met", "rows")
     edge = pa.schema([("g", pa.int64()), ("part", pa.int32()), ("u", pa.int64()), ("v", pa.int64()), ("blob", pa.binary())])
 
@@ -300,8 +309,9 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
                 held: dict[int, np.ndarray] = {}
                 for row in batch.column(3)[i].as_py():
                     m = mix64(s := shingles(row["text"], k))
-                    if int(m.sum(dtype=np.uint64).astype(np.int64)) == row["s1"] and int(mix64(m).sum(dtype=np.uint64).astype(np.int64)) == row["s2"]:
-                        held[row["node"]] = s
+                    if (int(m.sum(dtype=np.uint64).astype(np.int64)), int(mix64(m).sum(dtype=np.uint64).astype(np.int64))) != (row["s1"], row["s2"]):
+                        raise ValueError("a row's text isn't the one that its set came from")
+                    held[row["node"]] = s
                 block = Block.of(list(held), list(held.values()))
                 g, part = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 found = [{"g": g, "part": part, "u": u, "v": v} for u, v in links(block, block, percent)] if len(held) > 1 else []
@@ -325,14 +335,38 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
 
     edges = opened.where("blob is null").select("u", "v").union(across.mapInArrow(lean(between), "u long, v long"))
     components = connected_components(edges)
-    # from the least node of a component to its least id
-    linked = scratch.table(components.join(own.select("node", "least", "s1", "s2", "n"), "node"), "linked", like="held")
-    low = linked.groupBy("component").agg(F.min("least").alias("c"))
+    # from the least node of a component to its first set: that of the least id
+    linked = scratch.table(components.join(own.select("node", "least", "s1", "s2", "n"), "node"), "linked", like="nodes")
+    low = linked.groupBy("component").agg(F.min(F.struct("least", "s1", "s2", "n")).alias("c"))
     # written out, so that Spark can split a text with very many copies in the join
-    linked = scratch.table(linked.join(low, "component").select("s1", "s2", "n", "c"), "named", like="member")
+    linked = scratch.table(linked.join(low, "component").select("s1", "s2", "n", F.col("c.least").alias("c"), (F.struct("least", "s1", "s2", "n") == F.col("c")).alias("first")), "named", like="nodes")
     alone = own.select("s1", "s2", "n", "least")
-    named = scratch.table(alone.join(linked, ["s1", "s2", "n"], "left").select("s1", "s2", "n", F.coalesce("c", "least").alias("c")), "components", pack=None, like="own")
-    scratch.drop("own", "held", "counts", "tokens", "member", "parts", "placed", "matrix", "pairs", "blocks", "wanted", "opened", "linked", "named")
-    out = sets.select("d", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
-    null_last = lambda c: F.when(c != LAST_ID, c)
-    return out.select(null_last(F.col("d")).alias("doc_id"), F.col("n").alias("n_shingles"), null_last(F.coalesce("c", "d")).alias("component_id"))
+    named = alone.join(linked, ["s1", "s2", "n"], "left").select("s1", "s2", "n", F.coalesce("c", "least").alias("c"), F.coalesce("first", F.lit(True)).alias("first"))
+    named = scratch.table(named, "components", pack=None, like="nodes")
+    scratch.drop("nodes", "placed", "pairs", "blocks", "wanted", "opened", "linked", "named")
+    out = rows.join(named, ["s1", "s2", "n"], "left")
+    stands = F.coalesce(F.col("first") & F.col("d").eqNullSafe(F.col("c.id")), F.lit(True))
+    return out.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("d")).otherwise(F.col("c.id")).alias("component_id"), stands.alias("stands"), F.col("w").alias("row_1"), F.col("w2").alias("row_2"))
+
+
+def without_near_copies(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stand for their component, see ngram_jaccard(); all columns.
+
+    Rows that equal the one that stays in doc_id and text stay with it. Rows are told apart by id
+    and text, so a null or repeated id keeps no near copy. Only texts that a filter says have to go
+    are shuffled.
+    """
+    spark = docs.sparkSession
+    gone = Scratch(spark, "gone").table(ngram_jaccard(docs, k=k, percent=percent).where("not stands").select("row_1", "row_2").distinct(), "rows")
+    bits = min(MOST_BITS, max(LEAST_BITS, int(gone.count() * 16).bit_length()))
+    may_go = spark.sparkContext.broadcast(twice_filter(gone.select("row_1"), lambda c: mix64(c.to_numpy(zero_copy_only=False).view(np.uint64)), bits, once=True).tobytes())
+
+    @F.pandas_udf("boolean")
+    def suspected(column):
+        return pd.Series(probe(np.frombuffer(may_go.value, np.uint8), mix64(column.to_numpy(np.int64).view(np.uint64)), bits))
+
+    one, two = fresh(docs, "row_1", "row_2")
+    typed = docs.withColumns({one: F.col("doc_id").cast("long"), two: F.col("text").cast("string")})
+    keyed = typed.withColumns(dict(zip((one, two), row_hash(one, two))))
+    left = keyed.where(suspected(one)).join(gone.toDF(one, two), [one, two], "left_anti")
+    return left.select(docs.columns).union(keyed.where(~suspected(one)).select(docs.columns))

@@ -6,6 +6,7 @@
    partitions. So each key of two documents is certainly found; chance hits only cost shuffling.
 3. The twice filter, at most 128 MB whatever the corpus, is broadcast. Only lines that hit it are
    shuffled, as digests, for the exact count and the choice of the first document.
+4. Of the texts, only those that lose lines are shuffled; a filter of their rows tells them apart.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LAST_ID, SPACE, bounded, cut, fresh, lean
+from .common import SPACE, bounded, cut, fresh, lean, mix64, null_last, row_hash
 
 SEGMENT_BITS = 19
 LEAST_BITS, MOST_BITS, BITS_A_LINE = 20, 30, 16
@@ -173,18 +174,28 @@ def line_dedup(docs: DataFrame, *, least: int = 10, filter_bits: int | None = No
                 h = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
                 hit = np.flatnonzero(probe(twice, h, bits)).tolist()
                 at = pa.array([rows[k] for k in hit], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array([digest(keys[k]) for k in hit], pa.binary())], ["d", "r", "key"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (0, 2, 3)), pa.array([digest(keys[k]) for k in hit], pa.binary())], ["d", "r", "r2", "key"])
 
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    row = F.xxhash64(order, "text")
-    held = cut(docs.select(order.alias("d"), "text", row.alias("r")).mapInArrow(lean(suspects), "d long, r long, key binary"))
+    d, r, r2, k = fresh(docs, "d", "r", "r2", "k")
+    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[h.alias(n) for h, n in zip(row_hash("doc_id", "text"), (r, r2))])
+    held = cut(keyed.select(F.col("doc_id").cast("long").alias("d"), "text", r, r2).mapInArrow(lean(suspects), "d long, r long, r2 long, key binary"))
     # written out, so that Spark can split a very common key in the join
-    repeated = cut(held.groupBy("key").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("key", "first"))
+    order = null_last("d")
+    repeated = cut(held.groupBy("key").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first < last").select("key", "first"))
     # by row and not by id, which may be null or repeat without end: what a row loses is no more than its own lines
-    lost = held.join(repeated, "key").where("d <> first").groupBy("d", "r").agg(F.collect_set("key").alias("k"))
-    # the texts are streamed past a hash table of what they lose, so they are shuffled once and never sorted
-    d, r, k = fresh(docs, "d", "r", "k")
-    plan = docs.withColumns({d: order, r: row}).join(lost.toDF(d, r, k).hint("shuffle_hash"), [d, r], "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.col(k))
+    lost = cut(held.join(repeated, "key").where(order != F.col("first")).groupBy("r", "r2").agg(F.collect_set("key").alias("k")))
+    # only rows that a filter says lose lines are shuffled; they meet a hash table of what they lose and are never sorted
+    row_bits = min(MOST_BITS, max(LEAST_BITS, int(lost.count() * BITS_A_LINE).bit_length()))
+    losing = spark.sparkContext.broadcast(twice_filter(lost.select("r"), lambda c: mix64(c.to_numpy(zero_copy_only=False).view(np.uint64)), row_bits, once=True).tobytes())
+
+    @F.pandas_udf("boolean")
+    def may_lose(column: pd.Series) -> pd.Series:
+        return pd.Series(probe(np.frombuffer(losing.value, np.uint8), mix64(column.to_numpy(np.int64).view(np.uint64)), row_bits))
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept_type = lost.schema["k"].dataType
+    plan = keyed.where(may_lose(r)).join(lost.toDF(r, r2, k).hint("shuffle_hash"), [r, r2], "left").select(*columns, k)
+    plan = plan.union(keyed.where(~may_lose(r)).select(*columns, F.lit(None).cast(kept_type).alias(k)))
     names = docs.columns
     at_text, at_lost = names.index("text"), len(names)
 

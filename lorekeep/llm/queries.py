@@ -59,7 +59,7 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return ngram_jaccard(table(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, bounded, cut, new_folder
+from .common import bounded, cut, new_folder, null_last
 
 #: Captures a block and, up to so many index files that their first keys may be broadcast, a file.
 A_BLOCK, A_FILE, FILES = 256, 8_192, 4_096
@@ -95,11 +95,11 @@ def write_archives(pages: DataFrame, folder: str, *, smallest: int = 0) -> DataF
     responses too. An archive left by a task that failed is not referred to.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    p = p.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("i", F.coalesce("page_id", F.lit(LAST_ID)))
+    p = p.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("i", null_last("page_id"))
     firsts = p.select("sha1", "i").groupBy("sha1").agg(F.min("i").alias("first"), F.count("*").alias("c")).where("c > 1").select("sha1", "first")
     p = p.join(firsts, "sha1", "left")
     small = F.octet_length("html") < smallest
-    refers = F.when(~small & (F.col("i") > F.col("first")), F.col("first"))
+    refers = F.when(~small & (F.col("i") > F.col("first")), F.col("first.id"))
     plan = p.select("page_id", "url", "html", refers.alias("refers"))
 
     def run(batches):
@@ -116,7 +116,7 @@ def write_archives(pages: DataFrame, folder: str, *, smallest: int = 0) -> DataF
                 payload = h.encode("utf-8", "replace")
                 member = record("response" if r is None else "revisit", d, u, payload, payload_digest(payload), r)
                 out.write(member)
-                rows.append({"key": f"{surt(u)} {LAST_ID if d is None else d:020d}", "archive": path, "offset": at, "length": len(member)})
+                rows.append({"key": f"{surt(u)} {'~' if d is None else format(d, '020d')}", "archive": path, "offset": at, "length": len(member)})
                 at += len(member)
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
         if out is not None:

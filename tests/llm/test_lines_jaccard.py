@@ -10,6 +10,15 @@ SPACE = " \t\n\x0b\x0c\r"
 SCHEMA = "doc_id long, text string, seg string, tok long, n_lines string"
 
 
+def test_the_largest_id_is_no_null(spark):
+    last, text = 2**63 - 1, "a line of some length\nanother one that is long"
+    rows = [(None, text), (last, text), (last, "x")]
+    got = {(r.doc_id, r.n_dropped, r.text) for r in line_dedup(frame(spark, rows)).collect()}
+    assert got == {(None, 2, ""), (last, 0, text), (last, 0, "x")}
+    got = sorted(((r.doc_id, r.component_id, r.stands) for r in ngram_jaccard(frame(spark, rows), k=3, percent=90).collect()), key=repr)
+    assert got == sorted([(None, last, False), (last, last, True), (last, last, True)], key=repr)
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(d, t, "x", 1, "y") for d, t in rows], SCHEMA).repartition(3)
 

@@ -5,15 +5,25 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def settle(df: DataFrame) -> DataFrame:
     """df written to spark.checkpoint.dir and read from there; in one process (tests) a temporary folder does."""
-    sc = df.sparkSession.sparkContext
+    settle_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def settle_dir(spark: SparkSession) -> None:
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         where = sc.getConf().get("spark.checkpoint.dir")
         if not where and not re.match(r"local(\[[\d*,]+\])?$", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="lorekeep-checkpoint-"))
-    return df.checkpoint()
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    settle_dir(spark)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")

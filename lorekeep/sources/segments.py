@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import index_tokens
 from ..operators.lexical import B, K1, LexicalIndex, phrases, saturation, top, units, weight
-from ..staging import settle
+from ..staging import written
 from .store import Store
 
 #: Postings in a block, documents in a shard, folders by term, segments of one size that are merged.
@@ -96,10 +96,10 @@ class SegmentedIndex:
     def write_segment(self, name: str, postings: DataFrame, lengths: DataFrame) -> dict:
         """Write a segment; lengths (id, len) also has documents without tokens."""
         folder = f"{self.store.root}/segments/{name}"
-        lengths = settle(lengths)
+        lengths = written(lengths)
         docs, tokens = lengths.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
         shards, average = max(1, -(-docs // self.shard)), max(1.0, tokens / max(1, docs))
-        p = settle(postings.withColumn("bucket", F.pmod(F.hash("term"), F.lit(BUCKETS))).withColumn("shard", F.pmod(F.hash(self.key), F.lit(shards))))
+        p = written(postings.withColumn("bucket", F.pmod(F.hash("term"), F.lit(BUCKETS))).withColumn("shard", F.pmod(F.hash(self.key), F.lit(shards))))
         order = W.partitionBy("bucket", "shard", "term").orderBy(saturation(F.col("tf"), F.col("len"), F.lit(average)).desc(), self.key)
         p = p.repartition("bucket", "shard").withColumn("block", F.floor((F.row_number().over(order) - 1) / self.block).cast("int"))
         rows = F.array_sort(F.collect_list(F.struct(self.key, "tf", "n", "len", "places")))
@@ -107,7 +107,7 @@ class SegmentedIndex:
         columns = [F.col(f"r.{c}").alias(a) for c, a in ((self.key, "ids"), ("tf", "tfs"), ("n", "ns"), ("len", "lens"), ("places", "places"))]
         blocks = blocks.select("bucket", "shard", "term", "block", "top_tf", "least_len", F.size("r").alias("size"), *columns)
         blocks.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/blocks")
-        terms = p.groupBy(self.key).agg(F.collect_list("term").alias("terms"))
+        terms = p.groupBy(self.key).agg(F.collect_list(F.struct("term", "tf")).alias("x")).select(self.key, F.col("x.term").alias("terms"), F.col("x.tf").alias("tfs"))
         lengths.join(terms, self.key, "left").repartitionByRange(self.key).sortWithinPartitions(self.key).write.parquet(f"{folder}/forward")
         return {"name": name, "docs": docs, "tokens": tokens, "postings": p.count(), "deleted": 0}
 
@@ -119,14 +119,14 @@ class SegmentedIndex:
         """
         m = self.manifest()
         name = f"{int(time.time() * 1e6):017d}-{uuid.uuid4().hex[:8]}"
-        docs = None if changed is None else settle(changed.select(self.key, *self.fields))
+        docs = None if changed is None else written(changed.select(self.key, *self.fields))
         ids = [d.select(self.key) for d in (docs, removed) if d is not None]
         if docs is not None and docs.groupBy(self.key).count().where("count > 1").limit(1).count():
             raise ValueError("a commit has two rows of one id")
         old, segments, signed = None, [dict(s) for s in m["segments"]], []
         if ids and segments:
             touched = ids[0] if len(ids) == 1 else ids[0].union(ids[1])
-            old = settle(self.alive(self.parts(m, "forward").join(touched.distinct(), self.key, "left_semi"), m))
+            old = written(self.alive(self.parts(m, "forward").join(touched.distinct(), self.key, "left_semi"), m))
             signed.append(old.select(F.explode("terms").alias("term"), F.lit(-1).alias("s")))
             for r in old.groupBy("segment").agg(F.count("*").alias("n"), F.sum("len").alias("len")).collect():  # a row a segment
                 s = next(s for s in segments if s["name"] == r.segment)
@@ -135,7 +135,7 @@ class SegmentedIndex:
         folder = f"{self.store.root}/commits/{name}"
         (old if old is not None else self.spark.createDataFrame([], f"segment string, {self.key} {self._id_type(docs, removed)}")).select("segment", self.key).write.parquet(f"{folder}/deleted")
         if docs is not None:
-            postings = settle(self.postings(docs))
+            postings = written(self.postings(docs))
             lengths = docs.select(self.key).join(postings.groupBy(self.key).agg(F.first("len").alias("len")), self.key, "left").withColumn("len", F.coalesce("len", F.lit(0)).cast("long"))
             made = self.write_segment(name, postings, lengths)
             segments.append(made)
@@ -188,9 +188,9 @@ class SegmentedIndex:
         return self.alive(x.select(*rest, *[F.col(f"x.{a}").alias(c) for a, c in arrays.items()]), m)
 
     def blocks_of(self, m: dict, terms: DataFrame) -> DataFrame:
-        """Blocks of live segments that hold one of the terms; other folders aren't listed."""
+        """Blocks of live segments that hold one of the terms (a written table, so that its size is known); other folders aren't listed."""
         wanted = [r[0] for r in terms.select(F.pmod(F.hash("term"), F.lit(BUCKETS))).distinct().collect()]  # BUCKETS numbers at most
-        return self.parts(m, "blocks").where(F.col("bucket").isin(wanted)).join(terms.select("term").distinct(), "term", "left_semi")
+        return self.parts(m, "blocks").where(F.col("bucket").isin(wanted)).join(terms.select("term"), "term", "left_semi")
 
     def whole(self) -> LexicalIndex:
         """All that is live, as the index that lexical.bm25() takes."""
@@ -207,79 +207,82 @@ class SegmentedIndex:
         second table has query_id, terms, blocks, opened (blocks whose postings were scored) and
         threshold.
 
-        1. A query's blocks of the largest bounds are opened. The k-th best of the sums so far is a
-           threshold that the k best documents can't be below.
+        1. A query's blocks of the largest bounds are opened, and the documents that lead there are
+           scored in full by their forward rows: the k-th best is a threshold for all others.
         2. Terms whose bounds together stay below the threshold can't make a document a result.
            Of the other terms, blocks are opened whose bound with the best of all other terms
            reaches the threshold: every result lies in such blocks alone.
-        3. Documents found there, as far as they can still reach the threshold, get what the
-           remaining terms add.
+        3. Documents found there that can still reach the threshold are scored in full.
         """
         m = self.manifest()
-        u = settle(units(queries, text))
+        u = units(queries, text)
         sizes = u.groupBy("query_id", "unit").agg(F.count("*").alias("parts"), F.min("term").alias("term"))
         docs, average = F.lit(m["docs"]), F.lit(m["tokens"] / max(1, m["docs"]))
         asked = sizes.where("parts = 1").select("query_id", "term").join(self.frequencies(m), "term").select("query_id", "term", weight(docs, F.col("n")).alias("w"))
-        asked = settle(asked.groupBy("query_id", "term").agg(F.sum("w").alias("w")))  # a term that is asked for twice counts twice
+        asked = written(asked.groupBy("query_id", "term").agg(F.sum("w").alias("w")))  # a term that is asked for twice counts twice
         share: Column = F.col("w") * saturation(F.col("tf"), F.col("len"), average)
-        held = self.blocks_of(m, asked)
+        held = self.blocks_of(m, written(asked.select("term").distinct().coalesce(1)))
         place = ["segment", "shard", "term", "block"]
         bounds = held.select(*place, (F.col("top_tf") * (K1 + 1) / (F.col("top_tf") + K1 * ((1 - B) + B * F.col("least_len") / average))).alias("most"))
-        bounds = settle(asked.join(settle(bounds), "term").withColumn("bound", F.expr("w * most")).drop("most"))
+        bounds = written(asked.join(bounds, "term").withColumn("bound", F.expr("w * most")).drop("most"))
         more = self._phrase_hits(m, u, sizes)
 
-        best = top(bounds, [F.desc("bound"), *place], FIRST, "k").drop("k")
+        best = written(top(bounds, [F.desc("bound"), *place], FIRST, "k").select("query_id", *place, "w"))
         seen = self._sums(held, best, share, m)
         if more is not None:
             seen = seen.unionByName(more)
         seen = seen.groupBy("query_id", "id").agg(F.sum("share").alias("s"))
-        least = top(seen, [F.desc("s"), F.asc("id")], k, "k").groupBy("query_id").agg(F.when(F.max("k") == k, F.min("s")).alias("t"))
+        leading = written(top(seen, [F.desc("s"), F.asc("id")], 4 * k, "k").select("query_id", "id"))
+        exact = top(self._scored(leading, asked, share, more, m), [F.desc("bm25"), F.asc("id")], k, "k")
+        least = exact.groupBy("query_id").agg(F.when(F.max("k") == k, F.min("bm25")).alias("t"))
         terms = bounds.groupBy("query_id", "term").agg(F.max("bound").alias("best"), F.count("*").alias("blocks"))
         terms = terms.join(least, "query_id", "left").withColumn("t", F.coalesce("t", F.lit(0.0)) - SLACK)
-        up = W.partitionBy("query_id").orderBy("best", "term")
         if more is not None:  # phrases are scored in full; they may add to any document
             every = more.groupBy("query_id", "unit").agg(F.max("share").alias("x")).groupBy("query_id").agg(F.sum("x").alias("extra"))
             terms = terms.join(every, "query_id", "left").na.fill(0.0, ["extra"])
         else:
             terms = terms.withColumn("extra", F.lit(0.0))
+        up = W.partitionBy("query_id").orderBy("best", "term")
         terms = terms.withColumn("below", F.sum("best").over(up)).withColumn("all", F.sum("best").over(W.partitionBy("query_id")))
-        terms = settle(terms.withColumn("essential", F.col("below") + F.col("extra") >= F.col("t")))
+        terms = written(terms.withColumn("essential", F.col("below") + F.col("extra") >= F.col("t")))
         opened = bounds.join(terms.where("essential").select("query_id", "term", "best", "all", "extra", "t"), ["query_id", "term"]).where("bound + all - best + extra >= t")
-        opened = settle(opened.select("query_id", *place, "w"))
+        opened = written(opened.select("query_id", *place, "w"))
         found = self._sums(held, opened, share, m)
         if more is not None:
             found = found.unionByName(more)
-        found = settle(found.groupBy("query_id", "id").agg(F.sum("share").alias("s")))
-        # the threshold may have risen; what the other terms add is bounded by their sum
-        again = top(found, [F.desc("s"), F.asc("id")], k, "k").groupBy("query_id").agg(F.when(F.max("k") == k, F.min("s")).alias("t2"))
-        rest = terms.where("not essential").groupBy("query_id").agg(F.sum("best").alias("rest"))
-        alive = found.join(again, "query_id", "left").join(rest, "query_id", "left").where(f"s + coalesce(rest, 0) >= coalesce(t2, 0) - {SLACK}").select("query_id", "id", "s")
-        alive = settle(alive)
-        others = terms.where("not essential").select("query_id", "term").join(asked, ["query_id", "term"])
-        x = self._exploded(self.blocks_of(m, others).select("segment", "term", "ids", "tfs", "ns", "lens"), m).withColumnRenamed(self.key, "id")
-        x = x.join(alive.select("id").distinct(), "id", "left_semi")
-        added = x.join(others, "term").join(alive.select("query_id", "id"), ["query_id", "id"]).select("query_id", "id", share.alias("s"))
-        whole = alive.union(added).groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("bm25"))
+        # what the other terms add is bounded by their sum
+        reach = terms.groupBy("query_id").agg(F.first("t").alias("t"), F.sum(F.when(F.col("essential"), 0.0).otherwise(F.col("best"))).alias("rest"))
+        alive = found.groupBy("query_id", "id").agg(F.sum("share").alias("s")).join(reach, "query_id", "left").where("s + coalesce(rest, 0) >= coalesce(t, 0)").select("query_id", "id")
+        scored = self._scored(written(alive), asked, share, more, m)
         read = terms.groupBy("query_id").agg(F.count("*").alias("terms"), F.sum("blocks").alias("blocks"), F.first("t").alias("threshold"))
         read = read.join(opened.groupBy("query_id").agg(F.count("*").alias("opened")), "query_id", "left").select("query_id", "terms", "blocks", F.coalesce("opened", F.lit(0)).alias("opened"), "threshold")
-        return top(whole, [F.desc("bm25"), F.asc("id")], k), read
+        return top(scored, [F.desc("bm25"), F.asc("id")], k), read
+
+    def _scored(self, pairs: DataFrame, asked: DataFrame, share: Column, more: DataFrame | None, m: dict) -> DataFrame:
+        """(query_id, id, bm25) of the pairs (query_id, id), a written table, by the documents' forward rows."""
+        rows = self.alive(self.parts(m, "forward").join(pairs.select(F.col("id").alias(self.key)), self.key, "left_semi"), m)
+        x = rows.select(F.col(self.key).alias("id"), "len", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("id", "len", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
+        hits = x.join(asked, "term").join(pairs, ["query_id", "id"], "left_semi").select("query_id", "id", share.alias("share"))
+        if more is not None:
+            hits = hits.union(more.join(pairs, ["query_id", "id"], "left_semi").select("query_id", "id", "share"))
+        return hits.groupBy("query_id", "id").agg(F.round(F.sum("share"), 6).alias("bm25"))
 
     def _sums(self, held: DataFrame, wanted: DataFrame, share: Column, m: dict) -> DataFrame:
         """(query_id, id, share, unit) of the postings of the wanted blocks (query_id, place, w)."""
         place = ["segment", "shard", "term", "block"]
-        needed = held.join(wanted.select(*place).distinct(), place, "left_semi")
+        needed = held.join(wanted.select(*place), place, "left_semi")
         x = needed.select(*place, F.explode(F.arrays_zip("ids", "tfs", "lens")).alias("x")).select(*place, F.col("x.ids").alias(self.key), F.col("x.tfs").alias("tf"), F.col("x.lens").alias("len"))
         x = self.alive(x, m).withColumnRenamed(self.key, "id")
         return x.join(wanted, place).select("query_id", "id", share.alias("share"), F.lit(None).cast("string").alias("unit"))
 
     def _phrase_hits(self, m: dict, u: DataFrame, sizes: DataFrame) -> DataFrame | None:
         """What units of several terms add, scored in full: (query_id, id, share, unit)."""
-        several = settle(u.join(sizes.where("parts > 1").select("query_id", "unit", "parts"), ["query_id", "unit"]))
+        several = written(u.join(sizes.where("parts > 1").select("query_id", "unit", "parts"), ["query_id", "unit"]))
         if several.isEmpty():
             return None
-        postings = self._exploded(self.blocks_of(m, several), m, positions=True).withColumnRenamed(self.key, "id")
+        postings = self._exploded(self.blocks_of(m, written(several.select("term").distinct())), m, positions=True).withColumnRenamed(self.key, "id")
         lengths = postings.select("id", "len").distinct()
         index = LexicalIndex(postings.select("term", "id", "places"), lengths, self.frequencies(m), lengths)
         hits = phrases(index, several).join(lengths, "id")
         average = F.lit(m["tokens"] / max(1, m["docs"]))
-        return settle(hits.select("query_id", "id", (weight(F.lit(m["docs"]), F.col("n")) * saturation(F.col("tf"), F.col("len"), average)).alias("share"), "unit"))
+        return written(hits.select("query_id", "id", (weight(F.lit(m["docs"]), F.col("n")) * saturation(F.col("tf"), F.col("len"), average)).alias("share"), "unit"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,10 @@ def shared(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     settle_dir(spark)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: like settle(), with a size by which Spark decides on joins."""
+    path = f"{shared(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

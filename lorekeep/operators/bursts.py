@@ -27,18 +27,6 @@ def author_key(author_id: Column, author_name: Column) -> Column:
     return F.when(own != "", F.concat(F.lit("id:"), own)).otherwise(F.concat(F.lit("name:"), name))
 
 
-def islands(records: DataFrame) -> DataFrame:
-    """records with `island`: a new one where parent or author changes or the gap exceeds 15 minutes.
-
-    Islands are found by window functions; only the bounds on number and length need a fold.
-    """
-    w = W.partitionBy("parent_artifact_id").orderBy("occurred_at", "artifact_id")
-    key = author_key(F.col("author_id"), F.col("author_name"))
-    r = records.withColumn("author_key", key)
-    new = F.coalesce((F.lag("author_key").over(w) != F.col("author_key")) | (F.unix_micros("occurred_at") - F.unix_micros(F.lag("occurred_at").over(w)) > int(GAP.total_seconds() * 1e6)), F.lit(True))
-    return r.withColumn("__new", new.cast("int")).withColumn("island", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__new")
-
-
 def line_of(author_name: str, author_id: str, text: str) -> str:
     name, words = author_name or author_id, " ".join(text.split())
     return f"{name}: {words}" if name else words
@@ -70,29 +58,42 @@ def burst_row(rows: list[dict]) -> dict:
     }
 
 
-def fold(island: pd.DataFrame) -> pd.DataFrame:
-    """Cut one island at 8 records and before the rendered text would exceed 2,000 characters."""
-    out, held = [], []
-    for r in island.sort_values(["occurred_at", "artifact_id"]).to_dict("records"):
-        r["participant_names"], r["reactions"] = list(r["participant_names"]), list(r["reactions"])
-        if held and (len(held) >= RECORDS or len(rendered([*held, r])) > CHARACTERS):
-            out.append(burst_row(held))
-            held = []
-        held.append(r)
-    out.append(burst_row(held))
-    return pd.DataFrame(out, columns=[f.split(" ")[0] for f in FIELDS.split(", ")])
+def fold(batches):
+    """Task: records by parent and in order to bursts.
+
+    A burst ends where parent or author changes, after a gap of more than 15 minutes, at 8 records
+    and before its text would exceed 2,000 characters. Only the open burst is held, however long a
+    conversation is.
+    """
+    columns, held, rows = [f.split(" ")[0] for f in FIELDS.split(", ")], [], []
+    for pdf in batches:
+        for r in pdf.to_dict("records"):
+            r["participant_names"], r["reactions"] = list(r["participant_names"]), list(r["reactions"])
+            if held:
+                last = held[-1]
+                same = r["parent_artifact_id"] == last["parent_artifact_id"] and r["author_key"] == last["author_key"] and r["occurred_at"] - last["occurred_at"] <= GAP
+                if not same or len(held) >= RECORDS or len(rendered([*held, r])) > CHARACTERS:
+                    rows.append(burst_row(held))
+                    held = []
+            held.append(r)
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+            rows = []
+    if held:
+        yield pd.DataFrame([burst_row(held)], columns=columns)
 
 
 def group_bursts(records: DataFrame) -> DataFrame:
     """Bursts of live records: deleted and redacted ones are left out, missing texts and lists are empty.
 
-    A task folds an island at a time, not a whole conversation.
+    Records are sorted once, by parent and time, and folded as they stream by.
     """
-    texts = ("parent_title", "source", "source_instance", "entity", "author_id", "author_name", "text", "classification", "artifact_uri")
+    texts = ("parent_artifact_id", "parent_title", "source", "source_instance", "entity", "author_id", "author_name", "text", "classification", "artifact_uri")
     empty = F.array().cast("array<string>")
-    r = records.where("not coalesce(deleted, false) and not coalesce(redacted, false)")
+    r = records.where("not coalesce(deleted, false) and not coalesce(redacted, false) and occurred_at is not null")
     r = r.withColumns({c: F.coalesce(c, F.lit("")) for c in texts} | {c: F.coalesce(c, empty) for c in ("participant_names", "reactions")} | {"attachment_link": F.coalesce("attachment_link", F.lit(False))})
-    return islands(r).groupBy("parent_artifact_id", "island").applyInPandas(lambda pdf: fold(pdf), FIELDS)
+    r = r.withColumn("author_key", author_key(F.col("author_id"), F.col("author_name"))).drop("deleted", "redacted")
+    return r.repartition("parent_artifact_id").sortWithinPartitions("parent_artifact_id", "occurred_at", "artifact_id").mapInPandas(fold, FIELDS)
 
 
 def simple_bursts(records: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ BASE32 = "abcdefghijklmnopqrstuvwxyz234567"
 
 def base32_hex(digest: Column, length: int = 32) -> Column:
     """Lower-case base32 of the first 5 * length bits of a hex string: each 10 hex digits give 8 letters."""
-    letter = lambda i: F.substring(F.lit(BASE32), (F.shiftrightunsigned(F.conv(F.substring(digest, (F.floor(i / 8) * 10 + 1).cast("int"), F.lit(10)), 16, 10).cast("long"), 0).bitwiseAND(F.lit(2**40 - 1)) / F.pow(F.lit(2.0), 35 - 5 * (i % 8))).cast("long").bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), letter), "")
+    groups = [F.lpad(F.conv(F.substring(digest, 10 * i + 1, 10), 16, 32), 8, "0") for i in range(-(-length // 8))]
+    return F.translate(F.substring(F.concat(*groups), 1, length), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def digest_id(prefix: str, *parts: Column) -> Column:

@@ -1,8 +1,10 @@
 """Event batches applied to current state: ordering, tombstones, cascades, coverage, redaction, receipts.
 
-Exact path: events of one source instance are folded in order, since a cascade or a re-parenting
-makes later events depend on earlier ones; instances are folded in parallel. Set path: batches of
-upserts only are folded per key with grouped aggregates.
+Exact path: events that may depend on each other are folded in order. A cascade, a claim and a new
+parent reach along the hierarchy only, so a unit is what hierarchy and events connect, mostly a
+conversation with what it holds, and units are folded in parallel, however large a source instance
+is. Records that no event reaches aren't read by the fold. Set path: batches of upserts only are
+folded per key with grouped aggregates.
 """
 
 from __future__ import annotations
@@ -16,13 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.identity import canonical
+from ..functions.identity import artifact_id, canonical
+from ..staging import written
 
 #: source_version prefixes of the tombstones that a later sighting revives.
 DERIVED = ("coverage:", "cascade:")
 EVENT = "batch_seq long, batch_id string, source string, source_instance string, observed_at timestamp, ordinal int, record string, operation string, entity string, external_id string, parent_entity string, parent_external_id string, source_sequence long, source_updated_at timestamp, source_version string, payload string, covered_from timestamp, covered_to timestamp"
 STATE = "source string, source_instance string, artifact_id string, entity string, external_id string, parent_artifact_id string, payload string, payload_sha256 string, occurred_at string, source_sequence long, source_updated_at timestamp, source_version string, first_observed_at timestamp, last_observed_at timestamp, last_event_id string, deleted_at timestamp, redacted_at timestamp"
-LOG = "source string, source_instance string, batch_id string, ordinal int, event_id string, artifact_id string, disposition string, derived boolean, source_version string, payload string"
+LOG = "source string, source_instance string, batch_id string, ordinal int, event_id string, artifact_id string, disposition string, derived boolean, source_version string, payload string, batch_seq long, dirty_before string, dirty_after string"
+#: Rows that one task folds, units permitting, and the most levels that a closure may climb.
+A_TASK, LEVELS = 50_000, 64
 _NULL = hashlib.sha256(b"null").hexdigest()
 
 
@@ -65,8 +70,8 @@ class Instance:
         if parent:
             self.children.setdefault(parent, set()).add(child)
 
-    def _note(self, e: dict, event: str, artifact: str, disposition: str, derived: bool = False, version: str | None = None, payload: str | None = None) -> None:
-        self.log.append({"source": self.source, "source_instance": self.instance, "batch_id": e["batch_id"], "ordinal": -1 if derived else e["ordinal"], "event_id": event, "artifact_id": artifact, "disposition": disposition, "derived": derived, "source_version": version if derived else e["source_version"], "payload": payload})
+    def _note(self, e: dict, event: str, artifact: str, disposition: str, derived: bool = False, version: str | None = None, payload: str | None = None, dirty: tuple = (None, None)) -> None:
+        self.log.append({"source": self.source, "source_instance": self.instance, "batch_id": e["batch_id"], "ordinal": -1 if derived else e["ordinal"], "event_id": event, "artifact_id": artifact, "disposition": disposition, "derived": derived, "source_version": version if derived else e["source_version"], "payload": payload, "batch_seq": e["batch_seq"], "dirty_before": dirty[0], "dirty_after": dirty[1]})
 
     def key(self, entity: str, external: str) -> str:
         return _id("art_", self.source, self.instance, entity, external)
@@ -84,6 +89,16 @@ class Instance:
             at, hops = self.rows[at]["parent_artifact_id"] if at in self.rows else None, hops + 1
         return parent
 
+    def reader(self, row: dict | None) -> str | None:
+        """The record whose bursts hold a row: a message's or cue's parent, a conversation or transcript itself, a file's message's parent."""
+        if row is None:
+            return None
+        if row["entity"] in ("message", "transcript-cue"):
+            return row["parent_artifact_id"]
+        if row["entity"] == "attachment":
+            return self.rows[row["parent_artifact_id"]]["parent_artifact_id"] if row["parent_artifact_id"] in self.rows else None
+        return row["artifact_id"] if row["entity"] in ("conversation", "transcript") else None
+
     @staticmethod
     def compare(row: dict, e: dict, sha: str) -> str:
         """newer, stale or conflict: by sequence, else time, else version; equal order needs an equal payload."""
@@ -108,14 +123,14 @@ class Instance:
         row, upsert = self.rows.get(artifact), e["operation"] == "upsert"
         fields = {"payload": payload, "payload_sha256": sha, "occurred_at": (json.loads(payload) or {}).get("occurred_at") if upsert else None}
         order = {c: e[c] for c in ("source_sequence", "source_updated_at", "source_version")}
-        now = e["observed_at"]
+        now, before = e["observed_at"], self.reader(row)
         if event in self.seen:
             revive = row is not None and row["redacted_at"] is None and upsert and self.seen[event] is not None and self.derived_tombstone(row) and now > row["deleted_at"]
             if revive:
                 self.keep(row)
                 row.update(fields, **order, parent_artifact_id=parent, last_observed_at=now, last_event_id=event, last_version=e["source_version"], deleted_at=None)
                 self._hang(artifact, parent)
-            self._note(e, event, artifact, "accepted" if revive else "unchanged")
+            self._note(e, event, artifact, "accepted" if revive else "unchanged", dirty=(before, self.reader(row)) if revive else (None, None))
             return
         if row is not None and row["redacted_at"] is not None and e["operation"] != "redact":
             self.see(event, None)
@@ -153,7 +168,7 @@ class Instance:
         self.see(event, payload)
         self.owner = getattr(self, "owner", {})
         self.owner.setdefault(artifact, set()).add(event)
-        self._note(e, event, artifact, disposition, payload=None if disposition == "redacted" else payload)
+        self._note(e, event, artifact, disposition, payload=None if disposition == "redacted" else payload, dirty=(before, self.reader(row)))
         if disposition == "tombstone":
             self.cascade(e, artifact, event)
 
@@ -165,7 +180,7 @@ class Instance:
         self.keep(row)
         row.update(deleted_at=e["observed_at"], last_observed_at=e["observed_at"], last_event_id=event, last_version=version)
         self.see(event, None)
-        self._note(e, event, row["artifact_id"], "tombstone", True, version)
+        self._note(e, event, row["artifact_id"], "tombstone", True, version, dirty=(self.reader(row),) * 2)
         return event
 
     def cascade(self, e: dict, artifact: str, cause: str) -> None:
@@ -241,6 +256,7 @@ def apply_events(events: DataFrame, state: DataFrame | None = None, log: DataFra
     'rejected' and the reason as its payload, while other batches go on.
     """
     spark = events.sparkSession
+    units = hierarchy_units(events, state, together=not strict)
     state = spark.createDataFrame([], STATE) if state is None else state
     log = spark.createDataFrame([], LOG) if log is None else log
     names, logged = _columns(STATE), _columns(LOG)
@@ -269,10 +285,70 @@ def apply_events(events: DataFrame, state: DataFrame | None = None, log: DataFra
         final += [{"kind": "log"} | {f"log_{c}": (None if c == "payload" and r["artifact_id"] in gone else r[c]) for c in logged} for r in past + inst.log]
         return pd.DataFrame(final, columns=["kind", *both], dtype=object)
 
-    left = state.select(F.lit("state").alias("kind"), *names, *[F.lit(None).cast(t.split(" ")[1]).alias(f"log_{t.split(' ')[0]}") for t in LOG.split(", ")])
-    past = log.select(F.lit("log").alias("kind"), F.col("source"), F.col("source_instance"), *[F.lit(None).cast(t.split(" ")[1]).alias(t.split(" ")[0]) for t in STATE.split(", ")[2:]], *[F.col(c).alias(f"log_{c}") for c in logged])
-    done = events.groupBy("source", "source_instance").cogroup(left.unionByName(past).groupBy("source", "source_instance")).applyInPandas(run, out)
-    return done.where("kind = 'state'").select(names), done.where("kind = 'log'").select(*[F.col(f"log_{c}").alias(c) for c in logged])
+    total = events.count() + units.count()
+    unit = units.select("artifact_id", F.pmod(F.xxhash64("unit"), F.lit(max(1, -(-total // A_TASK)))).cast("int").alias("part"))
+    own = F.when(F.col("record") == "event", artifact_id(F.col("source"), F.col("source_instance"), F.col("entity"), F.col("external_id"))).otherwise(artifact_id(F.col("source"), F.col("source_instance"), F.col("parent_entity"), F.col("parent_external_id")))
+    dealt = events.withColumn("artifact_id", own).join(unit, "artifact_id").drop("artifact_id")
+    known = unit.select("artifact_id", (F.col("part") + 0).alias("part"))  # a column of its own, for the two sides of the cogroup
+    near, far = state.join(known, "artifact_id"), state.join(unit, "artifact_id", "left_anti").select(names)
+    told, untold = log.join(known, "artifact_id"), log.join(unit, "artifact_id", "left_anti").select(logged)
+    left = near.select(F.lit("state").alias("kind"), *names, *[F.lit(None).cast(t.split(" ")[1]).alias(f"log_{t.split(' ')[0]}") for t in LOG.split(", ")], "part")
+    past = told.select(F.lit("log").alias("kind"), F.col("source"), F.col("source_instance"), *[F.lit(None).cast(t.split(" ")[1]).alias(t.split(" ")[0]) for t in STATE.split(", ")[2:]], *[F.col(c).alias(f"log_{c}") for c in logged], "part")
+    keys = ["source", "source_instance", "part"]
+    # written once, since state and log are both read from it
+    done = written(dealt.groupBy(*keys).cogroup(left.unionByName(past).groupBy(*keys)).applyInPandas(run, out))
+    return done.where("kind = 'state'").select(names).unionByName(far), done.where("kind = 'log'").select(*[F.col(f"log_{c}").alias(c) for c in logged]).unionByName(untold)
+
+
+def hierarchy_units(events: DataFrame, state: DataFrame | None, *, together: bool = False) -> DataFrame:
+    """(artifact_id, unit): records that events name or reach, and what they are connected with.
+
+    Old and new parents connect, so a record that moves brings both trees into one unit. together:
+    a batch connects all that it names, since it is accepted or rejected as a whole.
+    """
+    key = lambda entity, external: artifact_id(F.col("source"), F.col("source_instance"), F.col(entity), F.col(external))
+    parent = F.when(F.col("parent_entity").isNotNull(), key("parent_entity", "parent_external_id"))
+    named = events.select(F.when(F.col("record") == "event", key("entity", "external_id")).otherwise(parent).alias("u"), F.coalesce(parent, key("entity", "external_id")).alias("v"), "batch_id")
+    edges = named.select("u", "v")
+    if together:
+        edges = edges.union(named.select("u", F.concat(F.lit("batch:"), "batch_id")))
+    edges = written(edges.distinct())
+    if state is not None:
+        edges = edges.union(reached(edges, state.select(F.col("artifact_id").alias("u"), F.col("parent_artifact_id").alias("v"))))
+    both = edges.union(edges.select("v", "u")).distinct()
+    return smallest_reachable(written(both)).toDF("artifact_id", "unit")
+
+
+def reached(edges: DataFrame, tree: DataFrame) -> DataFrame:
+    """Edges (u, v) of the tree (u child, v parent or null; a root's edge leads to itself) that nodes of edges lead to, up and down."""
+    seen = written(edges.select("u").union(edges.select("v")).distinct())
+    frontier, out = seen, None
+    for _ in range(LEVELS):  # up to the roots and down to the leaves of all that events name
+        up = tree.join(frontier.toDF("u"), "u", "left_semi").select("u", F.coalesce("v", "u").alias("v"))
+        down = tree.join(frontier.toDF("v"), "v", "left_semi").select("u", "v")
+        more = written(up.union(down).distinct())
+        out = more if out is None else out.union(more)
+        frontier = written(more.select("u").union(more.select("v")).distinct().join(seen, "u", "left_anti"))
+        if frontier.isEmpty():
+            return out
+        seen = seen.union(frontier)
+    raise ValueError(f"the hierarchy has more than {LEVELS} levels")
+
+
+def smallest_reachable(edges: DataFrame) -> DataFrame:
+    """(u, label): for each node the smallest node that edges (u, v), which go both ways, connect it with.
+
+    A round takes the least label among neighbours and then the label of that label, so a path
+    shortens by half each time.
+    """
+    labels = written(edges.groupBy("u").agg(F.min("v").alias("near")).select("u", F.least("u", "near").alias("label")))
+    while True:
+        near = edges.join(labels.toDF("v", "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
+        new = labels.join(near, "u", "left").select("u", F.least("label", F.coalesce("near", "label")).alias("label"), (F.col("near") < F.col("label")).alias("moved"))
+        new = written(new)
+        if new.where("moved").isEmpty():
+            return labels
+        labels = written(new.join(new.select(F.col("u").alias("label"), F.col("label").alias("far")), "label").select("u", F.col("far").alias("label")))
 
 
 def new_batches(manifests: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -328,10 +404,21 @@ def covered(children: DataFrame, present: DataFrame, claims: DataFrame) -> DataF
 
 
 def dirty_parents(log: DataFrame, state: DataFrame) -> DataFrame:
-    """Parents whose children changed: the change feed of the burst index."""
+    """Present parents of records whose events were accepted; change_feed() knows former ones too."""
     changed = log.where("disposition in ('accepted', 'tombstone', 'redacted')").select("artifact_id").distinct()
     return state.join(changed, "artifact_id", "left_semi").select(F.coalesce("parent_artifact_id", "artifact_id").alias("parent_artifact_id")).distinct()
 
 
+def change_feed(log: DataFrame, after: int | None = None) -> DataFrame:
+    """(parent_artifact_id, change): conversations and transcripts whose bursts may differ since batch `after`.
+
+    Old and new parents of a record that moved, and the conversation of a message that got a file.
+    change is the number of the last batch that did so: what a reader keeps to ask for later ones.
+    """
+    rows = log if after is None else log.where(F.col("batch_seq") > after)
+    parents = rows.select("batch_seq", F.explode(F.array("dirty_before", "dirty_after")).alias("parent_artifact_id")).where("parent_artifact_id is not null")
+    return parents.groupBy("parent_artifact_id").agg(F.max("batch_seq").alias("change"))
+
+
 def parse_time(value: str | None) -> datetime | None:
     return None if value is None else pd.Timestamp(value).to_pydatetime()

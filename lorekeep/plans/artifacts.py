@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import artifact_id, artifact_uri
-from ..functions.vectors import embed
+from ..functions.vectors import SPARSE, embed
+from ..operators.bursts import FIELDS, group_bursts
 from ..operators.lexical import LexicalIndex, bm25, build_index, normalised, top
 from ..operators.scope import ArtifactScope, live
 from ..operators.vector import sparse_cosine
+from ..staging import written
 
 # Column weights of the records' index, result limit.
 WEIGHTS = {"title": 2.0, "author_name": 1.0, "text": 5.0, "external_id": 1.0}
@@ -53,6 +55,42 @@ def burst_records(rows: DataFrame) -> DataFrame:
     return m.select("artifact_id", F.col("uri").alias("artifact_uri"), "parent_artifact_id", "parent_title", "source", "source_instance", "entity", "author_id", "author_name", "participant_names", "reactions", "occurred_at", "text", "classification", (F.coalesce("has_file", F.lit(False)) | F.col("object_sha256").isNotNull()).alias("attachment_link"), F.col("deleted_at").isNotNull().alias("deleted"), F.col("redacted_at").isNotNull().alias("redacted"))
 
 
+def burst_digest() -> Column:
+    """SHA-256 of what makes a burst's row: its bounds, text and whether it is embedded."""
+    parts = ("burst_id", "parent_artifact_id", "author_id", "first_artifact_uri", "last_artifact_uri", "started_at", "ended_at", "record_count", "text", "embed")
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts]), 256)
+
+
+def refresh_layer(previous: tuple[DataFrame, DataFrame] | None, messages: DataFrame, dirty: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(bursts, vectors, states) from the last generation's (bursts with digest, vectors) and what changed since.
+
+    messages: as burst_records() gives. dirty: the parents (parent_artifact_id) that change_feed()
+    names; None regroups all. Bursts of other parents are taken over unread. Of the regrouped ones
+    those whose digest is known keep their vector, and only the rest are embedded. states: burst_id
+    and state: kept (parent untouched), reused, embedded (new or changed, with a vector), plain (new
+    or changed, too slight for a vector) or removed.
+    """
+    spark = messages.sparkSession
+    if previous is None:
+        previous, dirty = (spark.createDataFrame([], f"{FIELDS}, digest string"), spark.createDataFrame([], f"id string, v {SPARSE}")), None
+    old, vectors = previous
+    touched = messages if dirty is None else messages.join(dirty.select("parent_artifact_id"), "parent_artifact_id", "left_semi")
+    new = written(group_bursts(touched).withColumn("digest", burst_digest()))
+    if dirty is None:
+        kept, stale = old.where("false"), old
+    else:
+        kept, stale = (old.join(dirty.select("parent_artifact_id"), "parent_artifact_id", how).select(old.columns) for how in ("left_anti", "left_semi"))
+    known = stale.select("burst_id", "digest").withColumn("known", F.lit(True))
+    marked = written(new.join(known, ["burst_id", "digest"], "left").select(*new.columns, F.coalesce("known", F.lit(False)).alias("known")))
+    fresh = marked.where("not known and embed").select(F.col("burst_id").alias("id"), embed(F.col("text"), stored=True).alias("v"))
+    still = kept.select("burst_id").union(marked.where("known").select("burst_id"))
+    held = vectors.join(still.select(F.col("burst_id").alias("id")), "id", "left_semi").select("id", "v")
+    state = F.when(F.col("known"), "reused").when(F.col("embed"), "embedded").otherwise("plain")
+    states = kept.select("burst_id", F.lit("kept").alias("state")).union(marked.select("burst_id", state.alias("state")))
+    states = states.union(stale.join(new, "burst_id", "left_anti").select("burst_id", F.lit("removed").alias("state")))
+    return kept.unionByName(new.select(old.columns)), held.unionByName(fresh), states
+
+
 def index_records(rows: DataFrame) -> LexicalIndex:
     """The full-text index, of live records only."""
     return build_index(rows.where(live()), "artifact_id", WEIGHTS, positions=True)

@@ -730,4 +730,4 @@ def doc_diversity(spark, sf):
     return top_.groupBy("query_id").agg(F.round(F.count_distinct("source") / F.count("*"), 6).alias("diversity"))
 
 
-from . import queries_evidence, queries_index  # noqa: E402, F401  they register their queries here
+from . import queries_evidence, queries_index, queries_changes  # noqa: E402, F401, I001  they register their queries here

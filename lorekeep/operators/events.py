@@ -338,17 +338,20 @@ def reached(edges: DataFrame, tree: DataFrame) -> DataFrame:
 def smallest_reachable(edges: DataFrame) -> DataFrame:
     """(u, label): for each node the smallest node that edges (u, v), which go both ways, connect it with.
 
-    A round takes the least label among neighbours and then the label of that label, so a path
-    shortens by half each time.
+    A round lets each node follow its least neighbour, if that is smaller, and that one's choice
+    again, and joins what met into one node: only nodes smaller than all their neighbours stay, so
+    the graph shrinks by a factor each round, long paths too.
     """
-    labels = written(edges.groupBy("u").agg(F.min("v").alias("near")).select("u", F.least("u", "near").alias("label")))
-    while True:
-        near = edges.join(labels.toDF("v", "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        new = labels.join(near, "u", "left").select("u", F.least("label", F.coalesce("near", "label")).alias("label"), (F.col("near") < F.col("label")).alias("moved"))
-        new = written(new)
-        if new.where("moved").isEmpty():
-            return labels
-        labels = written(new.join(new.select(F.col("u").alias("label"), F.col("label").alias("far")), "label").select("u", F.col("far").alias("label")))
+    labels, left = None, edges.where("u <> v")
+    alone = edges.select("u").distinct()
+    while labels is None or not left.isEmpty():
+        least = left.groupBy("u").agg(F.min("v").alias("near")).select("u", F.least("u", "near").alias("p"))
+        least = written(least.join(least.select(F.col("u").alias("p"), F.col("p").alias("far")), "p").select("u", F.col("far").alias("p")))
+        before = alone.select("u", F.col("u").alias("label")) if labels is None else labels
+        labels = written(before.join(least.toDF("label", "p"), "label", "left").select("u", F.coalesce("p", "label").alias("label")))
+        joined = left.join(least.toDF("u", "pu"), "u").join(least.toDF("v", "pv"), "v").where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v"))
+        left = written(joined.distinct())
+    return labels
 
 
 def new_batches(manifests: DataFrame, ledger: DataFrame) -> DataFrame:

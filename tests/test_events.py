@@ -1,9 +1,11 @@
 import json
+import random
 from datetime import datetime
 
 import pytest
 
-from lorekeep.operators.events import EVENT, apply_events, dirty_parents, new_batches, receipts
+from lorekeep.operators import events as E
+from lorekeep.operators.events import EVENT, apply_events, change_feed, dirty_parents, new_batches, receipts
 
 T = [datetime(2024, 1, d) for d in range(1, 28)]
 NAMES = [c.split(" ")[0] for c in EVENT.split(", ")]
@@ -113,3 +115,48 @@ def test_ledger(spark):
     assert [r.batch_id for r in new_batches(spark.createDataFrame([("b1", "h1"), ("b2", "h")], ledger.schema), ledger).collect()] == ["b2"]
     with pytest.raises(Exception, match="differs"):
         new_batches(spark.createDataFrame([("b1", "other")], ledger.schema), ledger).collect()
+
+
+def test_a_move_and_a_file_mark_the_right_conversations(spark):
+    two = ev(0, 1, "c2", entity="conversation", parent=None, seq=1)
+    third = ev(0, 3, "c3", entity="conversation", parent=None, seq=1)
+    first = [conv(), two, third, ev(0, 2, "m", seq=1), ev(0, 4, "n", seq=1, parent=("conversation", "c3"))]
+    moved = [ev(1, 1, "m", seq=2, parent=("conversation", "c2"))]
+    filed = [ev(2, 1, "f", entity="attachment", parent=("message", "m"), seq=1), ev(2, 2, "n", seq=1, parent=("conversation", "c3"))]
+    s, _, _, log = run(spark, first, moved, filed)
+    ids = {s[x].artifact_id: x for x in ("c", "c2", "c3")}
+    feed = lambda after: {ids[r.parent_artifact_id]: r.change for r in change_feed(log, after).collect()}
+    assert feed(None) == {"c": 1, "c2": 2, "c3": 0} and feed(0) == {"c": 1, "c2": 2} and feed(1) == {"c2": 2} and feed(2) == {}
+
+
+def test_units_of_one_instance_are_tasks_of_their_own(spark, monkeypatch):
+    """Small tasks, and batches one by one over stored state, give what one task over all gives."""
+    rng = random.Random(4)
+    batches = [[conv(), *[ev(0, i, f"c{i}", entity="conversation", parent=None, seq=1) for i in range(1, 9)], *[ev(0, 100 + i, f"m{i}", seq=1, parent=("conversation", f"c{1 + i % 8}")) for i in range(30)]]]
+    for b in range(1, 4):
+        batches.append([ev(b, i, f"m{rng.randrange(30)}", seq=b + 1, parent=("conversation", f"c{1 + rng.randrange(8)}")) for i in range(4)] + [ev(b, 50, f"c{rng.randrange(1, 9)}", entity="conversation", parent=None, seq=b + 5, op=rng.choice(["delete", "upsert"]))])
+    key = lambda df: sorted(map(str, df.collect()))
+    at_once = apply_events(spark.createDataFrame([e for b in batches for e in b], EVENT))
+    want = key(at_once[0]), key(at_once[1])
+    monkeypatch.setattr(E, "A_TASK", 3)
+    _, _, state, log = run(spark, *batches)
+    assert (key(state), key(log)) == want
+
+
+def test_smallest_reachable(spark):
+    rng = random.Random(9)
+    path = rng.sample(range(1000, 1300), 300)
+    pairs = list(zip(path, path[1:])) + [(rng.randrange(100), rng.randrange(100)) for _ in range(60)] + [(500, x) for x in range(501, 560)] + [(900, 900)]
+    pairs = [(f"{a:04d}", f"{b:04d}") for a, b in pairs]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    edges = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "u string, v string").distinct()
+    assert {r.u: r.label for r in E.smallest_reachable(edges).collect()} == {x: root(x) for x in list(parent)}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import written
+
 #: Levels that a hierarchy may have; a deeper one, and so a cycle, is an error.
 DEPTH = 8
 
@@ -20,15 +22,18 @@ def refuse(rows: DataFrame, depth: int) -> DataFrame:
 
 
 def closure(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(node, ancestor, distance) for all ancestors, at most depth levels up or an error: unrolled equi-joins.
+    """(node, ancestor, distance) for all ancestors, at most depth levels up or an error.
 
-    nodes: node, parent.
+    nodes: node, parent. An equi-join a level, written out, until a level is empty.
     """
     edges = nodes.where("parent is not null").select("node", "parent")
+    edges = written(edges)
     up = edges.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
     out = up
     for level in range(2, depth + 2):
-        up = up.join(edges.select(F.col("node").alias("ancestor"), F.col("parent").alias("next")), "ancestor").select("node", F.col("next").alias("ancestor"), F.lit(level).alias("distance"))
+        up = written(up.join(edges.select(F.col("node").alias("ancestor"), F.col("parent").alias("next")), "ancestor").select("node", F.col("next").alias("ancestor"), F.lit(level).alias("distance")))
+        if up.isEmpty():
+            break
         out = out.unionByName(up if level <= depth else refuse(up, depth))
     return out
 
@@ -38,13 +43,15 @@ def below(edges: DataFrame, roots: DataFrame, depth: int = DEPTH, through=None)
 
     through: condition on a node (and its columns in edges) to be reached and passed.
     """
-    e = edges if through is None else edges.where(through)
+    e = written(edges if through is None else edges.where(through))
     level = roots.select("root", F.col("root").alias("at")).distinct()
     out = None
     for k in range(1, depth + 2):
-        level = level.join(e.select(F.col("parent").alias("at"), "node"), "at").select("root", F.col("node").alias("at"))
+        level = written(level.join(e.select(F.col("parent").alias("at"), "node"), "at").select("root", F.col("node").alias("at")))
         one = level.select("root", F.col("at").alias("node"), F.lit(k).alias("depth"))
         out = one if out is None else out.unionByName(one if k <= depth else refuse(one, depth))
+        if level.isEmpty():
+            break
     return out
 
 
@@ -98,12 +105,14 @@ def meeting_context(artifacts: DataFrame, links: DataFrame, meetings: DataFrame,
     kinds = "entity in ('recording', 'transcript', 'transcript-cue', 'attachment')"
     rows = artifacts.where(kinds).select("artifact_id", F.col("parent_artifact_id").alias("parent"))
     contained = links.where("relation = 'contains'").select(F.col("target").alias("artifact_id"), F.col("source").alias("parent")).join(rows.select("artifact_id"), "artifact_id", "left_semi").select("artifact_id", "parent")
-    steps = rows.union(contained).distinct()
+    steps = written(rows.union(contained).distinct())
     level = meetings.select("root", F.col("root").alias("at")).distinct()
     seen = None
     for k in range(1, depth + 2):
-        level = level.join(steps, F.expr("at = parent")).select("root", F.col("artifact_id").alias("at")).distinct()
+        level = written(level.join(steps, F.expr("at = parent")).select("root", F.col("artifact_id").alias("at")).distinct())
         seen = level if seen is None else seen.union(level if k <= depth else refuse(level, depth))
+        if level.isEmpty():
+            break
     chats = meetings.select("root").join(links.where("relation = 'related-chat'"), F.expr("root = source")).select("root", F.col("target").alias("c"))
     talk = conversation_context(artifacts, chats.select(F.col("c").alias("root")).distinct()).select(F.col("root").alias("c"), "artifact_id")
     return seen.select("root", F.col("at").alias("artifact_id")).union(chats.join(talk, "c").select("root", "artifact_id")).distinct()

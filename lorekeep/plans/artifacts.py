@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import artifact_id, artifact_uri
 from ..functions.vectors import SPARSE, embed
 from ..operators.bursts import FIELDS, group_bursts
+from ..operators.hierarchy import hidden
 from ..operators.lexical import LexicalIndex, bm25, build_index, normalised, top
 from ..operators.scope import ArtifactScope, live
 from ..operators.vector import sparse_cosine
@@ -97,8 +98,15 @@ def index_records(rows: DataFrame) -> LexicalIndex:
 
 
 def search_records(index: LexicalIndex, rows: DataFrame, queries: DataFrame, scope: ArtifactScope | None = None, limit: int = 5) -> DataFrame:
-    """query_id, artifact_id, uri, ..., score, rank: scope first, then weighted BM25, ties by id."""
+    """query_id, artifact_id, uri, ..., score, rank: scope first, then weighted BM25, ties by id.
+
+    A live record below a deleted or redacted one isn't found, where rows have parent_artifact_id.
+    """
     inside = rows.where((scope or ArtifactScope()).records())
+    if "parent_artifact_id" in rows.columns:
+        dead = F.col("deleted_at").isNotNull() | F.col("redacted_at").isNotNull()
+        under = hidden(rows.select(F.col("artifact_id").alias("node"), F.col("parent_artifact_id").alias("parent"), dead.alias("dead")))
+        inside = inside.join(under.withColumnRenamed("node", "artifact_id"), "artifact_id", "left_anti")
     found = bm25(index, queries).withColumnRenamed("id", "artifact_id").join(inside, "artifact_id").withColumn("score", normalised(F.col("bm25")))
     return top(found, [F.desc("score"), F.asc("artifact_id")], min(limit, MOST))
 

@@ -345,7 +345,7 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
     named = scratch.table(named, "components", pack=None, like="nodes")
     scratch.drop("nodes", "placed", "pairs", "blocks", "wanted", "opened", "linked", "named")
     out = rows.join(named, ["s1", "s2", "n"], "left")
-    stands = F.coalesce(F.col("first") & F.col("d").eqNullSafe(F.col("c.id")), F.lit(True))
+    stands = F.col("c").isNull() | (F.col("first") & F.col("d").eqNullSafe(F.col("c.id")))  # without shingles a row stands for itself
     return out.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("d")).otherwise(F.col("c.id")).alias("component_id"), stands.alias("stands"), F.col("w").alias("row_1"), F.col("w2").alias("row_2"))
 
 

@@ -20,8 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import index_tokens
-from ..operators.lexical import B, K1, LexicalIndex, phrases, saturation, top, units, weight
+from ..operators.lexical import B, K1, LexicalIndex, occurrences, phrases, saturation, top, units, weight
 from ..staging import written
 from .store import Store
 
@@ -87,11 +86,7 @@ class SegmentedIndex:
 
     def postings(self, docs: DataFrame) -> DataFrame:
         """term, id, tf (weighted), n, places and the document's length."""
-        fields = [F.struct(F.lit(i).cast("long").alias("f"), F.lit(float(w)).alias("w"), index_tokens(F.col(c)).alias("t")) for i, (c, w) in enumerate(self.fields.items())]
-        d = docs.select(self.key, F.array(*fields).alias("x")).withColumn("len", F.aggregate("x", F.lit(0).cast("long"), lambda s, f: s + F.size(f["t"])))
-        tokens = d.select(self.key, "len", F.explode("x").alias("x")).select(self.key, "len", "x.f", "x.w", F.posexplode("x.t").alias("p", "term"))
-        at = F.array_sort(F.collect_list(F.shiftleft(F.col("f"), 32) + F.col("p"))).alias("places")
-        return tokens.groupBy("term", self.key).agg(F.sum("w").alias("tf"), F.count("*").alias("n"), F.first("len").alias("len"), at)
+        return occurrences(docs, self.fields, self.key)
 
     def write_segment(self, name: str, postings: DataFrame, lengths: DataFrame) -> dict:
         """Write a segment; lengths (id, len) also has documents without tokens."""

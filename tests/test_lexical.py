@@ -57,3 +57,16 @@ def test_containing(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     p = spark.createDataFrame(list(enumerate(phrases)), "phrase_id long, phrase string")
     assert {(r.id, r.phrase_id) for r in containing(d, p).collect()} == {(i, j) for i, t in enumerate(texts) if t is not None for j, x in enumerate(phrases) if x in t}
+
+
+def test_tokens_are_counted_where_texts_are_read(spark):
+    """bm25_topk, bm25_best_per_group, lexical_norm, eval_recall_mrr, doc_diversity: only what is asked for is shuffled, by document."""
+    docs = spark.createDataFrame([(1, "Ärger ärger über x"), (2, None), (3, "über uber"), (3, "Uber y")], "id long, text string")
+    index = build_index(docs, "id", {"text": 1.0}, positions=True)
+    rows = sorted((r.term, r.id, r.tf, r.n, r.len, r.places) for r in index.postings.collect())
+    assert rows == [("arger", 1, 2.0, 2, 4, [0, 1]), ("uber", 1, 1.0, 1, 4, [2]), ("uber", 3, 3.0, 3, 4, [0, 0, 1]), ("x", 1, 1.0, 1, 4, [3]), ("y", 3, 1.0, 1, 4, [1])]
+    assert sorted(map(tuple, index.lengths.collect())) == [(1, 4), (2, 0), (3, 4)]
+    once = build_index(docs.where("id < 3"), "id", {"text": 1.0})
+    assert "Exchange" not in once.postings._jdf.queryExecution().executedPlan().toString()
+    scored = bm25(once, spark.createDataFrame([(1, "x arger")], "query_id int, query string"))
+    assert not any("hashpartitioning(query_id" in line and ", id#" in line for line in scored._jdf.queryExecution().executedPlan().toString().splitlines())

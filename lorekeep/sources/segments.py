@@ -89,12 +89,12 @@ class SegmentedIndex:
         return occurrences(docs, self.fields, self.key)
 
     def write_segment(self, name: str, postings: DataFrame, lengths: DataFrame) -> dict:
-        """Write a segment; lengths (id, len) also has documents without tokens."""
+        """Write a segment of postings, a written table; lengths (id, len) also has documents without tokens."""
         folder = f"{self.store.root}/segments/{name}"
         lengths = written(lengths)
         docs, tokens = lengths.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
         shards, average = max(1, -(-docs // self.shard)), max(1.0, tokens / max(1, docs))
-        p = written(postings.withColumn("bucket", F.pmod(F.hash("term"), F.lit(BUCKETS))).withColumn("shard", F.pmod(F.hash(self.key), F.lit(shards))))
+        p = postings.withColumn("bucket", F.pmod(F.hash("term"), F.lit(BUCKETS))).withColumn("shard", F.pmod(F.hash(self.key), F.lit(shards)))
         order = W.partitionBy("bucket", "shard", "term").orderBy(saturation(F.col("tf"), F.col("len"), F.lit(average)).desc(), self.key)
         p = p.repartition("bucket", "shard").withColumn("block", F.floor((F.row_number().over(order) - 1) / self.block).cast("int"))
         rows = F.array_sort(F.collect_list(F.struct(self.key, "tf", "n", "len", "places")))
@@ -102,9 +102,12 @@ class SegmentedIndex:
         columns = [F.col(f"r.{c}").alias(a) for c, a in ((self.key, "ids"), ("tf", "tfs"), ("n", "ns"), ("len", "lens"), ("places", "places"))]
         blocks = blocks.select("bucket", "shard", "term", "block", "top_tf", "least_len", F.size("r").alias("size"), *columns)
         blocks.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/blocks")
-        terms = p.groupBy(self.key).agg(F.collect_list(F.struct("term", "tf")).alias("x")).select(self.key, F.col("x.term").alias("terms"), F.col("x.tf").alias("tfs"))
-        lengths.join(terms, self.key, "left").repartitionByRange(self.key).sortWithinPartitions(self.key).write.parquet(f"{folder}/forward")
-        return {"name": name, "docs": docs, "tokens": tokens, "postings": p.count(), "deleted": 0}
+        # one shuffle: ranges of ids also hold all rows of an id; documents without tokens have a row without a term
+        rows = postings.select(self.key, F.lit(None).cast("long").alias("len"), F.struct("term", "tf").alias("x")).unionByName(lengths.select(self.key, F.col("len").cast("long").alias("len"), F.lit(None).cast("struct<term:string,tf:double>").alias("x")))
+        forward = rows.repartitionByRange(self.key).groupBy(self.key).agg(F.max("len").alias("len"), F.collect_list("x").alias("x"))
+        forward = forward.select(self.key, "len", *[F.when(F.size("x") > 0, F.col(f"x.{c}")).alias(f"{c}s") for c in ("term", "tf")])
+        forward.sortWithinPartitions(self.key).write.parquet(f"{folder}/forward")
+        return {"name": name, "docs": docs, "tokens": tokens, "postings": postings.count(), "deleted": 0}
 
     def commit(self, changed: DataFrame | None = None, removed: DataFrame | None = None) -> str:
         """Insert or replace documents (one row an id), remove others; returns the manifest's name.
@@ -168,7 +171,7 @@ class SegmentedIndex:
             part = m | {"segments": full}
             name = f"{int(time.time() * 1e6):017d}-{uuid.uuid4().hex[:8]}"
             lengths = self.alive(self.parts(part, "forward"), part).select(self.key, "len")
-            made = self.write_segment(name, self._exploded(self.parts(part, "blocks"), part, positions=True).drop("segment"), lengths)
+            made = self.write_segment(name, written(self._exploded(self.parts(part, "blocks"), part, positions=True).drop("segment")), lengths)
             kept = [s for s in m["segments"] if s["name"] not in {x["name"] for x in full}]
             self._publish(name, {"segments": [*kept, made], "docs": m["docs"], "tokens": m["tokens"], "commits": m["commits"]}, m["name"])
             done = name

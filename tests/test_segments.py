@@ -87,3 +87,17 @@ def test_few_blocks_are_opened_where_a_rare_word_decides(spark, tmp_path):
     assert [r.id for r in found.orderBy("rank").collect()] == [0, 97, 194]
     r = read.first()
     assert r.blocks > 200 and r.opened <= 2
+
+
+def test_a_commit_shuffles_postings_twice(spark, tmp_path, monkeypatch):
+    """signed_frequencies, bm25_three_generations, bm25_block_max: a commit writes postings once, then blocks and forward rows."""
+    from lorekeep.sources import segments as S
+
+    sizes = []
+    monkeypatch.setattr(S, "written", lambda df, real=S.written: sizes.append(df.columns) or real(df))
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, "b")], "id long, text string")
+    index = S.SegmentedIndex(S.Store(spark, str(tmp_path / "i")), {"text": 1.0})
+    index.commit(docs)
+    assert sum("places" in c for c in sizes) == 1
+    rows = index.parts(index.manifest(), "forward").select("id", "len", "terms", "tfs").collect()
+    assert sorted((r.id, r.len, sorted(zip(r.terms or [], r.tfs or []))) for r in rows) == [(1, 3, [("a", 2.0), ("b", 1.0)]), (2, 0, []), (3, 1, [("b", 1.0)])]

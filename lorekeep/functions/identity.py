@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BASE32 = "abcdefghijklmnopqrstuvwxyz234567"
+_CANONICAL = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode
 
 
 def base32_hex(digest: Column, length: int = 32) -> Column:
@@ -39,7 +40,7 @@ def artifact_uri(entity: Column, artifact: Column) -> Column:
 
 def canonical(value) -> str:
     """JSON with sorted keys, no spaces, non-ASCII kept."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _CANONICAL(value)
 
 
 def canonical_json(document: Column) -> Column:

@@ -14,11 +14,11 @@ import json
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.identity import artifact_id, canonical
+from ..functions.identity import BASE32, artifact_id, canonical
 from ..staging import written
 
 #: source_version prefixes of the tombstones that a later sighting revives.
@@ -27,15 +27,15 @@ EVENT = "batch_seq long, batch_id string, source string, source_instance string,
 STATE = "source string, source_instance string, artifact_id string, entity string, external_id string, parent_artifact_id string, payload string, payload_sha256 string, occurred_at string, source_sequence long, source_updated_at timestamp, source_version string, first_observed_at timestamp, last_observed_at timestamp, last_event_id string, deleted_at timestamp, redacted_at timestamp"
 LOG = "source string, source_instance string, batch_id string, ordinal int, event_id string, artifact_id string, disposition string, derived boolean, source_version string, payload string, batch_seq long, dirty_before string, dirty_after string"
 #: Rows that one task folds, units permitting, and the most levels that a closure may climb.
-A_TASK, LEVELS = 50_000, 64
+A_TASK, LEVELS = 20_000, 64
 _NULL = hashlib.sha256(b"null").hexdigest()
+_PAIRS = [a + b for a in BASE32 for b in BASE32]
 
 
 def _id(prefix: str, *parts) -> str:
-    import base64
-
-    raw = hashlib.sha256("\0".join("" if p is None else str(p) for p in parts).encode()).digest()[:20]
-    return prefix + base64.b32encode(raw).decode().rstrip("=").lower()
+    raw = hashlib.sha256("\0".join(["" if p is None else str(p) for p in parts]).encode()).digest()[:20]
+    bits = int.from_bytes(raw, "big")
+    return prefix + "".join([_PAIRS[bits >> at & 1023] for at in range(150, -1, -10)])
 
 
 def _utc(t) -> str | None:
@@ -53,6 +53,7 @@ class Instance:
         for r in state:
             self._hang(r["artifact_id"], r["parent_artifact_id"])
         self.seen = dict(seen)  # event id -> payload, None once redacted
+        self.keys: dict[tuple[str, str], str] = {}
         self.log: list[dict] = []
         self.undo: list = []  # how to take back what the current batch has done, last step first
 
@@ -74,7 +75,10 @@ class Instance:
         self.log.append({"source": self.source, "source_instance": self.instance, "batch_id": e["batch_id"], "ordinal": -1 if derived else e["ordinal"], "event_id": event, "artifact_id": artifact, "disposition": disposition, "derived": derived, "source_version": version if derived else e["source_version"], "payload": payload, "batch_seq": e["batch_seq"], "dirty_before": dirty[0], "dirty_after": dirty[1]})
 
     def key(self, entity: str, external: str) -> str:
-        return _id("art_", self.source, self.instance, entity, external)
+        found = self.keys.get((entity, external))
+        if found is None:
+            found = self.keys[entity, external] = _id("art_", self.source, self.instance, entity, external)
+        return found
 
     def parent_of(self, e: dict, artifact: str) -> str | None:
         if not e["parent_entity"]:
@@ -116,12 +120,13 @@ class Instance:
     def apply(self, e: dict) -> None:
         artifact = self.key(e["entity"], e["external_id"])
         parent = self.parent_of(e, artifact)
-        payload = canonical(json.loads(e["payload"]) if e["payload"] is not None else None)
+        value = json.loads(e["payload"]) if e["payload"] is not None else None
+        payload = canonical(value)
         sha = hashlib.sha256(payload.encode()).hexdigest()
         ordering = e["source_sequence"] if e["source_sequence"] is not None else _utc(e["source_updated_at"]) or e["source_version"] or sha
         event = _id("evt_", self.source, self.instance, e["entity"], e["external_id"], parent, e["operation"], ordering, sha)
         row, upsert = self.rows.get(artifact), e["operation"] == "upsert"
-        fields = {"payload": payload, "payload_sha256": sha, "occurred_at": (json.loads(payload) or {}).get("occurred_at") if upsert else None}
+        fields = {"payload": payload, "payload_sha256": sha, "occurred_at": (value or {}).get("occurred_at") if upsert else None}
         order = {c: e[c] for c in ("source_sequence", "source_updated_at", "source_version")}
         now, before = e["observed_at"], self.reader(row)
         if event in self.seen:
@@ -235,11 +240,13 @@ class Instance:
 
 
 def _plain(pdf: pd.DataFrame) -> list[dict]:
-    rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-    for r in rows:
-        for c in ("source_sequence", "ordinal", "batch_seq"):
-            if r.get(c) is not None:
-                r[c] = int(r[c])
+    columns = [[None] * len(pdf) if pdf[c].isna().all() else pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in pdf.columns]
+    rows = [dict(zip(pdf.columns, r)) for r in zip(*columns)]
+    for c in ("source_sequence", "ordinal", "batch_seq"):
+        if c in pdf.columns and not pdf[c].isna().all():
+            for r in rows:
+                if r[c] is not None:
+                    r[c] = int(r[c])
     return rows
 
 
@@ -256,7 +263,8 @@ def apply_events(events: DataFrame, state: DataFrame | None = None, log: DataFra
     'rejected' and the reason as its payload, while other batches go on.
     """
     spark = events.sparkSession
-    units = hierarchy_units(events, state, together=not strict)
+    reach, labels, total = hierarchy_units(events, state, together=not strict)
+    bare = state is None and log is None
     state = spark.createDataFrame([], STATE) if state is None else state
     log = spark.createDataFrame([], LOG) if log is None else log
     names, logged = _columns(STATE), _columns(LOG)
@@ -281,42 +289,74 @@ def apply_events(events: DataFrame, state: DataFrame | None = None, log: DataFra
         for batch in done.values():
             inst.batch_or_nothing(batch, strict)
         gone = {x["artifact_id"] for x in inst.rows.values() if x["redacted_at"] is not None}  # rejected rows have no artifact
-        final = [{"kind": "state"} | {c: r.get(c) for c in names} for r in inst.rows.values()]
-        final += [{"kind": "log"} | {f"log_{c}": (None if c == "payload" and r["artifact_id"] in gone else r[c]) for c in logged} for r in past + inst.log]
+        now, told_ = list(inst.rows.values()), past + inst.log
+        final = {"kind": ["state"] * len(now) + ["log"] * len(told_)}
+        final |= {c: [r.get(c) for r in now] + [None] * len(told_) for c in names}
+        final |= {f"log_{c}": [None] * len(now) + [None if c == "payload" and r["artifact_id"] in gone else r[c] for r in told_] for c in logged}
         return pd.DataFrame(final, columns=["kind", *both], dtype=object)
 
-    total = events.count() + units.count()
-    unit = units.select("artifact_id", F.pmod(F.xxhash64("unit"), F.lit(max(1, -(-total // A_TASK)))).cast("int").alias("part"))
-    own = F.when(F.col("record") == "event", artifact_id(F.col("source"), F.col("source_instance"), F.col("entity"), F.col("external_id"))).otherwise(artifact_id(F.col("source"), F.col("source_instance"), F.col("parent_entity"), F.col("parent_external_id")))
-    dealt = events.withColumn("artifact_id", own).join(unit, "artifact_id").drop("artifact_id")
-    known = unit.select("artifact_id", (F.col("part") + 0).alias("part"))  # a column of its own, for the two sides of the cogroup
-    near, far = state.join(known, "artifact_id"), state.join(unit, "artifact_id", "left_anti").select(names)
-    told, untold = log.join(known, "artifact_id"), log.join(unit, "artifact_id", "left_anti").select(logged)
+    parts = max(1, -(-total // A_TASK))
+    part = lambda unit: F.pmod(F.xxhash64(unit), F.lit(parts)).cast("int").alias("part")
+    unit = F.coalesce("label", "v")
+    # what an event names last is in its unit, and mostly the unit itself: only units of several parents are looked up
+    dealt = events.withColumn("v", _named()[1]).join(labels.toDF("v", "label"), "v", "left").select(*events.columns, part(unit))
+    known = reach.select("u", "v").join(labels.toDF("v", "label"), "v", "left").select("u", part(unit))
+    near, far = _by_node(state).join(known, "u").drop("u"), _by_node(state).join(reach.select("u"), "u", "left_anti").select(names)
+    told, untold = _by_node(log).join(known, "u").drop("u"), _by_node(log).join(reach.select("u"), "u", "left_anti").select(logged)
     left = near.select(F.lit("state").alias("kind"), *names, *[F.lit(None).cast(t.split(" ")[1]).alias(f"log_{t.split(' ')[0]}") for t in LOG.split(", ")], "part")
     past = told.select(F.lit("log").alias("kind"), F.col("source"), F.col("source_instance"), *[F.lit(None).cast(t.split(" ")[1]).alias(t.split(" ")[0]) for t in STATE.split(", ")[2:]], *[F.col(c).alias(f"log_{c}") for c in logged], "part")
     keys = ["source", "source_instance", "part"]
     # written once, since state and log are both read from it
-    done = written(dealt.groupBy(*keys).cogroup(left.unionByName(past).groupBy(*keys)).applyInPandas(run, out))
+    tasks = parts // 4  # so that a task can sort what it gets
+    old = left.unionByName(past) if not bare else spark.createDataFrame([], left.schema)
+    sides = [d.repartition(tasks, *keys) if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else d for d in (dealt, old)]
+    done = written(sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInPandas(run, out))
+    if bare:
+        far, untold = state, log
     return done.where("kind = 'state'").select(names).unionByName(far), done.where("kind = 'log'").select(*[F.col(f"log_{c}").alias(c) for c in logged]).unionByName(untold)
 
 
-def hierarchy_units(events: DataFrame, state: DataFrame | None, *, together: bool = False) -> DataFrame:
-    """(artifact_id, unit): records that events name or reach, and what they are connected with.
+def _node(artifact: Column) -> Column:
+    """64 bits for an artifact id. Records that share them are folded together, which changes nothing."""
+    return F.when(artifact.isNotNull(), F.xxhash64(artifact))
+
+
+def _by_node(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("u", _node(F.col("artifact_id")))
+
+
+def _named() -> tuple[Column, Column]:
+    """Nodes of the record that an event is about and of the parent that it names, else of the record again; a claim is about its parent."""
+    key = lambda entity, external: _node(artifact_id(F.col("source"), F.col("source_instance"), F.col(entity), F.col(external)))
+    parent = key("parent_entity", "parent_external_id")
+    own = F.when(F.col("record") == "event", key("entity", "external_id")).otherwise(parent)
+    return own, F.when(F.col("parent_entity").isNotNull(), parent).otherwise(own)
+
+
+def hierarchy_units(events: DataFrame, state: DataFrame | None, *, together: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """What events connect: (u, v), a record that they name or reach and one of the nodes that it hangs on, once a record;
+    (u, label), the unit of such a node v where it isn't v itself; and the number of events and records.
 
     Old and new parents connect, so a record that moves brings both trees into one unit. together:
     a batch connects all that it names, since it is accepted or rejected as a whole.
     """
-    key = lambda entity, external: artifact_id(F.col("source"), F.col("source_instance"), F.col(entity), F.col(external))
-    parent = F.when(F.col("parent_entity").isNotNull(), key("parent_entity", "parent_external_id"))
-    named = events.select(F.when(F.col("record") == "event", key("entity", "external_id")).otherwise(parent).alias("u"), F.coalesce(parent, key("entity", "external_id")).alias("v"), "batch_id")
-    edges = named.select("u", "v")
+    own, parent = _named()
+    edges = events.select(own.alias("u"), parent.alias("v"), F.lit(1).alias("n"), "batch_id")
     if together:
-        edges = edges.union(named.select("u", F.concat(F.lit("batch:"), "batch_id")))
-    edges = written(edges.distinct())
+        edges = edges.union(edges.select("u", F.xxhash64(F.lit("batch:"), "batch_id"), F.lit(0), "batch_id"))
+    edges = edges.select("u", "v", "n")
     if state is not None:
-        edges = edges.union(reached(edges, state.select(F.col("artifact_id").alias("u"), F.col("parent_artifact_id").alias("v"))))
-    both = edges.union(edges.select("v", "u")).distinct()
-    return smallest_reachable(written(both)).toDF("artifact_id", "unit")
+        edges = written(edges.groupBy("u", "v").agg(F.sum("n").alias("n")))
+        edges = edges.union(reached(edges.select("u", "v"), state.select(_node(F.col("artifact_id")).alias("u"), _node(F.col("parent_artifact_id")).alias("v"))).select("u", "v", F.lit(0)))
+    # a record hangs on its least node p, and its other nodes do so too
+    pairs = written(edges.repartition("u").groupBy("u", "v").agg(F.sum("n").alias("n")).withColumn("p", F.min("v").over(W.partitionBy("u"))))
+    first = pairs.where("v = p").select("u", "v")
+    # records on which nothing hangs follow their node: the graph is of the others only
+    inner = first.where("u <> v").join(pairs.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+    links = written(inner.union(pairs.where("v <> p").select("v", "p")).distinct())
+    labels = smallest_reachable(written(links.union(links.select("v", "u")).distinct())).where("u <> label")
+    events_, records = pairs.agg(F.sum("n"), F.count_if(F.col("v") == F.col("p"))).first()
+    return first, written(labels), (events_ or 0) + records
 
 
 def reached(edges: DataFrame, tree: DataFrame) -> DataFrame:

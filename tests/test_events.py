@@ -160,3 +160,32 @@ def test_smallest_reachable(spark):
         parent[b] = a
     edges = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "u string, v string").distinct()
     assert {r.u: r.label for r in E.smallest_reachable(edges).collect()} == {x: root(x) for x in list(parent)}
+
+
+def test_only_units_of_several_parents_are_looked_up(spark):
+    """Flat conversations need no graph; a move and a file do, and ids in it are numbers."""
+    flat = [conv(), *[ev(0, i, f"m{i}", seq=1) for i in range(1, 9)], cover(0)]
+    first, labels, total = E.hierarchy_units(spark.createDataFrame(flat, EVENT), None)
+    assert labels.isEmpty() and first.count() == 9 and total == 10 + 9
+    assert [k for _, k in first.dtypes] == ["bigint", "bigint"]
+    moved = [ev(0, 20, "c2", entity="conversation", parent=None, seq=1), ev(1, 1, "m1", seq=2, parent=("conversation", "c2")), ev(1, 2, "f", entity="attachment", parent=("message", "m1"), seq=1)]
+    _, labels, _ = E.hierarchy_units(spark.createDataFrame(flat + moved, EVENT), None)
+    assert labels.count() == 2 and labels.select("label").distinct().count() == 1
+
+
+def test_identities_of_the_fold_are_those_of_columns(spark):
+    from lorekeep.functions.identity import artifact_id
+    from pyspark.sql import functions as F
+
+    row = spark.range(40).select(F.col("id").cast("string").alias("x"), artifact_id(F.lit("s"), F.lit("d"), F.lit("message"), F.col("id").cast("string")).alias("a")).collect()
+    one = E.Instance("s", "d", [], {})
+    assert all(one.key("message", r.x) == r.a for r in row) and all(one.key("message", r.x) is one.key("message", r.x) for r in row)
+
+
+def test_a_group_of_the_fold_stays_small(spark):
+    """60,000 rows aren't folded as one or two groups, whose rows a worker holds at once."""
+    from pyspark.sql import functions as F
+
+    first = spark.range(30_000).select(F.xxhash64("id").alias("u"), F.xxhash64(F.col("id") % 3000).alias("v"))
+    sizes = first.groupBy(F.pmod(F.xxhash64("v"), F.lit(-(-60_000 // E.A_TASK)))).count()
+    assert 2 * sizes.agg(F.max("count")).first()[0] < 25_000

@@ -24,7 +24,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: A place where no match of PATTERN reaches across, in a text that is cut for length.
 SEAM = regex.compile(r"(?<=\S) (?=\p{L})")
 #: Characters in one pass over a text, words that a worker remembers, characters of texts taken together.
-PIECE, REMEMBERED, TOGETHER = 1 << 20, 400_000, 4 << 20
+PIECE, REMEMBERED, TOGETHER = 1 << 20, 100_000, 2 << 20
 #: Bytes of a word up to which scanning all pairs at each step is quickest.
 SHORT = 48
 
@@ -316,7 +316,7 @@ def bpe_encode(docs: DataFrame, path: str, *, ids: bool = True, digests: bool =
         bpe = model(path)
         for batch in batches:
             column, n = batch.column(len(keep)), batch.num_rows
-            step = 2048
+            step = 256  # ids of few texts are held beside the batch
             for at in range(0, n, step):
                 out = {"n_tokens": [], "ids": [], "ids_sha256": [], "decoded_sha256": []}
                 texts = column.slice(at, step).to_pylist()

@@ -188,3 +188,18 @@ def test_media(spark):
         assert by_text.setdefault(t or "", (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
     packets = packet_table(to_media(df)).selectExpr("doc_id", "size(packets) as n").where("doc_id = 50").first().n
     assert packets == 1 and media_digest(df.limit(0)).count() == 0
+
+
+def test_the_encoder_forgets_words_before_they_are_many():
+    """A worker's memory of words is bounded well below what its partition may hold."""
+    import public_tokenizers
+    from lorekeep.llm.bpe import SpeculativeBPE
+
+    bpe = SpeculativeBPE(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" ".join(f"w{i:x}q" for i in range(at, at + 20_000)) for at in range(0, 200_000, 20_000)]
+    most = 0
+    for t in texts:
+        (ids,) = bpe.encode_many([t])
+        assert bpe.decode(ids) == t
+        most = max(most, bpe.known)
+    assert most < 200_000

@@ -25,8 +25,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SEAM = regex.compile(r"(?<=\S) (?=\p{L})")
 #: Characters in one pass over a text, words that a worker remembers, characters of texts taken together.
 PIECE, REMEMBERED, TOGETHER = 1 << 20, 100_000, 2 << 20
-#: Bytes of a word up to which scanning all pairs at each step is quickest.
-SHORT = 48
+#: Bytes of a word up to which scanning all pairs at each step is quickest; such words merged side by side.
+SHORT, ASIDE = 48, 4096
+#: Stands for the rank of a pair that never merges.
+NEVER = np.iinfo(np.int32).max
 
 
 def byte_letters() -> dict[str, int]:
@@ -57,9 +59,12 @@ class SpeculativeBPE:
             a, b = m if isinstance(m, list) else m.split(" ")
             self.merge[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self.byte_id = [self.id_of[bytes([b])] for b in range(256)]
-        self.longest = [0] * 256
-        for b in self.id_of:
-            self.longest[b[0]] = max(self.longest[b[0]], len(b))
+        self.steps = sorted((a * len(self.bytes_of) + b, rank, new) for (a, b), (rank, new) in self.merge.items())
+        self.step_keys, self.step_rank = (np.array([s[i] for s in self.steps], t) for i, t in ((0, np.int64), (1, np.int32)))
+        self.step_new = np.zeros(1 + max((s[1] for s in self.steps), default=0), np.int32)
+        for _, rank, new in self.steps:
+            self.step_new[rank] = new
+        del self.steps
         self.words = regex.compile(PATTERN)
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.n = len(self.bytes_of)
@@ -70,15 +75,60 @@ class SpeculativeBPE:
             raw_b = np.frombuffer(b, np.uint8).astype(np.int32)
             self.within[raw_b[:-1] * 256 + raw_b[1:]] = True
         #: Tokens that the merges can't make of their own bytes are never proposed.
-        self.sound = {b: i for b, i in self.id_of.items() if self.merged(b) == [i]}
+        self.sound = {b: i for (b, i), ids in zip(self.id_of.items(), self.merged_many(list(self.id_of))) if ids == [i]}
+        #: The lengths of tokens by their first bytes (three, or all of a shorter token), longest first.
+        lengths: dict[bytes, set[int]] = {}
+        for b in self.sound:
+            lengths.setdefault(b[:3], set()).add(len(b))
+        self.lengths = {b: sorted(x, reverse=True) for b, x in lengths.items()}
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
+        self.used = np.zeros(1 << 14, np.int64)
         self.start_of_free = self.known = 0
 
+    def shed(self) -> None:
+        """Forget words that came once since the last time, and the rarer ones if more than half of REMEMBERED stay."""
+        used = self.used[: self.known]
+        keep = np.flatnonzero(used > 1)
+        if len(keep) > REMEMBERED // 2:
+            keep = np.sort(keep[np.argsort(-used[keep], kind="stable")[: REMEMBERED // 2]])
+        words, begin, lens = list(self.index), self.start[keep], self.start[keep + 1] - self.start[keep]
+        ends = np.cumsum(lens)
+        flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + lens, lens)]
+        self.forget()
+        self.remember([words[k] for k in keep.tolist()], lens, flat)
+
+    def remember(self, words: list[str], lens: np.ndarray, flat: np.ndarray) -> None:
+        """Take in distinct new words and their ids."""
+        while self.start_of_free + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.known + len(words) + 1 > len(self.start):
+            self.start, self.used = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.used))
+        self.flat[self.start_of_free : self.start_of_free + len(flat)] = flat
+        self.start[self.known + 1 : self.known + 1 + len(words)] = self.start_of_free + np.cumsum(lens)
+        self.index.update(zip(words, range(self.known, self.known + len(words))))
+        self.known += len(words)
+        self.start_of_free += len(flat)
+
+    def looked_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, and where each word's end."""
+        if self.known > REMEMBERED:
+            self.shed()
+        at = list(map(self.index.get, words))
+        if None in at:
+            self.learn(list(dict.fromkeys(w for w, i in zip(words, at) if i is None)))
+            at = list(map(self.index.__getitem__, words))
+        at = np.array(at, np.int64)
+        self.used += np.bincount(at, minlength=len(self.used))
+        begin = self.start[at]
+        lens = self.start[at + 1] - begin
+        ends = np.cumsum(lens)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + lens, lens)], ends
+
     # -- one word ---------------------------------------------------------------------------
 
     def merged(self, word: bytes) -> list[int]:
@@ -142,17 +192,68 @@ class SpeculativeBPE:
 
     def proposed(self, word: bytes) -> list[int]:
         """Greedy longest match."""
-        sound, longest, n, at, out = self.sound, self.longest, len(word), 0, []
+        sound, lengths, n, at, out = self.sound, self.lengths, len(word), 0, []
+        if (i := sound.get(word)) is not None:
+            return [i]
         while at < n:
-            end = min(n, at + longest[word[at]])
-            while (i := sound.get(word[at:end])) is None:
-                end -= 1
+            i, left = None, n - at
+            for size in lengths.get(word[at : at + 3], ()):
+                if size <= left and (i := sound.get(word[at : at + size])) is not None:
+                    break
+            if i is None:
+                size = 2 if (i := sound.get(word[at : at + 2])) is not None else 1
+                i = sound[word[at : at + size]] if i is None else i
             out.append(i)
-            at = end
+            at += size
         return out
 
     # -- many words -------------------------------------------------------------------------
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of tokens, NEVER for those that don't merge; -1 is no token."""
+        if not len(self.step_keys):
+            return np.full(left.shape, NEVER, np.int32)
+        keys = left.astype(np.int64) * self.n + right
+        at = np.searchsorted(self.step_keys, keys)
+        at[at == len(self.step_keys)] = 0
+        return np.where((self.step_keys[at] == keys) & (left >= 0) & (right >= 0), self.step_rank[at], NEVER)
+
+    def merged_many(self, raws: list[bytes]) -> list[list[int]]:
+        """As merged() for each: words of like length lie side by side as rows, each step joins one pair in every row."""
+        out: list = [None] * len(raws)
+        short = []
+        for k, r in enumerate(raws):
+            if len(r) > SHORT:
+                out[k] = self.merged(r)
+            else:
+                short.append(k)
+        short.sort(key=lambda k: len(raws[k]))
+        byte_id = np.array(self.byte_id, np.int32)
+        for first in range(0, len(short), ASIDE):
+            rows = np.array(short[first : first + ASIDE])
+            size = np.array([len(raws[k]) for k in rows.tolist()])
+            ids = np.full((len(rows), size.max()), -1, np.int32)
+            ids[np.arange(ids.shape[1]) < size[:, None]] = byte_id[np.frombuffer(b"".join(raws[k] for k in rows.tolist()), np.uint8)]
+            rank = self.ranks(ids[:, :-1], ids[:, 1:])
+            while len(rows):
+                best = rank.argmin(1) if rank.shape[1] else np.zeros(len(rows), np.int64)
+                low = rank[np.arange(len(rows)), best] if rank.shape[1] else np.full(len(rows), NEVER, np.int32)
+                done = low == NEVER
+                if done.any():
+                    for k, x, n in zip(rows[done].tolist(), ids[done].tolist(), (ids[done] >= 0).sum(1).tolist()):
+                        out[k] = x[:n]
+                    rows, ids, rank, best, low = (x[~done] for x in (rows, ids, rank, best, low))
+                    if not len(rows):
+                        break
+                at, place = np.arange(len(rows)), np.arange(ids.shape[1] - 1)
+                ids = np.where(place <= best[:, None], ids[:, :-1], ids[:, 1:])
+                ids[at, best] = self.step_new[low]
+                rank = np.where(place[:-1] < best[:, None], rank[:, :-1], rank[:, 1:])
+                for side in (best - 1, best):  # the pairs that hold the new token
+                    of = np.flatnonzero((side >= 0) & (side < rank.shape[1]))
+                    rank[of, side[of]] = self.ranks(ids[of, side[of]], ids[of, side[of] + 1])
+        return out
+
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether each pair of tokens is its own encoding; pairs not yet known are merged exactly once."""
         keys = left.astype(np.int64) * self.n + right
@@ -164,9 +265,8 @@ class SpeculativeBPE:
         ok[held] = self.pair_ok[at[held]]
         new = np.flatnonzero(~held)
         if len(new):
-            for k in new.tolist():
-                a, b = divmod(int(distinct[k]), self.n)
-                ok[k] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            pairs = [divmod(k, self.n) for k in distinct[new].tolist()]
+            ok[new] = [ids == [a, b] for (a, b), ids in zip(pairs, self.merged_many([self.bytes_of[a] + self.bytes_of[b] for a, b in pairs]))]
             if len(self.pair_keys) + len(new) > 4_000_000:
                 self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
             keys_all = np.concatenate([self.pair_keys, distinct[new]])
@@ -186,37 +286,18 @@ class SpeculativeBPE:
             ok = self.compatible(flat[inner], flat[inner + 1])
             failing = np.unique(owner[inner[~ok]])
             if len(failing):
-                for w in failing.tolist():
-                    ids[w] = self.merged(raws[w])
+                for w, exact in zip(failing.tolist(), self.merged_many([raws[w] for w in failing.tolist()])):
+                    ids[w] = exact
                 lens = np.fromiter(map(len, ids), np.int64, len(ids))
                 flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))
-        while self.start_of_free + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.known + len(words) + 1 > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        self.flat[self.start_of_free : self.start_of_free + len(flat)] = flat
-        self.start[self.known + 1 : self.known + 1 + len(words)] = self.start_of_free + np.cumsum(lens)
-        self.index.update(zip(words, range(self.known, self.known + len(words))))
-        self.known += len(words)
-        self.start_of_free += len(flat)
+        self.remember(words, lens, flat)
 
     def plain(self, text: str) -> np.ndarray:
         """Ids of a text, or of a stretch of one, without special tokens."""
         words = self.words.findall(text)
         if not words:
             return np.zeros(0, np.uint32)
-        if self.known > REMEMBERED:
-            self.forget()
-        get = self.index.get
-        at = list(map(get, words))
-        if None in at:
-            self.learn(list(dict.fromkeys(w for w, i in zip(words, at) if i is None)))
-            at = list(map(self.index.__getitem__, words))
-        at = np.array(at, np.int64)
-        begin = self.start[at]
-        lens = self.start[at + 1] - begin
-        ends = np.cumsum(lens)
-        return self.flat[np.arange(ends[-1]) + np.repeat(begin - ends + lens, lens)]
+        return self.looked_up(words)[0]
 
     def pieces(self, text: str):
         """The text in stretches of bounded length that no word crosses."""
@@ -249,17 +330,7 @@ class SpeculativeBPE:
             for k in group:
                 words += self.words.findall(texts[k])
                 ends.append(len(words))
-            if self.known > REMEMBERED:
-                self.forget()
-            at = list(map(self.index.get, words))
-            if None in at:
-                self.learn(list(dict.fromkeys(w for w, i in zip(words, at) if i is None)))
-                at = list(map(self.index.__getitem__, words))
-            at = np.array(at, np.int64)
-            begin = self.start[at]
-            lens = self.start[at + 1] - begin
-            stop = np.cumsum(lens)
-            ids = self.flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - stop + lens, lens)]
+            ids, stop = self.looked_up(words)
             stop = np.concatenate([[0], stop])
             first = 0
             for k, end in zip(group, ends):

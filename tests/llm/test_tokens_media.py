@@ -203,3 +203,33 @@ def test_the_encoder_forgets_words_before_they_are_many():
         assert bpe.decode(ids) == t
         most = max(most, bpe.known)
     assert most < 200_000
+
+
+def test_words_merged_side_by_side():
+    """op2: as one by one and as the library does, whatever the words' lengths, and proposals are the longest tokens."""
+    bpe, rng = model(PATH), random.Random(11)
+    words = ["".join(rng.choice(x) for _ in range(n)) for n in (1, 2, 3, 7, 20, 48, 49, 200) for x in ("abcdefghiklmnorstuv", "ab", "e", "ÀéßñÜ", "漢字本語") for _ in range(40)]
+    raws = [b"", *(w.encode() for w in words), *list(bpe.id_of)[::50]]
+    assert bpe.merged_many(raws) == [bpe.merged(r) for r in raws] and bpe.merged_many([]) == []
+    assert bpe.merged_many([w.encode() for w in words]) == [x.ids for x in library().encode_batch(words, add_special_tokens=False)]
+    for r in raws:
+        at = 0
+        for i in bpe.proposed(r):
+            assert max((e for e in range(at + 1, len(r) + 1) if r[at:e] in bpe.sound)) == at + len(bpe.bytes_of[i])
+            at += len(bpe.bytes_of[i])
+        assert at == len(r)
+
+
+def test_frequent_words_are_encoded_once(monkeypatch):
+    """op2: when the memory of words is full, those that came often stay."""
+    from lorekeep.llm import bpe as B
+
+    monkeypatch.setattr(B, "REMEMBERED", 1000)
+    bpe, lib, learnt = SpeculativeBPE(PATH), library(), []
+    learn = bpe.learn
+    monkeypatch.setattr(bpe, "learn", lambda words: (learnt.extend(words), learn(words))[1])
+    often = " ".join(f"often{i}" for i in range(200))
+    for at in range(0, 9000, 900):
+        text = f"{often} {often} " + " ".join(f"z{chr(97 + i % 26)}q{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(at, at + 900))
+        assert bpe.encode_many([text])[0].tolist() == lib.encode(text, add_special_tokens=False).ids and bpe.known < 3000
+    assert learnt.count(" often") == 1

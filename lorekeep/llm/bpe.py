@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, lean
+from .common import KEPT, bounded, lean
 
 #: The byte-level pre-tokenizer's pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -355,7 +355,7 @@ class SpeculativeBPE:
         return b"".join(map(self.bytes_of.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "replace")
 
 
-_MODELS: dict[str, SpeculativeBPE] = {}
+_MODELS: dict[str, SpeculativeBPE] = KEPT.setdefault("bpe", {})
 
 
 def model(path: str) -> SpeculativeBPE:
@@ -412,7 +412,7 @@ def bpe_encode(docs: DataFrame, path: str, *, ids: bool = True, digests: bool =
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = ", ".join([f"k{i} {fields[c].dataType.simpleString()}" for i, c in enumerate(keep)] + ["n_tokens long"] + ["ids array<int>"] * ids + ["ids_sha256 string, decoded_sha256 string"] * digests)
-    return rows.mapInArrow(lean(run), schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return rows.mapInArrow(lean(run, keeps="bpe"), schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
 
 def bpe_decode(tokens: DataFrame, path: str) -> DataFrame:

@@ -55,6 +55,15 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(s)
 
 
+def repeats(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The values that occur twice or more, ascending, and how often. Empties held, so that all lies in memory once or twice."""
+    x = np.concatenate(held)
+    held.clear()
+    x.sort()
+    again, n = np.unique(x[1:][x[1:] == x[:-1]], return_counts=True)
+    return again, n + 1
+
+
 def needed(n, percent: int):
     """The least overlap with any similar set: ceil(percent * n / 100)."""
     return -(-percent * n // 100)
@@ -163,8 +172,8 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
         size = 0
 
         def flush():
-            cells, n = np.unique(np.concatenate(held), return_counts=True)
-            cells, n = (cells[n > 1] >> shift).astype(np.int64), n[n > 1].astype(np.int64)
+            cells, n = repeats(held)
+            cells, n = (cells >> shift).astype(np.int64), n.astype(np.int64)
             for i in range(0, len(cells), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(cells[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)])], ["cell", "n"])
 
@@ -175,7 +184,7 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
                     size += len(held[-1])
                 if size > FLUSH:
                     yield from flush()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield from flush()
 
@@ -262,7 +271,7 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
     prefixes = own.select("prefix", "node", "n")
     scramble = lambda column: mix64(column.to_numpy(zero_copy_only=False).view(np.uint64))
     for _ in range(ROUNDS):
-        filters.append(sc.broadcast(twice_filter(prefixes.mapInArrow(lean(left), "tok long, node long, n long"), scramble, bits).tobytes()))
+        filters.append(sc.broadcast(twice_filter(prefixes, scramble, bits, first=left).tobytes()))
     held = scratch.table(prefixes.mapInArrow(lean(left), "tok long, node long, n long"), "held")
     # counts are written out before the join, so that Spark can split a token that very many sets hold
     both = scratch.table(held.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1"), "counts", like="held")
@@ -333,7 +342,8 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
                     u, v = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    edges = opened.where("blob is null").select("u", "v").union(across.mapInArrow(lean(between), "u long, v long"))
+    # written out, so that no task compares blocks in one worker and joins their links in another
+    edges = scratch.table(opened.where("blob is null").select("u", "v").union(across.mapInArrow(lean(between), "u long, v long")), "edges")
     components = connected_components(edges)
     # from the least node of a component to its first set: that of the least id
     linked = scratch.table(components.join(own.select("node", "least", "s1", "s2", "n"), "node"), "linked", like="nodes")
@@ -343,7 +353,7 @@ def ngram_jaccard(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFram
     alone = own.select("s1", "s2", "n", "least")
     named = alone.join(linked, ["s1", "s2", "n"], "left").select("s1", "s2", "n", F.coalesce("c", "least").alias("c"), F.coalesce("first", F.lit(True)).alias("first"))
     named = scratch.table(named, "components", pack=None, like="nodes")
-    scratch.drop("nodes", "placed", "pairs", "blocks", "wanted", "opened", "linked", "named")
+    scratch.drop("nodes", "placed", "pairs", "blocks", "wanted", "opened", "edges", "linked", "named")
     out = rows.join(named, ["s1", "s2", "n"], "left")
     stands = F.col("c").isNull() | (F.col("first") & F.col("d").eqNullSafe(F.col("c.id")))  # without shingles a row stands for itself
     return out.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("d")).otherwise(F.col("c.id")).alias("component_id"), stands.alias("stands"), F.col("w").alias("row_1"), F.col("w2").alias("row_2"))

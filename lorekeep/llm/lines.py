@@ -82,10 +82,11 @@ def line_hashes(least: int):
     return hashes
 
 
-def twice_filter(rows: DataFrame, hashes, bits: int, *, once: bool = False) -> np.ndarray:
+def twice_filter(rows: DataFrame, hashes, bits: int, *, once: bool = False, first=None) -> np.ndarray:
     """The merged filter of 64-bit hashes that two rows (with once: one row) may hold, as packed bits.
 
-    hashes gives those of a slice of the first column. A task emits what it holds after every FLUSH
+    hashes gives those of a slice of the first column; first, a function over batches, makes that of
+    rows, in the same worker. A task emits what it holds after every FLUSH
     hashes. The driver gets the 2**bits bits (128 MB at most), in one job.
     """
 
@@ -100,7 +101,7 @@ def twice_filter(rows: DataFrame, hashes, bits: int, *, once: bool = False) -> n
             for i in range(0, len(found), 256):
                 yield pa.RecordBatch.from_pylist([{"seg": s, "once": a, "twice": b} for s, a, b in found[i : i + 256]], pa.schema([("seg", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())]))
 
-        for batch in batches:
+        for batch in first(batches) if first else batches:
             for i in range(0, batch.num_rows, 4096):
                 held.append(hashes(batch.column(0).slice(i, 4096)))
                 size += len(held[-1])
@@ -126,7 +127,7 @@ def twice_filter(rows: DataFrame, hashes, bits: int, *, once: bool = False) -> n
 
     parts = max(1, 1 << max(0, bits - SEGMENT_BITS))
     width = min(parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    merged = rows.mapInArrow(lean(build), "seg int, once binary, twice binary").repartition(width, "seg").mapInPandas(merge, "seg int, twice binary")
+    merged = rows.mapInArrow(lean(build), "seg int, once binary, twice binary").repartition(width, "seg").mapInPandas(lean(merge), "seg int, twice binary")
     out = np.zeros(1 << (bits - 3), np.uint8)
     width_b = 1 << (SEGMENT_BITS - 3)
     for r in merged.collect():
@@ -193,9 +194,10 @@ def line_dedup(docs: DataFrame, *, least: int = 10, filter_bits: int | None = No
         return pd.Series(probe(np.frombuffer(losing.value, np.uint8), mix64(column.to_numpy(np.int64).view(np.uint64)), row_bits))
 
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept_type = lost.schema["k"].dataType
-    plan = keyed.where(may_lose(r)).join(lost.toDF(r, r2, k).hint("shuffle_hash"), [r, r2], "left").select(*columns, k)
-    plan = plan.union(keyed.where(~may_lose(r)).select(*columns, F.lit(None).cast(kept_type).alias(k)))
+    losers = keyed.where(may_lose(r)).join(lost.toDF(r, r2, k).hint("shuffle_hash"), [r, r2], "left").select(*columns, k)
+    # the others stay as they are and need no second worker
+    n = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)) + 1
+    whole = keyed.where(~may_lose(r)).select(*columns, n.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
     names = docs.columns
     at_text, at_lost = names.index("text"), len(names)
 
@@ -219,4 +221,4 @@ def line_dedup(docs: DataFrame, *, least: int = 10, filter_bits: int | None = No
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return plan.mapInArrow(lean(keep), schema)
+    return losers.mapInArrow(lean(keep), schema).union(whole)

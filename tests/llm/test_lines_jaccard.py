@@ -1,9 +1,12 @@
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
+from lorekeep.llm import bpe, common
 from lorekeep.llm.common import connected_components
-from lorekeep.llm.jaccard import ngram_jaccard
+from lorekeep.llm.jaccard import ngram_jaccard, repeats, without_near_copies
 from lorekeep.llm.lines import line_dedup
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -176,3 +179,52 @@ def test_components(spark):
                 low[a] = low[b] = min(low[a], low[b])
     assert got == low
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def python_deep(node):
+    """Python evaluations that a task runs one into the other: (at the plan's top, at most anywhere)."""
+    name = node.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return python_deep(node.initialPlan())
+    below = [python_deep(node.children().apply(i)) for i in range(node.children().size())]
+    here = max((b[0] for b in below), default=0) + any(x in name for x in ("MapIn", "EvalPython", "InPandas", "InArrow"))
+    return 0 if "Exchange" in name else here, max([here, *(b[1] for b in below)])
+
+
+def test_a_task_needs_one_python_worker(spark, monkeypatch):
+    seen = []
+    deep = lambda df: seen.append(python_deep(df._jdf.queryExecution().executedPlan())[1])
+    kind = type(spark.range(1))
+    table, collect = common.Scratch.table, kind.collect
+    monkeypatch.setattr(common.Scratch, "table", lambda self, df, *a, **b: deep(df) or table(self, df, *a, **b))
+    monkeypatch.setattr(kind, "collect", lambda self: deep(self) or collect(self))
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, text), (2, text + " end"), (3, "a common line of text\nx"), (4, "a common line of text\ny"), (5, None)]
+    assert len(line_dedup(frame(spark, rows)).collect()) == 5
+    assert len(without_near_copies(frame(spark, rows)).collect()) == 4
+    assert max(seen) == 1 and sum(seen) > 10
+
+
+def test_a_worker_lets_other_operators_go(monkeypatch):
+    held = {"path": "a model"}
+    monkeypatch.setitem(common.KEPT, "other", held)
+    assert list(common.lean(iter, keeps="other")([1])) == [1] and held
+    assert list(common.lean(iter)([1])) == [1] and not held
+    assert bpe._MODELS is common.KEPT["bpe"]
+
+
+def test_repeats():
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(0, 1 << 40, n).astype(np.uint64) for n in (0, 400_000, 300_000)]
+    parts.append(parts[1][:1000])
+    values, n = np.unique(np.concatenate(parts), return_counts=True)
+    size = sum(x.nbytes for x in parts)
+    tracemalloc.start()
+    try:
+        got = repeats(parts)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got[0].tolist() == values[n > 1].tolist() and got[1].tolist() == n[n > 1].tolist()
+    assert parts == [] and most < 1.5 * size
+    assert [x.tolist() for x in repeats([np.zeros(0, np.uint64)])] == [[], []]

@@ -7,7 +7,7 @@ import pytest
 from lorekeep.llm import bpe, common
 from lorekeep.llm.common import connected_components
 from lorekeep.llm.jaccard import ngram_jaccard, repeats, without_near_copies
-from lorekeep.llm.lines import line_dedup
+from lorekeep.llm.lines import SEGMENT_BITS, line_dedup, positions, segments
 
 SPACE = " \t\n\x0b\x0c\r"
 SCHEMA = "doc_id long, text string, seg string, tok long, n_lines string"
@@ -228,3 +228,22 @@ def test_repeats():
     assert got[0].tolist() == values[n > 1].tolist() and got[1].tolist() == n[n > 1].tolist()
     assert parts == [] and most < 1.5 * size
     assert [x.tolist() for x in repeats([np.zeros(0, np.uint64)])] == [[], []]
+
+
+@pytest.mark.parametrize("bits", [19, 20, 24, 30])
+def test_segments(bits):
+    hashes = np.random.default_rng(4).integers(0, 1 << 64, 300_000, np.uint64)
+    for some in (hashes, hashes[:2], hashes[:0]):
+        want = {}
+        for x in np.unique(positions(some, bits)).tolist():
+            want.setdefault(x >> SEGMENT_BITS, []).append(x % (1 << SEGMENT_BITS))
+        got = segments(some, bits)
+        assert {s: p.tolist() for s, p in got.items()} == want and all(p.dtype == np.uint32 for p in got.values())
+    del want, got
+    tracemalloc.start()
+    try:
+        segments(hashes, bits)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 4 * hashes.nbytes

@@ -32,6 +32,16 @@ def test_search(spark, rows):
     assert [r.external_id for r in A.search_records(A.index_records(rows), rows, q, late).collect()] == ["m2"]
 
 
+def test_scores_equal_to_nine_decimals_tie_by_id(spark):
+    """A word that all records hold weighs 1e-6, so records of nearly one length differ beyond the ninth decimal only."""
+    texts = [("b", "word " + "x " * 4000), ("a", "word " + "x " * 4001), ("c", "word")]
+    rows = spark.createDataFrame([(i, "", "", t, "") for i, t in texts], "artifact_id string, title string, author_name string, text string, external_id string")
+    rows = rows.selectExpr("*", "'s' source", "'i' source_instance", "'message' entity", "timestamp'2024-01-01' occurred_at", "cast(null as timestamp) deleted_at", "cast(null as timestamp) redacted_at")
+    found = {r.artifact_id: r for r in A.search_records(A.index_records(rows), rows, spark.createDataFrame([(1, "word")], "query_id int, query string")).collect()}
+    assert found["b"].score > found["a"].score and round(found["b"].score, 9) == round(found["a"].score, 9)
+    assert [found[i].rank for i in "cab"] == [1, 2, 3]
+
+
 def test_relations(spark, rows):
     assert [(r.kind, r.value) for r in A.aliases(rows).collect()] == [("old", "x1")]
     ids = {r.external_id: r.artifact_id for r in rows.collect()}

@@ -36,6 +36,16 @@ def test_matches_full_text_search_of_sqlite(spark, query):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
+def test_lexical_norm_reads_whole_passages(spark, tmp_path):
+    """A document that holds only words behind a passage's first 24 is found."""
+    from lorekeep.queries import QUERIES
+
+    words = [f"w{i}" for i in range(30)]
+    spark.createDataFrame([(1, words[0]), (2, words[29]), (3, "others")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(words))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {(r.query_id, r.id) for r in QUERIES["lexical_norm"](spark, str(tmp_path)).collect()} == {(7, 1), (7, 2)}
+
+
 def test_scope_keeps_statistics(spark):
     docs = spark.createDataFrame(DOCS, "id long, title string, text string")
     index = build_index(docs, "id", {"text": 1.0})

@@ -135,6 +135,34 @@ def test_bradley_terry_against_plain_descent():
     assert np.allclose(bt.scores(x), want, atol=1e-5) and ((bt.scores(x) >= 0.3) == (s >= cut)).all()
 
 
+def test_every_pair_of_labelled_documents_counts():
+    """The model of all pairs against the loss of each pair's difference, written out."""
+    from lorekeep.llm.quality import BradleyTerry, newton, some_pairs
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 5)) ** 3
+    y = (x @ [2.0, -1.0, 0.5, 0.0, 1.0] + rng.normal(size=400) > 1).astype(int)
+    bt = BradleyTerry(x, y)
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    w = newton(np.zeros(5), *some_pairs((z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 5), 1e-3), 1e-3)
+    assert np.abs(bt.w - w).max() < 1e-7
+
+
+@pytest.mark.parametrize("labelled", [30, 1])
+def test_quality_learns_from_every_label(spark, sf, labelled):
+    """More labelled rows than the driver holds give the model of all of them."""
+    from lorekeep.llm.quality import BradleyTerry, features, fit
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    label = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    learnt = sorted(i for i in label if i in text and zlib.crc32(str(i).encode()) % 5)
+    assert len(learnt) > 2 * labelled
+    x = np.array([features(text[i]) for i in learnt])
+    want, got = BradleyTerry(x, np.array([label[i] for i in learnt])), fit(docs, labels, labelled=labelled)
+    assert np.abs(got.scores(x) - want.scores(x)).max() < 1e-7
+
+
 def test_quality_against_brute_force(spark, sf):
     """The query's scores from the features of each text, one by one, with a model fitted on rows that plain Python picks."""
     import lorekeep.llm.quality as Q

@@ -54,6 +54,7 @@ def bm25_three_generations(spark, sf):
     index.commit(docs.withColumn("text", F.when(F.col("lang") == "en", F.reverse("text")).otherwise(F.col("text"))))
     index.commit(docs.where("lang = 'en'"), docs.where("lang = 'de'"))
     index.commit(docs.where("lang = 'de'"))
+    index.prune()
     found, _ = index.top(passages(spark, sf), 5)
     return found.select("query_id", "id", F.col("bm25").alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -66,4 +67,5 @@ def signed_frequencies(spark, sf):
     index.commit(docs.withColumn("text", F.concat_ws(" ", "text", F.lit("stale"))))
     index.commit(None, docs.where("lang = 'fr'"))
     index.commit(docs)
+    index.prune()
     return index.frequencies(index.manifest()).select("term", F.col("n").cast("long").alias("n"))

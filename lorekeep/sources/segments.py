@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.lexical import B, K1, LexicalIndex, occurrences, phrases, saturation, top, units, weight
-from ..staging import written
+from ..operators.lexical import B, K1, LexicalIndex, forward_rows, phrases, saturation, top, units, weight
+from ..staging import discard, little_disk, written
 from .store import Store
 
 #: Postings in a block, documents in a shard, folders by term, segments of one size that are merged.
@@ -84,15 +84,19 @@ class SegmentedIndex:
 
     # -- writing ----------------------------------------------------------------------------------
 
-    def postings(self, docs: DataFrame) -> DataFrame:
-        """term, id, tf (weighted), n, places and the document's length."""
-        return occurrences(docs, self.fields, self.key)
+    def postings(self, rows: DataFrame) -> DataFrame:
+        """term, id, tf (weighted), n, places and the document's length, of forward_rows()."""
+        x = F.explode(F.arrays_zip("terms", "tfs", "ns", "places")).alias("x")
+        return rows.select(self.key, "len", x).select("x.terms", self.key, "x.tfs", "x.ns", "len", "x.places").toDF("term", self.key, "tf", "n", "len", "places")
 
-    def write_segment(self, name: str, postings: DataFrame, lengths: DataFrame) -> dict:
-        """Write a segment of postings, a written table; lengths (id, len) also has documents without tokens."""
+    def write_segment(self, name: str, postings: DataFrame, forward: DataFrame) -> dict:
+        """Write a segment of postings and forward rows (id, len, terms, tfs), which also have documents without tokens.
+
+        Only the postings are shuffled, once. Both are read from written tables.
+        """
         folder = f"{self.store.root}/segments/{name}"
-        lengths = written(lengths)
-        docs, tokens = lengths.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+        forward.select(self.key, F.col("len").cast("long").alias("len"), *[F.when(F.size(c) > 0, F.col(c)).alias(c) for c in ("terms", "tfs")]).write.parquet(f"{folder}/forward")
+        docs, tokens, n = self.read("segments", name, "forward").agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0)), F.coalesce(F.sum(F.greatest(F.size("terms"), F.lit(0))), F.lit(0))).first()
         shards, average = max(1, -(-docs // self.shard)), max(1.0, tokens / max(1, docs))
         p = postings.withColumn("bucket", F.pmod(F.hash("term"), F.lit(BUCKETS))).withColumn("shard", F.pmod(F.hash(self.key), F.lit(shards)))
         order = W.partitionBy("bucket", "shard", "term").orderBy(saturation(F.col("tf"), F.col("len"), F.lit(average)).desc(), self.key)
@@ -102,12 +106,7 @@ class SegmentedIndex:
         columns = [F.col(f"r.{c}").alias(a) for c, a in ((self.key, "ids"), ("tf", "tfs"), ("n", "ns"), ("len", "lens"), ("places", "places"))]
         blocks = blocks.select("bucket", "shard", "term", "block", "top_tf", "least_len", F.size("r").alias("size"), *columns)
         blocks.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/blocks")
-        # one shuffle: ranges of ids also hold all rows of an id; documents without tokens have a row without a term
-        rows = postings.select(self.key, F.lit(None).cast("long").alias("len"), F.struct("term", "tf").alias("x")).unionByName(lengths.select(self.key, F.col("len").cast("long").alias("len"), F.lit(None).cast("struct<term:string,tf:double>").alias("x")))
-        forward = rows.repartitionByRange(self.key).groupBy(self.key).agg(F.max("len").alias("len"), F.collect_list("x").alias("x"))
-        forward = forward.select(self.key, "len", *[F.when(F.size("x") > 0, F.col(f"x.{c}")).alias(f"{c}s") for c in ("term", "tf")])
-        forward.sortWithinPartitions(self.key).write.parquet(f"{folder}/forward")
-        return {"name": name, "docs": docs, "tokens": tokens, "postings": postings.count(), "deleted": 0}
+        return {"name": name, "docs": docs, "tokens": tokens, "postings": n, "deleted": 0}
 
     def commit(self, changed: DataFrame | None = None, removed: DataFrame | None = None) -> str:
         """Insert or replace documents (one row an id), remove others; returns the manifest's name.
@@ -115,16 +114,22 @@ class SegmentedIndex:
         Only the new documents are tokenised; of the old ones only the forward rows are read. An id
         that isn't there is removed without effect; one that is both changed and removed is changed.
         """
+        with little_disk(self.spark):
+            name = self._commit(changed, removed)
+            return self.merge() or name
+
+    def _commit(self, changed: DataFrame | None, removed: DataFrame | None) -> str:
         m = self.manifest()
         name = f"{int(time.time() * 1e6):017d}-{uuid.uuid4().hex[:8]}"
-        docs = None if changed is None else written(changed.select(self.key, *self.fields))
+        docs = None if changed is None else written(forward_rows(changed.select(self.key, *self.fields), self.fields, self.key))
         ids = [d.select(self.key) for d in (docs, removed) if d is not None]
         if docs is not None and docs.groupBy(self.key).count().where("count > 1").limit(1).count():
+            discard(docs)
             raise ValueError("a commit has two rows of one id")
         old, segments, signed = None, [dict(s) for s in m["segments"]], []
         if ids and segments:
             touched = ids[0] if len(ids) == 1 else ids[0].union(ids[1])
-            old = written(self.alive(self.parts(m, "forward").join(touched.distinct(), self.key, "left_semi"), m))
+            old = written(self.alive(self.parts(m, "forward").join(touched.distinct(), self.key, "left_semi"), m).select("segment", self.key, "len", "terms"))
             signed.append(old.select(F.explode("terms").alias("term"), F.lit(-1).alias("s")))
             for r in old.groupBy("segment").agg(F.count("*").alias("n"), F.sum("len").alias("len")).collect():  # a row a segment
                 s = next(s for s in segments if s["name"] == r.segment)
@@ -133,17 +138,19 @@ class SegmentedIndex:
         folder = f"{self.store.root}/commits/{name}"
         (old if old is not None else self.spark.createDataFrame([], f"segment string, {self.key} {self._id_type(docs, removed)}")).select("segment", self.key).write.parquet(f"{folder}/deleted")
         if docs is not None:
-            postings = written(self.postings(docs))
-            lengths = docs.select(self.key).join(postings.groupBy(self.key).agg(F.first("len").alias("len")), self.key, "left").withColumn("len", F.coalesce("len", F.lit(0)).cast("long"))
-            made = self.write_segment(name, postings, lengths)
-            segments.append(made)
-            m["docs"], m["tokens"] = m["docs"] + made["docs"], m["tokens"] + made["tokens"]
-            signed.append(postings.select("term", F.lit(1).alias("s")))
+            signed.append(docs.select(F.explode("terms").alias("term"), F.lit(1).alias("s")))
         changes = self.spark.createDataFrame([], "term string, s int") if not signed else signed[0] if len(signed) == 1 else signed[0].union(signed[1])
         changes.groupBy("term").agg(F.sum("s").alias("n")).where("n <> 0").write.parquet(f"{folder}/changes")
+        if old is not None:
+            discard(old)
+        if docs is not None:
+            made = self.write_segment(name, self.postings(docs), docs)
+            segments.append(made)
+            m["docs"], m["tokens"] = m["docs"] + made["docs"], m["tokens"] + made["tokens"]
+            discard(docs)
         state = {"segments": [s for s in segments if s["deleted"] < s["docs"]], "docs": m["docs"], "tokens": m["tokens"], "commits": [*m["commits"], name]}
         self._publish(name, state, m["name"])
-        return self.merge() or name
+        return name
 
     def _id_type(self, *tables: DataFrame | None) -> str:
         return next((t.schema[self.key].dataType.simpleString() for t in tables if t is not None), "long")
@@ -170,12 +177,21 @@ class SegmentedIndex:
                 return done
             part = m | {"segments": full}
             name = f"{int(time.time() * 1e6):017d}-{uuid.uuid4().hex[:8]}"
-            lengths = self.alive(self.parts(part, "forward"), part).select(self.key, "len")
-            made = self.write_segment(name, written(self._exploded(self.parts(part, "blocks"), part, positions=True).drop("segment")), lengths)
+            made = self.write_segment(name, self._exploded(self.parts(part, "blocks"), part, positions=True).drop("segment"), self.alive(self.parts(part, "forward"), part))
             kept = [s for s in m["segments"] if s["name"] not in {x["name"] for x in full}]
             self._publish(name, {"segments": [*kept, made], "docs": m["docs"], "tokens": m["tokens"], "commits": m["commits"]}, m["name"])
             done = name
 
+    def prune(self) -> list[str]:
+        """Remove the files of segments that the current manifest doesn't name; who reads by an older one fails then."""
+        live = {s["name"] for s in self.manifest()["segments"]}
+        base = self.store.path("segments")
+        names = [s.getPath().getName() for s in self.store.fs.listStatus(base)] if self.store.fs.exists(base) else []
+        gone = sorted(n for n in names if n not in live)
+        for n in gone:
+            self.store.fs.delete(self.store.path("segments", n), True)
+        return gone
+
     # -- reading ----------------------------------------------------------------------------------
 
     def _exploded(self, blocks: DataFrame, m: dict, positions: bool = False) -> DataFrame:

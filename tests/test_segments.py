@@ -101,3 +101,25 @@ def test_a_commit_shuffles_postings_twice(spark, tmp_path, monkeypatch):
     assert sum("places" in c for c in sizes) == 1
     rows = index.parts(index.manifest(), "forward").select("id", "len", "terms", "tfs").collect()
     assert sorted((r.id, r.len, sorted(zip(r.terms or [], r.tfs or []))) for r in rows) == [(1, 3, [("a", 2.0), ("b", 1.0)]), (2, 0, []), (3, 1, [("b", 1.0)])]
+
+
+def test_a_commit_leaves_only_what_is_read_again(spark, tmp_path):
+    """signed_frequencies, bm25_three_generations: no table but the segment's and the commit's stays, and of dropped segments none after prune()."""
+    import os
+
+    from lorekeep.staging import shared
+
+    here = shared(spark).removeprefix("file:")
+    tables = lambda: {f for f in os.listdir(here) if f.startswith("table-")}
+    before, index = tables(), SegmentedIndex(Store(spark, str(tmp_path / "i")), {"text": 1.0})
+    docs = spark.createDataFrame([(i, f"the w{i}") for i in range(9)] + [(9, None)], "id long, text string")
+    index.commit(docs)
+    first = index.manifest()["segments"][0]["name"]
+    index.commit(None, docs.where("id = 3"))
+    index.commit(docs)
+    assert tables() == before
+    assert index.prune() == [first] and index.prune() == []
+    assert os.listdir(tmp_path / "i" / "segments") == [s["name"] for s in index.manifest()["segments"]]
+    assert {(r.term, r.n) for r in index.frequencies(index.manifest()).collect()} == {("the", 9), *((f"w{i}", 1) for i in range(9))}
+    found, _ = index.top(spark.createDataFrame([(1, "w3")], "query_id int, query string"), 2)
+    assert [r.id for r in found.collect()] == [3]
